@@ -58,3 +58,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
+
+SQL["op7_line_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, i - 1 AS line_no, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+), occ AS (
+  SELECT doc_id, line_no, w, array_to_string(w, ' ') AS line FROM l WHERE len(w) >= 5
+), u AS (
+  SELECT line, any_value(w) AS w, min((doc_id, line_no)) AS first FROM occ GROUP BY line
+), v AS (
+  SELECT line, len(w) AS n, i, first, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= 10)
+), near AS (
+  SELECT a.line FROM v a JOIN v b ON a.g = b.g AND a.i = b.i AND a.n = b.n WHERE b.first < a.first
+  UNION SELECT a.line FROM v a JOIN u b ON a.g = b.line AND len(b.w) >= 10 WHERE b.first < a.first
+  UNION SELECT b.line FROM v a JOIN u b ON a.g = b.line AND len(b.w) >= 10 WHERE a.first < b.first
+), gone AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed
+  FROM occ JOIN u USING (line)
+  WHERE (occ.doc_id, occ.line_no) <> u.first OR line IN (SELECT line FROM near)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM d LEFT JOIN gone USING (doc_id)
+"""

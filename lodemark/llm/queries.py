@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table
 from .decontaminate import contamination_report
+from .line_dedup import line_report
 from .quality import quality_report
 
 
@@ -21,8 +22,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_words")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_benchmark_decontamination, op7_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
