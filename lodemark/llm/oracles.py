@@ -85,3 +85,43 @@ WITH d AS (
 SELECT doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
 FROM d LEFT JOIN gone USING (doc_id)
 """
+
+SQL["op3_sharding"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0) AS bytes,
+         lpad(bin(('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))[1:15])::BIGINT), 60, '0') AS a
+  FROM documents
+), p AS (
+  SELECT rid, doc_id, bytes, b, a[1:b] AS prefix FROM d, (SELECT unnest(range(0, 41)) AS b)
+), s AS (
+  SELECT b, prefix, sum(bytes) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY b, prefix
+), m AS (
+  SELECT rid, doc_id, bytes, min(b) AS b, min_by(prefix, b) AS shard, min_by(shard_bytes, b) AS shard_bytes, min_by(shard_rows, b) AS shard_rows
+  FROM p JOIN s USING (b, prefix) WHERE shard_bytes <= 67108864 OR shard_rows = 1 GROUP BY rid, doc_id, bytes
+)
+SELECT doc_id, bytes, shard, b AS shard_bits, shard_bytes::BIGINT AS shard_bytes, shard_rows FROM m
+"""
+
+_CANONICAL = r"""CASE WHEN host <> '' AND host <> 'www.' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '')
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END"""
+
+SQL["op5_url_filters"] = rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 2), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 3)[2:], '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=.*)?$'))) AS q
+  FROM pages
+), c AS (
+  SELECT *, {_CANONICAL} AS c FROM p
+), r(word, h, t) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), f AS (
+  SELECT page_id, c.host, c.path, max_by(h || t, length(h || t)) AS rule, max_by(word, length(h || t)) AS word
+  FROM c JOIN r ON (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, t) GROUP BY 1, 2, 3
+), listed AS (
+  SELECT DISTINCT c FROM c WHERE page_id % 100 = 0 AND c IS NOT NULL
+)
+SELECT c.page_id, c.host, c.path, rule, coalesce(word, CASE WHEN listed.c IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN f ON c.page_id = f.page_id LEFT JOIN listed ON c.c = listed.c
+"""

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .chat import format_conversations
 from .common import table
 from .decontaminate import contamination_report
 from .line_dedup import line_report
+from .pieces import encode_documents
 from .quality import quality_report
+from .secrets import credential_sample, infer, scan_secrets
+from .sharding import assign_shards
+from .token_files import read_documents, shared_folder, write_token_files
+from .url_filter import filter_urls
+
+#: Where the public tokenizers' vocabularies are; never copied.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The URL rules of the contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +38,44 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is the stated query set: the URLs of every hundredth page, against all pages."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, pages.filter(F.col("page_id") % 100 == 0).select("url"), URL_RULES)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    sample = [(r["kind"], r["credential"]) for r in credential_sample(documents).collect()]  # at most SAMPLE a kind
+    return scan_secrets(documents, infer(sample))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", path)
+    return read_documents(spark.read.parquet(path))
+
+
+QUERIES = (
+    op1_quality_rules, op2_sentencepiece, op3_sharding, op4_benchmark_decontamination, op5_url_filters,
+    op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_benchmark_decontamination, op7_line_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
