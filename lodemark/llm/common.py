@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,3 +58,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the place that all executors share."""
+    sc = spark.sparkContext
+    top = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of shared_folder() in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def anti_join(left: DataFrame, right: DataFrame, keys: dict[str, str], most: int = 100_000) -> DataFrame:
+    """Rows of left without a match (nulls equal); right is broadcast only if it has at most `most` rows."""
+    renamed = {k: f"_r{i}" for i, k in enumerate(keys.values())}
+    right = right.select(*[F.col(k).alias(v) for k, v in renamed.items()])
+    on = [left[a].eqNullSafe(right[renamed[b]]) for a, b in keys.items()]
+    return left.join(F.broadcast(right) if right.count() <= most else right, on, "left_anti")

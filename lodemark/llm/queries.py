@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .chat import format_conversations
-from .common import table
+from .common import shared_folder, table
 from .decontaminate import contamination_report
 from .line_dedup import line_report
+from .minhash import near_duplicates
 from .pieces import encode_documents
 from .quality import quality_report
 from .secrets import credential_sample, infer, scan_secrets
 from .sharding import assign_shards
-from .token_files import read_documents, shared_folder, write_token_files
+from .token_files import read_documents, write_token_files
 from .url_filter import filter_urls
 
 #: Where the public tokenizers' vocabularies are; never copied.
@@ -63,14 +64,24 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark)
+    path = shared_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", path)
     return read_documents(spark.read.parquet(path))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top; it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = (
     op1_quality_rules, op2_sentencepiece, op3_sharding, op4_benchmark_decontamination, op5_url_filters,
-    op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files,
+    op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files, op10_minhash_near_dedup, pipeline,
 )
 
 

@@ -24,17 +24,16 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOCAL_CHECKPOINTS, small_batches
+from .common import small_batches
 
 END_ID = 2
 BLOCK_IDS = 65_536
@@ -189,12 +188,6 @@ def read_ids(chunks: DataFrame) -> DataFrame:
     return chunks.mapInPandas(run, "doc_id long, ids array<long>")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path in the place that all executors share."""
-    top = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
-    return f"{top.rstrip('/')}/token-files-{uuid.uuid4().hex}"
-
-
 def write_token_files(documents: DataFrame, tokenizer_path: str, path: str, text: str = "text", key: str = "doc_id") -> None:
     """Encode and write; the number of shards follows the bytes of text."""
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
