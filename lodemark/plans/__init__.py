@@ -1 +1,15 @@
-"""Lodemark plans."""
+"""Registered queries over the derived views; importing a module registers its queries."""
+
+from . import market
+from .registry import COVERS, QUERIES, SQL
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)
+
+
+__all__ = ["COVERS", "market", "oracle_sql", "queries"]
