@@ -11,8 +11,10 @@ from ..sources import tables as T
 from .base import BARS, DAYS, TICKS
 from .registry import query
 
-W = R.series("symbol")
-O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))
+
+def parts():
+    """Columns of a bar and the window of its series; made in a query, as columns need a session."""
+    return (*(F.col(c) for c in ("high", "low", "close", "volume")), R.series("symbol"))
 
 
 def r6(x):
@@ -46,12 +48,14 @@ SELECT symbol, ts, close, CASE WHEN count(close) OVER w = 20 THEN round(avg(clos
 FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def tail_candles(spark, sf_dir):
     """The last 60 bars first, the indicator on those: its warm-up lies inside the tail."""
+    _, _, C, _, W = parts()
     return B.tail(T.bars_1h(spark, sf_dir), 60).select("symbol", "ts", "close", r6(R.sma(C, 20, W)).alias("sma_20"))
 
 
 @query(38, sql=f"""WITH {BARS}, l AS (SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars)
 SELECT symbol, round(last(close ORDER BY ts), 2) AS last, round(last(close - p ORDER BY ts), 2) AS change, round(last(100 * (close - p) / p ORDER BY ts), 3) AS change_pct FROM l GROUP BY symbol""")
 def market_payload(spark, sf_dir):
+    _, _, C, _, W = parts()
     before = F.lag("close").over(W)
     rows = T.bars_1h(spark, sf_dir).select("symbol", "ts", "close", before.alias("p"))
     change = C - F.col("p")
@@ -115,6 +119,7 @@ SELECT symbol, ts, CASE WHEN k = 20 THEN round(m, 6) END AS sma_20, CASE WHEN r
        CASE WHEN k = 20 THEN round(m - 2 * s, 6) END AS bb_low, CASE WHEN k = 20 THEN round(m + 2 * s, 6) END AS bb_high,
        CASE WHEN k = 20 AND s <> 0 THEN round((close - m) / s, 6) END AS z_20 FROM x""")
 def averages_and_bands(spark, sf_dir):
+    _, _, C, _, W = parts()
     low, mid, high = R.bollinger(C, 20, 2.0, W)
     return T.bars_1h(spark, sf_dir).select(
         "symbol", "ts", r6(mid).alias("sma_20"), r6(R.wma(C, 10, W)).alias("wma_10"), r6(low).alias("bb_low"), r6(high).alias("bb_high"), r6(R.zscore(C, 20, W)).alias("z_20")
@@ -128,6 +133,7 @@ SELECT symbol, ts, round(greatest(high - low, abs(high - p), abs(low - p)), 6) A
        round(sum((high + low + close) / 3 * volume) OVER u / nullif(sum(volume) OVER u, 0), 6) AS vwap
 FROM x WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def price_and_volume_indicators(spark, sf_dir):
+    H, L, C, V, W = parts()
     u = W.rowsBetween(Window.unboundedPreceding, 0)
     b = T.bars_1h(spark, sf_dir).withColumn("sv", R.obv(C, V, W))
     return b.select(
@@ -148,6 +154,7 @@ SELECT symbol, ts, round(k, 6) AS stoch_k, CASE WHEN count(k) OVER w3 = 3 THEN r
 FROM d WINDOW w3 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def stochastic_and_cci(spark, sf_dir):
     """CCI's deviation is the rolling mean of |tp - its average|, each at its own row."""
+    _, _, _, _, W = parts()
     return B.stochastic_cci(T.bars_1h(spark, sf_dir), W).select("symbol", "ts", r6(F.col("k")).alias("stoch_k"), r6(F.col("d")).alias("stoch_d"), r6(F.col("cci")).alias("cci_20"))
 
 
@@ -167,6 +174,7 @@ SELECT symbol, ts, CASE WHEN na = 26 THEN round(100.0 * (list_position(hs, hm) -
 FROM y WINDOW o AS (PARTITION BY symbol ORDER BY ts)""")
 def channels_and_cloud(spark, sf_dir):
     """Aroon, Donchian and Ichimoku; chikou looks 26 bars ahead, so it is not causal."""
+    H, L, _, _, W = parts()
     up, down = R.aroon(H, L, 25, W)
     top, bottom = R.donchian(H, L, 20, W)
     t, k = R.midpoint(H, L, 9, W), R.midpoint(H, L, 26, W)
@@ -183,6 +191,7 @@ SELECT symbol, ts, round(lr, 9) AS log_ret, CASE WHEN count(lr) OVER w = 20 THEN
        CASE WHEN count(lr) OVER e = 50 THEN round(stddev_samp(lr) OVER e, 9) END AS vol_before, CASE WHEN nx IS NOT NULL THEN (nx > close)::INT END AS label, round(n4 / close - 1, 6) AS fwd_4
 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), e AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)""")
 def returns_and_labels(spark, sf_dir):
+    _, _, C, _, W = parts()
     b = T.bars_1h(spark, sf_dir).withColumn("lr", R.log_return(C, W))
     lr, nx = F.col("lr"), F.lead("close").over(W)
     return b.select(
@@ -196,6 +205,7 @@ def returns_and_labels(spark, sf_dir):
 q AS (SELECT *, quantile_cont(rng, 0.33) OVER w AS lo, quantile_cont(rng, 0.67) OVER w AS hi FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
 SELECT symbol, ts, CASE WHEN r >= 100 THEN CASE WHEN rng < lo THEN 0 WHEN rng > hi THEN 2 ELSE 1 END END AS regime FROM q""")
 def volatility_regime(spark, sf_dir):
+    H, L, _, _, W = parts()
     w = W.rowsBetween(-99, 0)
     rng = H - L
     b = T.bars_1h(spark, sf_dir).select("symbol", "ts", rng.alias("rng"), F.percentile(rng, F.array(F.lit(0.33), F.lit(0.67))).over(w).alias("q"), F.row_number().over(W).alias("r"))
@@ -215,6 +225,7 @@ SELECT symbol, ts, cross_sig, over_100, coalesce(last_value(nullif(cross_sig, 0)
 FROM y WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), l AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW),
   d AS (PARTITION BY symbol, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def crossings_and_holds(spark, sf_dir):
+    H, _, C, _, W = parts()
     day = F.to_date("ts")
     b = T.bars_1h(spark, sf_dir).select("symbol", "ts", "close", R.sma(C, 5, W).alias("fast"), R.sma(C, 20, W).alias("slow"), F.row_number().over(W).alias("r"),
         F.max(F.when(F.hour("ts") < 8, H)).over(Window.partitionBy("symbol", day)).alias("session_high"))
