@@ -79,3 +79,24 @@ def anti_join(left: DataFrame, right: DataFrame, keys: dict[str, str], most: int
     right = right.select(*[F.col(k).alias(v) for k, v in renamed.items()])
     on = [left[a].eqNullSafe(right[renamed[b]]) for a, b in keys.items()]
     return left.join(F.broadcast(right) if right.count() <= most else right, on, "left_anti")
+
+
+class WordCache:
+    """What make gives for a word, for about the `size` words used last: a generation is dropped when the next is full."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self.make, self.half = make, size // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, word: str) -> bytes:
+        got = self.young.get(word)
+        if got is None:
+            got = self.old.get(word)
+            if got is None:
+                got = self.make(word)
+            if len(word) <= 64:
+                if len(self.young) >= self.half:
+                    self.old, self.young = self.young, {}
+                self.young[word] = got
+        return got

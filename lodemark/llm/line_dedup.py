@@ -44,8 +44,12 @@ def _lines(text: Column) -> Column:
 def _occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
     """(doc_id, th, line_no, line, lh) of lines long enough; line has single spaces."""
     docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(_lines(F.col(text))).alias("line_no", "raw"))
-    docs = docs.withColumn("w", F.regexp_extract_all("raw", F.lit(WORD), F.lit(0))).filter(F.size("w") >= EXACT_WORDS)
-    docs = docs.withColumn("line", F.array_join("w", " "))
+    # most lines have single spaces already; a search for other white space is cheaper than a regular expression
+    odd = F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.col("raw").contains(x)
+    single = F.array_join(F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)), " ")
+    docs = docs.withColumn("line", F.when(odd, single).otherwise(F.col("raw"))).filter(F.size(F.split("line", " ", -1)) >= EXACT_WORDS)
     return docs.select(*_ORDER, "line", F.xxhash64("line").alias("lh"))
 
 
@@ -119,7 +123,8 @@ def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id")
     occ = _occurrences(documents, text, key)
     distinct = occ.groupBy("lh").agg(F.min(F.struct(*_ORDER, "line")).alias("first"), F.count("*").alias("copies"))
     distinct = distinct.withColumn("w", F.split("first.line", " ", -1)).withColumn("n", F.size("w"))
-    keys = distinct.filter(F.col("n") >= NEAR_WORDS).select("lh", "n", F.explode(_part_keys(F.col("w"), F.col("n"))).alias("k"))
+    # naming copies keeps the aggregation as it is below, so that its exchange is reused
+    keys = distinct.filter((F.col("n") >= NEAR_WORDS) & (F.col("copies") > 0)).select("lh", "n", F.explode(_part_keys(F.col("w"), F.col("n"))).alias("k"))
     keys = keys.select("lh", "n", "k.*")
     shared = keys.groupBy("hk").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), (F.min("n") != F.max("n")).alias("mixed"))
     shared = shared.filter("a <> b").select("hk", "mixed")

@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import WordCache, small_batches
 
 MARK = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
 #: What an uncovered character costs beyond the worst piece, as public unigram encoders have it.
 UNKNOWN_PENALTY = 10.0
 
@@ -67,7 +67,7 @@ class Pieces:
             self.text[i] = text.replace(MARK, " ").encode()
         for b, i in model["byte"].items():
             self.text[i] = bytes([b])
-        self.words: dict[str, bytes] = {}
+        self.words = WordCache(self._word, CACHE_WORDS)
 
     def best(self, chunk: str) -> list[int]:
         """Ids of the best segmentation of a chunk."""
@@ -98,20 +98,13 @@ class Pieces:
         if s > score[at + 1]:
             score[at + 1], came[at + 1], piece[at + 1] = s, at, -1
 
-    def word(self, chunk: str) -> bytes:
-        got = self.words.get(chunk)
-        if got is None:
-            got = np.array(self.best(chunk), dtype="<u4").tobytes()
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            if len(chunk) <= 64:
-                self.words[chunk] = got
-        return got
+    def _word(self, chunk: str) -> bytes:
+        return np.array(self.best(chunk), dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
-        out, word, known = [], self.word, self.words.get
+        out, word, known = [], self.words, self.words.young.get
         text = MARK + text.replace(" ", MARK)
         for k, line in enumerate(text.split("\n")):
             if k:

@@ -33,16 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import WordCache, small_batches
 
 END_ID = 2
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_000_000
 PLANES = 4
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
 #: A shard is one partition of about so many bytes of text.
 SHARD_BYTES = 64 << 20
 CHUNKS = "shard int, chunk int, doc_ids array<long>, lengths array<long>, ends array<long>, payload binary"
+_LETTERS, _ENDED = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+\Z"), re.compile(r"( ?[a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z")
+#: Byte-level vocabularies write bytes as characters: printable Latin-1 as itself, the others from U+0100 on in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 _ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
@@ -55,31 +59,30 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
+        self.words = WordCache(self._word, CACHE_WORDS)
         self.line = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _missing(self, word: str) -> bytes:
-        got = self._encode(word)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = got
-        return got
+    def _word(self, word: str) -> bytes:
+        """Letters alone are one unit of the splitter, so the merges can be run on them directly; punctuation after them is the next unit."""
+        if _LETTERS.match(word):
+            units = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return np.array([x.id for x in self.tokenizer.model.tokenize(units)], dtype="<u4").tobytes()
+        m = _ENDED.match(word)
+        return self.words(m[1]) + self.words(m[2]) if m else self._encode(word)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
             return self._encode(text)
-        get, missing, out = self.words.get, self._missing, []
+        get, word, out = self.words.young.get, self.words, []
         for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(self.line)
-            words = re.findall(r" ?[^ ]+", line)
-            out += [get(w) or missing(w) for w in words]
+            out += [get(w) or word(w) for w in re.findall(r" ?[^ ]+", line)]
         return b"".join(out)
 
 

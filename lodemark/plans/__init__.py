@@ -1,6 +1,6 @@
 """Registered queries over the derived views; importing a module registers its queries."""
 
-from . import market, performance, recurrent
+from . import discovery, joins, market, performance, recurrent, research
 from .registry import COVERS, QUERIES, SQL
 
 
@@ -12,4 +12,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-__all__ = ["COVERS", "market", "oracle_sql", "performance", "queries", "recurrent"]
+__all__ = ["COVERS", "discovery", "joins", "market", "oracle_sql", "performance", "queries", "recurrent", "research"]
