@@ -75,9 +75,9 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def anti_join(left: DataFrame, right: DataFrame, keys: dict[str, str], most: int = 100_000) -> DataFrame:
     """Rows of left without a match (nulls equal); right is broadcast only if it has at most `most` rows."""
-    renamed = {k: f"_r{i}" for i, k in enumerate(keys.values())}
+    renamed = dict(zip(keys.values(), fresh(left, *[f"other_{i}" for i in range(len(keys))]), strict=True))
     right = right.select(*[F.col(k).alias(v) for k, v in renamed.items()])
-    on = [left[a].eqNullSafe(right[renamed[b]]) for a, b in keys.items()]
+    on = [F.col(a).eqNullSafe(F.col(renamed[b])) for a, b in keys.items()]
     return left.join(F.broadcast(right) if right.count() <= most else right, on, "left_anti")
 
 

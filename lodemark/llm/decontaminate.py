@@ -127,9 +127,10 @@ def _keyed(documents: DataFrame, text: str) -> tuple[DataFrame, str]:
 
 def _joined(documents: DataFrame, marked: DataFrame, key: str, th: str, how: str) -> DataFrame:
     """Join on id and text hash, nulls equal; broadcast only a counted, bounded side."""
-    right = marked.withColumnsRenamed({key: "_key", th: "_th"})
+    other_key, other_th = fresh(documents, "other_key", "other_hash")
+    right = marked.withColumnsRenamed({key: other_key, th: other_th})
     right = F.broadcast(right) if right.count() <= BROADCAST_ROWS else right
-    return documents.join(right, documents[key].eqNullSafe(right["_key"]) & (documents[th] == right["_th"]), how)
+    return documents.join(right, F.col(key).eqNullSafe(F.col(other_key)) & (F.col(th) == F.col(other_th)), how)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -144,10 +145,11 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     """All documents; in contaminated ones the hit words go, and what stands between words stays."""
     docs, th = _keyed(documents, text)
     report = contamination_report(docs, benchmark, text, key, (th,))
-    marked = checkpoint(report.filter("contaminated").select(key, th, "hit_words").dropDuplicates([key, th]))
+    (cut_words,) = fresh(docs, "hit_words")
+    marked = checkpoint(report.filter("contaminated").select(key, th, F.col("hit_words").alias(cut_words)).dropDuplicates([key, th]))
     got = _joined(docs, marked, key, th, "left")
     raw = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
     between = F.split(F.col(text), TOKEN, -1)
-    kept = F.transform(raw, lambda w, i: F.concat(F.when(F.array_contains("hit_words", i), F.lit("")).otherwise(w), F.get(between, i + 1)))
+    kept = F.transform(raw, lambda w, i: F.concat(F.when(F.array_contains(cut_words, i), F.lit("")).otherwise(w), F.get(between, i + 1)))
     cut = F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))
-    return got.select(*[F.when(F.col("hit_words").isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in documents.columns])
+    return got.select(*[F.when(F.col(cut_words).isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in documents.columns])

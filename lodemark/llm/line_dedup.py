@@ -170,14 +170,14 @@ def line_report(documents: DataFrame, text: str = "text", key: str = "doc_id") -
 
 def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", drop_emptied: bool = True) -> DataFrame:
     """The documents without their removed lines; one that had words and has none left goes if drop_emptied."""
-    (th,) = fresh(documents, "text_hash")
+    th, other_id, other_th, removed = fresh(documents, "text_hash", "other_id", "other_hash", "removed")
     docs = documents.withColumn(th, F.xxhash64(F.col(text)))
-    marked = _per_document(documents, text, key).withColumnsRenamed({"doc_id": "_id", "th": "_th", "removed": "_removed"})
-    got = docs.join(marked, docs[key].eqNullSafe(marked["_id"]) & (docs[th] == marked["_th"]), "left")
+    marked = _per_document(documents, text, key).withColumnsRenamed({"doc_id": other_id, "th": other_th, "removed": removed})
+    got = docs.join(marked, F.col(key).eqNullSafe(F.col(other_id)) & (F.col(th) == F.col(other_th)), "left")
     lines = _lines(F.col(text))
-    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_removed"), lambda i: F.get(x, i)), "\n"))
-    cleaned = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), removed), lambda i: F.get(x, i)), "\n"))
+    cleaned = F.when(F.col(removed).isNull(), F.col(text)).otherwise(left)
     got = got.withColumn(text, cleaned)
     if drop_emptied:
-        got = got.filter(F.col("_removed").isNull() | F.col(text).rlike(WORD))
+        got = got.filter(F.col(removed).isNull() | F.col(text).rlike(WORD))
     return got.select(*documents.columns)
