@@ -73,6 +73,26 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder. Unlike a checkpoint, a table read back has the size it has: the
+    optimizer's estimates do not multiply over the rounds of an iteration."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, shared_folder(spark, name), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_folder(self.spark, self.path)
+
+
 def anti_join(left: DataFrame, right: DataFrame, keys: dict[str, str], most: int = 100_000) -> DataFrame:
     """Rows of left without a match (nulls equal); right is broadcast only if it has at most `most` rows."""
     renamed = dict(zip(keys.values(), fresh(left, *[f"other_{i}" for i in range(len(keys))]), strict=True))
