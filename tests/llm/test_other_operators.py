@@ -1,0 +1,185 @@
+"""The other operators against plain Python, libraries or exact round trips, and their defined edge cases."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodemark.llm import chat, minhash, pieces, secrets, sharding, token_files, url_filter
+from lodemark.llm.queries import TOKENIZERS, URL_RULES
+
+MODEL, VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def classes(rows):
+    by = {}
+    for doc, c in rows:
+        by.setdefault(c, set()).add(doc)
+    return sorted(map(sorted, by.values()))
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng, texts = random.Random(5), []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for k in range(14):  # more than SMALL, from slightly to heavily changed
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(f"alone{i}x{k}" for k in range(60)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = minhash.weights(docs)
+    vectors = [(h, by.of(h, c)) for h, c, _ in (minhash.shingles([t]) for t in texts)]
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if minhash.similarity(vectors[a], vectors[b]) >= minhash.THRESHOLD:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    want = classes((i, top(i)) for i in range(len(texts)))
+    got = minhash.near_duplicates(docs).collect()
+    assert classes((r.doc_id, r.class_id) for r in got) == want
+    assert all(r.class_size == sum(x.class_id == r.class_id for x in got) for r in got)
+
+
+def test_near_duplicates_edge_cases(documents, no_documents):
+    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(documents).collect() if r.doc_id is not None}
+    assert got[4] == got[5] == got[6] == (4, 4) and got[0] == (0, 1) and got[1] == (1, 1)
+    kept = minhash.drop_near_duplicates(documents)
+    assert kept.columns == documents.columns and kept.filter("doc_id in (4, 5)").count() == 1
+    assert minhash.near_duplicates(no_documents).count() == 0 and minhash.drop_near_duplicates(no_documents).count() == 0
+
+
+def plain_best(text, normal, byte, unknown):
+    """Viterbi over all pieces at all places."""
+    score, back = [0.0], [None]
+    for end in range(1, len(text) + 1):
+        best = (score[end - 1] + unknown, end - 1, None) if text[end - 1] not in normal else (float("-inf"), 0, None)
+        for start in range(max(0, end - 24), end):
+            p = normal.get(text[start:end])
+            if p and (score[start] + p[1] > best[0] or (score[start] + p[1] == best[0] and start < best[1])):
+                best = (score[start] + p[1], start, p[0])
+        score.append(best[0])
+        back.append(best[1:])
+    out, n = [], len(text)
+    while n:
+        start, i = back[n]
+        out += [byte[b] for b in reversed(text[start:n].encode())] if i is None else [i]
+        n = start
+    return out[::-1]
+
+
+def test_pieces_match_plain_viterbi(documents, no_documents):
+    model = pieces.load_pieces(MODEL)
+    normal = {t: (i, s) for t, i, s in model["normal"]}
+    assert max(map(len, normal)) <= 24
+    unknown = min(s for _, _, s in model["normal"]) - pieces.UNKNOWN_PENALTY
+    short = documents.filter("text is null or length(text) < 2000").withColumn("row", F.col("text"))
+    for r in pieces.encode_documents(short, MODEL, keep=("doc_id", "row")).collect():
+        want = plain_best("▁" + r.row.replace(" ", "▁"), normal, model["byte"], unknown) if r.row else []
+        assert list(r.ids) == want and r.n_pieces == len(want)
+        assert r.ids_crc32 == zlib.crc32(np.array(want, dtype="<u4").tobytes())
+    encoded = pieces.encode_documents(documents, MODEL, keep=("doc_id", "text"))
+    assert encoded.filter("not round_trip").count() == 0
+    back = pieces.decode_documents(encoded.withColumnRenamed("text", "was"), MODEL, keep=("doc_id", "was"))
+    assert back.filter("text <> coalesce(was, '')").count() == 0
+    assert pieces.encode_documents(no_documents, MODEL).count() == 0
+
+
+def test_shards_fit_and_split_only_where_needed(spark, documents, no_documents):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(1 + id % 50 as int))").alias("text"))
+    docs = docs.unionByName(spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("y" * 20).alias("text")))  # one hot address
+    got = sharding.assign_shards(docs, limit=500).collect()
+    assert len(got) == 700 and all(r.shard_bytes <= 500 or r.shard_rows == 1 for r in got)
+    size = {}
+    for r in got:
+        for k in range(len(r.shard) + 1):
+            size[r.shard[:k]] = size.get(r.shard[:k], 0) + r.bytes
+    assert all(size[r.shard] == r.shard_bytes and (not r.shard or size[r.shard[:-1]] > 500) for r in got)
+    assert sharding.assign_shards(documents).count() == documents.count() and sharding.assign_shards(no_documents).count() == 0
+
+
+def test_urls(spark):
+    pages = [None, "", "x", "http://", "https://WWW.Example.org/es/a", "http://a.example.org/en/12?q#f", "http://b.com/fr/", "http://com/de/x",
+             "http://site.net/a/?utm_source=1&b=2&a=1", "http://www.site.net/a?a=1&b=2", "http://other.net/a"]
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate([*pages, pages[-1]])], "page_id long, url string, rule string")
+    listed = spark.createDataFrame([("https://site.net/a?b=2&a=1#top",), (None,), ("",)], "url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, listed, URL_RULES).collect()}
+    assert len(got) == 12 and got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert got[4] == ("www.example.org", "/es/a", "example.org/es/", "block") and got[5][2:] == ("example.org/en/1", "block")
+    assert got[6][2:] == ("com/fr/", "allow") and got[7][2:] == ("com/de/", "block")
+    assert got[8][3] == got[9][3] == "block" and got[10][3] == got[11][3] == "allow"
+    assert url_filter.filter_urls(df.limit(0), listed, URL_RULES).count() == 0
+    assert url_filter.filter_urls(df, listed.limit(0), []).filter("verdict = 'block'").count() == 0
+
+
+def test_conversations(spark):
+    rows = [(1, 0, "user", "How are\nyou?"), (1, 1, "bot", "> How are you?\nFine."), (1, 2, "user", "> > How are you?\n> Fine.\nGood."), (1, 3, "bot", "> nobody said this\nOdd"),
+            (None, 0, "user", "> Fine.\nlost"), (2, None, "user", "x"), (2, 0, None, None), (2, 1, "user", ""), (1, 1, "bot", "> How are you?\nFine.")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, hash string")
+    got = chat.format_conversations(df)
+    assert got.count() == len(rows) and got.filter("text like '%>%'").count() == 0
+    links = {(r.conv_id, r.turn): (r.reply_to, r.root_turn, r.depth) for r in got.collect()}
+    assert links[1, 1] == (0, 0, 1) and links[1, 2] == (1, 0, 2) and links[1, 3] == (None, 3, 0) and links[None, 0][0] is None
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_secrets_base_and_inferred(spark, documents, no_documents):
+    rng = random.Random(3)
+    key = lambda: "sk" + "".join(rng.choice("0123456789abcdefXYZ") for _ in range(30))
+    train = spark.createDataFrame([(i, f"password = {key()} and AKIA{rng.randrange(10**16):016d} {rng.getrandbits(80):020x}") for i in range(200)], "doc_id long, text string")
+    automata = secrets.infer([(r.kind, r.credential) for r in secrets.credential_sample(train).collect()])
+    assert set(automata) == {"assign", "access", "hex"}
+    held = [key() for _ in range(50)]
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(24)) for _ in range(50)]
+    test = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(held + plain)], "doc_id long, text string")
+    found = {r.doc_id: r.n_format for r in secrets.scan_secrets(test, automata).collect()}
+    assert sum(found[i] for i in range(50)) >= 40 and sum(found[i] for i in range(50, 100)) == 0
+    got = {r.doc_id: r for r in secrets.scan_secrets(train, automata).collect()}
+    assert all(r.n_assign == 1 and r.n_access == 1 for r in got.values())
+    for d in train.collect():
+        want = ",".join(f"{k}:{s}:{e}" for s, e, k, _ in secrets.base_findings(d.text))
+        assert got[d.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert secrets.scan_secrets(documents, automata).count() == documents.count() and secrets.scan_secrets(no_documents, automata).count() == 0
+    assert secrets.credential_sample(no_documents).count() == 0 and secrets.scan_secrets(documents, {}).filter("n_format > 0").count() == 0
+    assert secrets.redact(train, automata).filter("text like '%AKIA%'").count() == 0
+
+
+def test_token_files_match_the_library(spark, documents, no_documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    library, start = Tokenizer.from_file(VOCABULARY), 0
+    library.encode_special_tokens = True
+    token_files.write_token_files(documents, VOCABULARY, str(tmp_path / "a"))
+    chunks = spark.read.parquet(str(tmp_path / "a"))
+    got = token_files.read_documents(chunks).orderBy("start").collect()
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    want = {}
+    for d in documents.collect():
+        want.setdefault(d.doc_id, []).append(zlib.crc32(np.array(ids(d.text), dtype="<u4").tobytes()))
+    seen = {}
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+        seen.setdefault(r.doc_id, []).append(r.ids_crc32)
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
+    assert token_files.read_ids(chunks).agg(F.sum(F.size("ids"))).first()[0] == start
+    token_files.write_token_files(no_documents, VOCABULARY, str(tmp_path / "b"))
+    assert token_files.read_documents(spark.read.schema(token_files.CHUNKS).parquet(str(tmp_path / "b"))).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 65_536, 65_537, 150_000])
+def test_planes_round_trip(n):
+    x = np.random.default_rng(n).integers(0, 2**32, n, dtype="u4")
+    payload, ends = token_files.pack(x)
+    assert (token_files.unpack(payload, ends) == x).all() and len(ends) == 4 * -(-n // token_files.BLOCK_IDS)
