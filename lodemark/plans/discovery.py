@@ -33,7 +33,8 @@ def return_autocorrelation(spark, sf_dir):
     w = R.series("symbol")
     r = r.join(F.broadcast(g), "symbol")  # a row per symbol
     lags = (1, 2, 3, 6, 12, 24)
-    pairs = F.array(*[F.struct(F.lit(i).alias("lag"), F.lead("r", i).over(w).alias("x")) for i in lags])
+    r = r.withColumns({f"x{i}": F.lead("r", i).over(w) for i in lags})
+    pairs = F.array(*[F.struct(F.lit(i).alias("lag"), F.col(f"x{i}").alias("x")) for i in lags])
     p = r.withColumn("p", F.explode(pairs)).select("symbol", "r", "m", "ma", "n", "ss", "ssa", "p.*")
     d = lambda x, m: x - F.col(m)
     ac = F.sum(d(F.col("r"), "m") * d(F.col("x"), "m")) / F.first("ss")
