@@ -52,6 +52,46 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.class_size == sum(x.class_id == r.class_id for x in got) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{}, {"SIDE": 40}, {"SIDE": 40, "WHOLE": 20}])
+def test_near_duplicates_of_one_template(spark, monkeypatch, limits):
+    """Hundreds of pages too far apart to be linked, among which some are copies of each other but of no page that many resemble."""
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(11)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for g in range(260):
+        own = [*template, *[f"p{g}w{i}" for i in range(40)]]
+        texts.append(" ".join(own))
+        if g % 4 == 0:
+            texts.append(" ".join([*own[:-1], f"q{rng.randrange(10**6)}"]))
+    texts += [" ".join(f"alone{i}x{k}" for k in range(60)) for i in range(20)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = minhash.weights(docs)
+    vectors = [(h, by.of(h, c)) for h, c, _ in (minhash.shingles([t]) for t in texts)]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if minhash.similarity(vectors[a], vectors[b]) >= minhash.THRESHOLD]
+    assert len(near) == 65
+    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(docs).collect()}
+    assert all(got[a] == got[b] == (a, 2) for a, b in near) and sum(n == 1 for _, n in got.values()) == len(texts) - 130
+
+
+def test_near_duplicates_finish_buckets_that_no_band_separates(spark, monkeypatch):
+    """One band of one row: every close pair that shares its only bucket must be found, however large that is."""
+    for name in ("BANDS", "ROWS", "BANDS_2", "ROWS_2"):
+        monkeypatch.setattr(minhash, name, 1)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for g in range(200):
+        own = [*template, *[f"p{g}w{i}" for i in range(40)]]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = minhash.weights(docs)
+    h, counts, lengths = minhash.shingles(texts)
+    drawn = minhash.icws(h, by.of(h, counts), lengths, 1, 1, minhash.icws_tables())[:, 0]
+    together = [g for g in range(200) if drawn[2 * g] == drawn[2 * g + 1]]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert len(together) > 150 and [g for g in together if got[2 * g] != got[2 * g + 1]] == []
+
+
 def test_near_duplicates_edge_cases(documents, no_documents):
     got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(documents).collect() if r.doc_id is not None}
     assert got[4] == got[5] == got[6] == (4, 4) and got[0] == (0, 1) and got[1] == (1, 1)
