@@ -15,8 +15,11 @@ are reduced to their earliest line before anything is joined back, so no group
 is expanded into pairs; the pairs left are verified on the words themselves.
 
 A line goes if an equal or a near line came before it, in the order of doc_id,
-text hash and line number; lines of under EXACT_WORDS words always stay and
-lines of under NEAR_WORDS words are only compared for equality.
+text hash and line number. In the report, whose SQL has these bounds, lines of
+under EXACT_WORDS words always stay and lines of under NEAR_WORDS words are only
+compared for equality. dedup_lines compares every line that has a word for
+equality, and for one edit those of at least EDIT_WORDS words, of which an edit
+leaves four in five.
 
 Defined results: null and empty texts have no lines to remove; rows equal in id
 and text are one document, so its copies lose the same lines; null ids come
@@ -33,6 +36,7 @@ from .common import WORD, checkpoint, fresh, let
 
 EXACT_WORDS = 5
 NEAR_WORDS = 10
+EDIT_WORDS = 5
 _BLOCK = 256
 _ORDER = ("doc_id", "th", "line_no")
 
@@ -41,7 +45,7 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
+def _occurrences(documents: DataFrame, text: str, key: str, exact: int) -> DataFrame:
     """(doc_id, th, line_no, line, lh) of lines long enough; line has single spaces."""
     docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(_lines(F.col(text))).alias("line_no", "raw"))
     # most lines have single spaces already; a search for other white space is cheaper than a regular expression
@@ -49,7 +53,7 @@ def _occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
     for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
         odd = odd | F.col("raw").contains(x)
     single = F.array_join(F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)), " ")
-    docs = docs.withColumn("line", F.when(odd, single).otherwise(F.col("raw"))).filter(F.size(F.split("line", " ", -1)) >= EXACT_WORDS)
+    docs = docs.withColumn("line", F.when(odd, single).otherwise(F.col("raw"))).filter((F.size(F.split("line", " ", -1)) >= exact) & (F.col("line") != ""))
     return docs.select(*_ORDER, "line", F.xxhash64("line").alias("lh"))
 
 
@@ -61,8 +65,9 @@ def _part_keys(w: Column, n: Column) -> Column:
         one = lambda name, part: F.struct(F.xxhash64(F.lit(name), part).alias("hk"), F.lit(name).alias("part"), size.alias("size"))
         return F.array(one("head", F.slice(w, F.lit(1), size)), one("tail", F.slice(w, n - size + 1, size)))
 
-    own, below = F.floor(n / 8).cast("int") * 4, (F.floor(n / 8).cast("int") - 1) * 4
-    return F.when((n % 8 == 0) & (below > 0), F.concat(of(own), of(below))).otherwise(of(own))
+    eighths = F.floor(n / 8).cast("int")
+    size = lambda k: F.when(k > 0, k * 4).otherwise(F.lit(2))  # noqa: E731  lines of 4 to 7 words: 2
+    return F.when(n % 8 == 0, F.concat(of(size(eighths)), of(size(eighths - 1)))).otherwise(of(size(eighths)))
 
 
 def _xor(a: Column) -> Column:
@@ -118,13 +123,14 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(by == 0, swapped).when(by == 1, added(a, b)).when(by == -1, added(b, a)).otherwise(F.lit(False))
 
 
-def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, th, line_no, kept_doc_id, kept_line_no): each removed line and the earliest line it repeats."""
-    occ = _occurrences(documents, text, key)
+def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", exact: int = EXACT_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
+    """(doc_id, th, line_no, kept_doc_id, kept_line_no): each removed line and the earliest line it repeats.
+    Lines of `exact` words and more are compared for equality, of `near_from` (4 at least) and more for one edit."""
+    occ = _occurrences(documents, text, key, exact)
     distinct = occ.groupBy("lh").agg(F.min(F.struct(*_ORDER, "line")).alias("first"), F.count("*").alias("copies"))
     distinct = distinct.withColumn("w", F.split("first.line", " ", -1)).withColumn("n", F.size("w"))
     # naming copies keeps the aggregation as it is below, so that its exchange is reused
-    keys = distinct.filter((F.col("n") >= NEAR_WORDS) & (F.col("copies") > 0)).select("lh", "n", F.explode(_part_keys(F.col("w"), F.col("n"))).alias("k"))
+    keys = distinct.filter((F.col("n") >= near_from) & (F.col("copies") > 0)).select("lh", "n", F.explode(_part_keys(F.col("w"), F.col("n"))).alias("k"))
     keys = keys.select("lh", "n", "k.*")
     shared = keys.groupBy("hk").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), (F.min("n") != F.max("n")).alias("mixed"))
     shared = shared.filter("a <> b").select("hk", "mixed")
@@ -154,8 +160,8 @@ def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id")
     return cut.select(*_ORDER, to["doc_id"].alias("kept_doc_id"), to["line_no"].alias("kept_line_no"))
 
 
-def _per_document(documents: DataFrame, text: str, key: str) -> DataFrame:
-    cut = removed_lines(documents, text, key)
+def _per_document(documents: DataFrame, text: str, key: str, exact: int = EXACT_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
+    cut = removed_lines(documents, text, key, exact, near_from)
     return cut.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
@@ -172,7 +178,7 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", d
     """The documents without their removed lines; one that had words and has none left goes if drop_emptied."""
     th, other_id, other_th, removed = fresh(documents, "text_hash", "other_id", "other_hash", "removed")
     docs = documents.withColumn(th, F.xxhash64(F.col(text)))
-    marked = _per_document(documents, text, key).withColumnsRenamed({"doc_id": other_id, "th": other_th, "removed": removed})
+    marked = _per_document(documents, text, key, 1, EDIT_WORDS).withColumnsRenamed({"doc_id": other_id, "th": other_th, "removed": removed})
     got = docs.join(marked, F.col(key).eqNullSafe(F.col(other_id)) & (F.col(th) == F.col(other_th)), "left")
     lines = _lines(F.col(text))
     left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), removed), lambda i: F.get(x, i)), "\n"))

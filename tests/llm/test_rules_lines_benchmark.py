@@ -93,6 +93,21 @@ def test_lines_match_brute_force(lined):
     assert sorted((str(r.doc_id), r.n_lines, r.removed) for r in got) == expected
 
 
+def test_stage_compares_short_lines(spark, monkeypatch):
+    monkeypatch.setattr(L, "EXACT_WORDS", 1)  # of the plain version only
+    monkeypatch.setattr(L, "NEAR_WORDS", 5)
+    base, texts = [f"v{k}" for k in range(17)], ["Of.\n\nIn erre to it therble whrehe at.", "Of.\n\nIn erre to it rendon whrehe at.\nkept"]
+    for n in range(1, 18):
+        line = [f"n{n}", *base[: n - 1]]
+        texts += ["\n".join(map(" ".join, (line, line[:-1], [*line[: n // 2], "x", *line[n // 2 + 1 :]]))), "\n".join(map(" ".join, ([*line, "end"], line)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_removed([(r.doc_id, r.h, r.text) for r in df.withColumn("h", F.xxhash64("text")).collect()])
+    got = {r.doc_id: r.text for r in L.dedup_lines(df, drop_emptied=False).collect()}
+    assert got[1] == "\nkept" and len(got) == len(texts)
+    for d, t in enumerate(texts):
+        assert got[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get((d, t), []))
+
+
 def test_common_line_and_clashing_columns(spark, documents, no_documents):
     line = " ".join(f"k{i}" for i in range(12))
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\n"), F.concat_ws(" ", *[F.concat(F.lit(f"u{k}x"), "id") for k in range(12)])).alias("text"))
