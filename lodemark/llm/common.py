@@ -5,25 +5,40 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the word contracts mean it: space and \\t \\n \\v \\f \\r.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder (local tests).
+#: Used only by local sessions that name no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodemark"
+#: Texts differ in length by thousands of times, so Arrow batches are bounded by bytes.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_top(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session may do without naming one."""
+    sc = spark.sparkContext
+    top = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not top and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return top or LOCAL_CHECKPOINTS
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder all executors share; the context cleaner removes it."""
+    """Cut lineage into the folder all executors share. Spark removes it with the context where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on; otherwise it is left to the folder's owner."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
+        sc.setCheckpointDir(_shared_top(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -42,11 +57,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts may be long, so Arrow batches hold fewer rows than by default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches. Spark reads the setting when a query runs, so it stays; the number of rows keeps its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -62,9 +75,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the place that all executors share."""
-    sc = spark.sparkContext
-    top = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_top(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -101,22 +112,51 @@ def anti_join(left: DataFrame, right: DataFrame, keys: dict[str, str], most: int
     return left.join(F.broadcast(right) if right.count() <= most else right, on, "left_anti")
 
 
+def split_words(texts: pa.Array, mark: str) -> pa.ListArray:
+    """Each text's words with the mark before them, and its line feeds."""
+    cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), mark, "\0" + mark)
+    return pc.split_pattern(cut, "\0")
+
+
 class WordCache:
-    """What make gives for a word, for about the `size` words used last: a generation is dropped when the next is full."""
+    """The token ids that make gives for words, as little-endian unsigned 32-bit bytes, for about the `size` words used last:
+    when a generation is full it becomes the old one, from which words come back when they are met again. Words of more than
+    KEPT_LENGTH characters are not kept."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int):
+    KEPT_LENGTH = 64
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int):
         self.make, self.half = make, size // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, word: str) -> bytes:
+    def get(self, word: str) -> bytes | None:
         got = self.young.get(word)
-        if got is None:
-            got = self.old.get(word)
-            if got is None:
-                got = self.make(word)
-            if len(word) <= 64:
-                if len(self.young) >= self.half:
-                    self.old, self.young = self.young, {}
-                self.young[word] = got
+        return self.old.get(word) if got is None else got
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; make is called once for all that are not known."""
+        got = list(map(self.young.get, words))
+        at = [i for i, x in enumerate(got) if x is None]
+        for i in at:
+            got[i] = self.old.get(words[i])
+        made = [i for i in at if got[i] is None]
+        for i, x in zip(made, self.make([words[i] for i in made]), strict=True):
+            got[i] = x
+        if len(self.young) + len(at) > self.half:
+            self.old, self.young = self.young, {}
+        self.young.update([(words[i], got[i]) for i in at if len(words[i]) <= self.KEPT_LENGTH])
         return got
+
+    def join(self, texts: pa.ListArray) -> list[bytes]:
+        """Ids of each text, given as its words. Distinct words are looked up once, and their ids copied to all their places."""
+        words = texts.flatten().dictionary_encode()
+        given = self.of(words.dictionary.to_pylist())
+        sizes, flat = np.fromiter(map(len, given), "i8", len(given)) // 4, np.frombuffer(b"".join(given), dtype="<u4")
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        ids = flat[np.repeat(shift.astype("i4"), counts) + np.arange(ends[-1], dtype="i4")].tobytes()
+        edges = 4 * ends[np.concatenate([[0], np.cumsum(pc.list_value_length(texts).to_numpy())])]
+        return [ids[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]

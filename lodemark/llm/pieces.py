@@ -23,14 +23,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructType
 
-from .common import WordCache, small_batches
+from .common import WordCache, fresh, small_batches, split_words
 
 MARK = "▁"
-CACHE_WORDS = 1_500_000
+_PIECES = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
+CACHE_WORDS = 1_000_000
 #: What an uncovered character costs beyond the worst piece, as public unigram encoders have it.
 UNKNOWN_PENALTY = 10.0
 
@@ -67,7 +70,7 @@ class Pieces:
             self.text[i] = text.replace(MARK, " ").encode()
         for b, i in model["byte"].items():
             self.text[i] = bytes([b])
-        self.words = WordCache(self._word, CACHE_WORDS)
+        self.words = WordCache(self._words, CACHE_WORDS)
 
     def best(self, chunk: str) -> list[int]:
         """Ids of the best segmentation of a chunk."""
@@ -98,79 +101,80 @@ class Pieces:
         if s > score[at + 1]:
             score[at + 1], came[at + 1], piece[at + 1] = s, at, -1
 
-    def _word(self, chunk: str) -> bytes:
-        return np.array(self.best(chunk), dtype="<u4").tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype="<u4")
-        out, word, known = [], self.words, self.words.young.get
-        text = MARK + text.replace(" ", MARK)
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(word("\n"))
-            head, *rest = line.split(MARK)
-            if head:
-                out.append(word(head))
-            gap = MARK
-            for w in rest:
-                if w:
-                    out.append(known(gap + w) or word(gap + w))
-                    gap = MARK
-                else:
-                    gap += MARK  # a run of marks belongs to the word after it
-            if len(gap) > 1:
-                out.append(word(gap[:-1]))
-        return np.frombuffer(b"".join(out), dtype="<u4")
+    def _words(self, words: list[str]) -> list[bytes]:
+        return [np.array(self.best(w), dtype="<u4").tobytes() for w in words]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        marked = pc.replace_substring(pc.binary_join_element_wise(MARK, texts, ""), " ", MARK)
+        odd = pc.or_(pc.match_substring_regex(marked, f"{MARK}({MARK}|\n|$)|\\x00"), pc.equal(texts, ""))
+        got = self.words.join(split_words(pc.if_else(pc.fill_null(odd, True), "", marked), MARK))
+        for i in np.flatnonzero(pc.fill_null(odd, False).to_numpy(zero_copy_only=False)).tolist():
+            text = marked[i].as_py()
+            if text != MARK:
+                got[i] = self.words.join(pa.array([_PIECES.findall(text)]))[0]
+        return got
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.text
-        text = b"".join([table[i] for i in ids.tolist()]).decode()
+        text = b"".join(map(self.text.__getitem__, ids.tolist())).decode()
         return text[1:] if text.startswith(" ") else text
 
 
+def _schema(source: DataFrame, *added: tuple[str, DataType]) -> StructType:
+    """The columns that pass through and the added ones, renamed where they would clash."""
+    names = fresh(source, *[name for name, _ in added])
+    schema = StructType(source.schema.fields[:-1])
+    for name, (_, kind) in zip(names, added, strict=True):
+        schema = schema.add(name, kind)
+    return schema
+
+
+def _source(rows: DataFrame, keep: tuple[str, ...], last: str) -> DataFrame:
+    """keep, and last under a name that does not clash."""
+    kept = rows.select(*keep)
+    return rows.select(*keep, F.col(last).alias(*fresh(kept, "value")))
+
+
 def encode_documents(documents: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_pieces, ids, ids_crc32 (little-endian 32-bit ids) and round_trip: whether decoding gives the text back."""
+    """keep, n_pieces, ids, ids_crc32 (little-endian 32-bit ids) and round_trip: whether decoding gives the text back.
+    Kept columns pass through as they are; an added one whose name a kept one has gets an underscore before it."""
     spark = documents.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(load_pieces(model_path))  # as large as the vocabulary file
-    source = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
-    names = source.columns[:-1]
+    source = _source(documents, keep, text)
+    schema = _schema(source, ("n_pieces", LongType()), ("ids", ArrayType(IntegerType())), ("ids_crc32", LongType()), ("round_trip", BooleanType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _of(model)
         for batch in batches:
-            ids = [pieces.encode(t) for t in batch["text"]]
-            back = [pieces.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, batch["text"], strict=True)]
-            out = batch[names].copy()
-            out["n_pieces"] = [len(x) for x in ids]
-            out["ids"] = [x.astype("i4") for x in ids]
-            out["ids_crc32"] = [zlib.crc32(x) for x in ids]
-            out["round_trip"] = back
-            yield out
+            texts = batch.column(batch.num_columns - 1)
+            raw = pieces.encode(texts)
+            ids = [np.frombuffer(x, dtype="<i4") for x in raw]
+            back = [pieces.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts.to_pylist(), strict=True)]
+            sizes = np.array([len(x) for x in ids], dtype="i8")
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids)))
+            added = [pa.array(sizes), flat, pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(back, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    out = source.mapInPandas(run, ", ".join([*fields, "n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean"]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return source.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and text."""
+    """keep and text (null ids: the empty text), renamed like the columns of encode_documents."""
     spark = encoded.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(load_pieces(model_path))
-    source = encoded.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(ids).alias("ids"))
-    names = source.columns[:-1]
+    source = _source(encoded, keep, ids)
+    schema = _schema(source, ("text", StringType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _of(model)
         for batch in batches:
-            out = batch[names].copy()
-            out["text"] = [pieces.decode(np.asarray([] if x is None else x, dtype="i8")) for x in batch["ids"]]
-            yield out
+            column = batch.column(batch.num_columns - 1)
+            texts = [pieces.decode(np.asarray([] if x is None else x, dtype="i8")) for x in column.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInPandas(run, ", ".join([*fields, "text string"])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return source.mapInArrow(run, schema)
 
 
 _BUILT: dict[int, Pieces] = {}

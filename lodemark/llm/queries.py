@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
 from .chat import format_conversations
-from .common import shared_folder, table
+from .common import checkpoint, delete_folder, shared_folder, table
 from .decontaminate import contamination_report
 from .line_dedup import line_report
 from .minhash import near_duplicates
-from .pieces import encode_documents
+from .pieces import decode_documents, encode_documents
 from .quality import quality_report
 from .secrets import credential_sample, infer, scan_secrets
 from .sharding import assign_shards
-from .token_files import read_documents, write_token_files
+from .token_files import CHUNKS, read_documents, write_token_files
 from .url_filter import filter_urls
 
-#: Where the public tokenizers' vocabularies are; never copied.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Vocabularies of public tokenizers where they are installed; never copied.
+PIECES, BYTE_PAIRS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 #: The URL rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -40,7 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    """Encoded, and the ids decoded again."""
+    encoded = encode_documents(table(spark, sf_dir, "documents"), PIECES)
+    decoded = decode_documents(encoded, PIECES, keep=("doc_id", "n_pieces", "ids", "ids_crc32", "round_trip"))
+    return decoded.select("doc_id", "n_pieces", "ids", "ids_crc32", "round_trip", F.crc32("text").alias("decoded_crc32"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +68,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", path)
-    return read_documents(spark.read.parquet(path))
+    write_token_files(table(spark, sf_dir, "documents"), BYTE_PAIRS, path)
+    got = checkpoint(read_documents(spark.read.schema(CHUNKS).parquet(path)))
+    delete_folder(spark, path)
+    return got
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemark.llm import chat, minhash, pieces, secrets, sharding, token_files, url_filter
-from lodemark.llm.queries import TOKENIZERS, URL_RULES
-
-MODEL, VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
+from lodemark.llm.queries import BYTE_PAIRS as VOCABULARY
+from lodemark.llm.queries import PIECES as MODEL
+from lodemark.llm.queries import URL_RULES
 
 
 def classes(rows):
@@ -136,6 +136,17 @@ def test_pieces_match_plain_viterbi(documents, no_documents):
     assert pieces.encode_documents(no_documents, MODEL).count() == 0
 
 
+def test_pieces_keep_columns_as_they_are(spark):
+    """Large ids beside null ones, names that the added columns have, and columns of any type."""
+    rows = [(2**60 + 1, "a", [1], "x", 0), (None, None, None, None, None), (2**60 + 3, "b  c \n\n d ", [2, 3], "y", 1), (5, " ", [], "z", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>, n_pieces string, k0 long")
+    got = pieces.encode_documents(docs, MODEL, keep=tuple(docs.columns))
+    assert got.columns == [*docs.columns, "_n_pieces", "_ids", "ids_crc32", "round_trip"] and got.filter("round_trip").count() == 4
+    assert sorted(map(repr, got.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    back = pieces.decode_documents(got, MODEL, "_ids", keep=("doc_id", "text"))
+    assert back.columns == ["doc_id", "text", "_text"] and back.filter("_text <> coalesce(text, '')").count() == 0
+
+
 def test_shards_fit_and_split_only_where_needed(spark, documents, no_documents):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(1 + id % 50 as int))").alias("text"))
     docs = docs.unionByName(spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("y" * 20).alias("text")))  # one hot address
@@ -195,29 +206,50 @@ def test_secrets_base_and_inferred(spark, documents, no_documents):
     assert secrets.redact(train, automata).filter("text like '%AKIA%'").count() == 0
 
 
+ODD_TEXTS = ["a\n\nb", "a\n\n", "\n\na", "  a  b ", "a \n b\n", "x'll go", "it's don't 'tis ''s", "12ab34 cd", "<|endoftext|> x", "a<|endoftext|>b c", "éªº µ ñ'd",
+             "a\tb\n c", "\u3000x y", "x\xa0y", "a\x1cb c", "!!!'s ,'s", "#'ll", "\0a b", "漢字 🙂 a", "w" * 3000 + " " + "x" * 70, " ", "\n", " \n ", "'S 's", "ﬁ ½ ² x²y"]
+
+
 def test_token_files_match_the_library(spark, documents, no_documents, tmp_path):
     from tokenizers import Tokenizer
 
-    library, start = Tokenizer.from_file(VOCABULARY), 0
-    library.encode_special_tokens = True
-    token_files.write_token_files(documents, VOCABULARY, str(tmp_path / "a"))
+    library, start = Tokenizer.from_file(VOCABULARY), 0  # as it comes
+    far = 2**60  # ids that no double holds, beside null ones
+    odd = spark.createDataFrame([(far + i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string")
+    every = documents.select("doc_id", "text").unionByName(odd)
+    token_files.write_token_files(every, VOCABULARY, str(tmp_path / "a"))
     chunks = spark.read.parquet(str(tmp_path / "a"))
     got = token_files.read_documents(chunks).orderBy("start").collect()
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
     want = {}
-    for d in documents.collect():
+    for d in every.collect():
         want.setdefault(d.doc_id, []).append(zlib.crc32(np.array(ids(d.text), dtype="<u4").tobytes()))
-    seen = {}
+    seen, order = {}, [r.doc_id for r in got]
+    assert order == sorted(order, key=lambda x: (x is not None, x or 0)) and order[:2] == [None, None] and order[-1] == far + len(ODD_TEXTS) - 1
     for r in got:
         assert r.start == start
         start += r.n_tokens
         seen.setdefault(r.doc_id, []).append(r.ids_crc32)
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
+    assert any(50256 in r.ids for r in token_files.read_ids(chunks).filter(f"doc_id >= {far}").collect())
     assert token_files.read_ids(chunks).agg(F.sum(F.size("ids"))).first()[0] == start
     token_files.write_token_files(no_documents, VOCABULARY, str(tmp_path / "b"))
     assert token_files.read_documents(spark.read.schema(token_files.CHUNKS).parquet(str(tmp_path / "b"))).count() == 0
 
 
+def test_token_cache_forgets_and_stays_right(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 8)
+    small, library = token_files.WordTokenizer(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(2)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["ab", "cde,", "it's", "x1y2", "fjord.", "ñu", "x-y"]) + str(rng.randrange(9)) for _ in range(12)) for _ in range(4)]
+        got = small.encode(pa.array([*texts, None]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+
+
 @pytest.mark.parametrize("n", [0, 1, 65_536, 65_537, 150_000])
 def test_planes_round_trip(n):
     x = np.random.default_rng(n).integers(0, 2**32, n, dtype="u4")
