@@ -15,7 +15,7 @@ from lodemark.llm.line_dedup import dedup_lines
 from lodemark.llm.minhash import drop_near_duplicates
 from lodemark.llm.pieces import encode_documents
 from lodemark.llm.quality import quality_filter
-from lodemark.llm.queries import TOKENIZERS
+from lodemark.llm.queries import PIECES
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=tuple(c for c in docs.columns if c != "text"))
+    return encode_documents(docs, PIECES, keep=tuple(c for c in docs.columns if c != "text"))
 
 
 STAGES = [
