@@ -1,9 +1,10 @@
 """Forward as-of joins: the first bar at or after a time.
 
-With a tolerance, times fall into buckets as wide as the tolerance and a probe
-asks its own bucket and the next: an equi-join that partitions by symbol and
-time, so a busy symbol spreads over its buckets. Without one, probes and bars
-are merged in one window per symbol, for series of bars.
+Probes and bars fall into buckets of time, so a busy symbol spreads over its
+buckets. With a tolerance the buckets are as wide as it, and a probe asks its
+own bucket and the next. Without one, probes and bars of a bucket are merged in
+one window, and a probe past its bucket's last bar takes the first bar of the
+next bucket that has any: one row per bucket, found over those rows alone.
 """
 
 from __future__ import annotations
@@ -27,13 +28,19 @@ def forward_tolerance(probes: DataFrame, bars: DataFrame, seconds: int, values:
     return probes.join(best, F.col(key) == F.col("_id"), "left").select(*probes.columns, "_m.*")
 
 
-def forward(probes: DataFrame, bars: DataFrame, values: list[str], by: str = "symbol", at: str = "probe_ts") -> DataFrame:
-    """probes plus match_ts and the values of the first bar at or after each probe; null past the end."""
+def forward(probes: DataFrame, bars: DataFrame, values: list[str], by: str = "symbol", at: str = "probe_ts", seconds: int = 86_400) -> DataFrame:
+    """probes plus match_ts and the values of the first bar at or after each probe; null past the end. Buckets are `seconds` wide."""
     some = F.struct(F.col("ts").alias("match_ts"), *values)
     kind = bars.select(some.alias("m")).schema["m"].dataType
-    rows = bars.select(F.col(by).alias("_by"), F.col("ts").alias("_t"), F.lit(1).alias("_bar"), some.alias("_m"), F.lit(None).cast(probes.schema).alias("_p"))
-    asks = probes.select(F.col(by).alias("_by"), F.col(at).alias("_t"), F.lit(0).alias("_bar"), F.lit(None).cast(kind).alias("_m"), F.struct(*probes.columns).cast(probes.schema).alias("_p"))
+    bucket = lambda t: F.floor(_epoch(F.col(t)) / (seconds * 1_000_000)).alias("_bucket")
+    rows = bars.select(F.col(by).alias("_by"), bucket("ts"), F.col("ts").alias("_t"), F.lit(1).alias("_bar"), some.alias("_m"), F.lit(None).cast(probes.schema).alias("_p"))
+    asks = probes.select(F.col(by).alias("_by"), bucket(at), F.col(at).alias("_t"), F.lit(0).alias("_bar"), F.lit(None).cast(kind).alias("_m"), F.struct(*probes.columns).cast(probes.schema).alias("_p"))
+    every = rows.unionByName(asks)
     # searching backwards in time, a bar stands before the probes of its own time
-    w = Window.partitionBy("_by").orderBy(F.desc("_t"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
-    got = rows.unionByName(asks).withColumn("_m", F.last("_m", ignorenulls=True).over(w))
-    return got.filter(F.col("_bar") == 0).select("_p.*", "_m.*")
+    w = Window.partitionBy("_by", "_bucket").orderBy(F.desc("_t"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
+    got = every.withColumn("_m", F.last("_m", ignorenulls=True).over(w)).filter(F.col("_bar") == 0)
+    firsts = every.groupBy("_by", "_bucket").agg(F.min_by("_m", F.when(F.col("_bar") == 1, F.col("_t"))).alias("_first"))
+    after = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)  # a row per bucket
+    firsts = firsts.select(F.col("_by").alias("_b"), F.col("_bucket").alias("_k"), F.first("_first", ignorenulls=True).over(after).alias("_next"))
+    got = got.join(firsts, F.col("_by").eqNullSafe(F.col("_b")) & F.col("_bucket").eqNullSafe(F.col("_k")), "left")
+    return got.withColumn("_m", F.coalesce("_m", "_next")).select("_p.*", "_m.*")

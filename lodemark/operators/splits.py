@@ -43,7 +43,7 @@ def overfitting(returns: DataFrame, config: str, order: list[str], x: str, block
     w = Window.partitionBy(config).orderBy(*order)
     r = returns.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(config)))
     size = F.floor(F.col("_n") / blocks)
-    r = r.withColumn("block", F.floor(F.col("_i") / size).cast("int")).filter(F.col("block") < blocks)
+    r = r.withColumn("block", F.floor(F.try_divide(F.col("_i"), size)).cast("int")).filter(F.col("block") < blocks)  # shorter series have no block
     sums = r.groupBy(config, "block").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     c = block_choices(spark, blocks).join(sums, F.lit(True)).withColumn("inside", F.array_contains("in_sample", F.col("block")))
     part = lambda cond, v: F.sum(F.when(cond, F.col(v)).otherwise(0))

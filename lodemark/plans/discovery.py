@@ -80,7 +80,7 @@ def hour_of_day(spark, sf_dir):
 @query(189, 287, 284, 289, 292, sql=f"""WITH {_RET}, x AS (SELECT *, high - low AS rng, min(high - low) OVER w8 AS narrow, count(*) OVER w8 AS n8, lead(high - low) OVER o AS nr, lead(r) OVER o AS nx, max(high) OVER d AS dh, min(low) OVER d AS dl, count(*) OVER d AS nd FROM r
   WINDOW o AS (PARTITION BY symbol ORDER BY ts), w8 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), d AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 m AS (SELECT symbol, list_sort(list(rng))[count(*) // 2 + 1] AS med FROM x GROUP BY symbol)
-SELECT symbol, count(*) FILTER (n8 = 8 AND rng <= narrow) AS nr, round(avg(nr / med) FILTER (n8 = 8 AND rng <= narrow), 6) AS expansion, count(*) FILTER (nd = 20 AND close > dh) AS up, count(*) FILTER (nd = 20 AND close < dl) AS down,
+SELECT symbol, count(*) FILTER (n8 = 8 AND rng <= narrow) AS nr, round(avg(nr / nullif(med, 0)) FILTER (n8 = 8 AND rng <= narrow), 6) AS expansion, count(*) FILTER (nd = 20 AND close > dh) AS up, count(*) FILTER (nd = 20 AND close < dl) AS down,
   round(avg(nx) FILTER (nd = 20 AND close > dh), 6) AS after_up FROM x JOIN m USING (symbol) GROUP BY symbol""")
 def compression_and_breakout(spark, sf_dir):
     w = R.series("symbol")
@@ -90,7 +90,7 @@ def compression_and_breakout(spark, sf_dir):
     b = b.withColumns({"tight": F.coalesce(F.col("rng") <= R.full(F.col("rng"), F.min("rng").over(w.rowsBetween(-7, 0)), w, 8), F.lit(False)), "nr": F.lead("rng").over(w), "nx": F.lead("r").over(w), "up": F.col("close") > top, "down": F.col("close") < bottom})
     med = b.groupBy("symbol").agg(S.upper_median(F.col("rng")).alias("med"))
     return b.join(F.broadcast(med), "symbol").groupBy("symbol").agg(  # a row per symbol
-        F.count_if("tight").alias("nr"), F.round(F.avg(F.when(F.col("tight"), F.col("nr") / F.col("med"))), 6).alias("expansion"), F.count_if("up").alias("up"), F.count_if("down").alias("down"),
+        F.count_if("tight").alias("nr"), F.round(F.avg(F.when(F.col("tight"), F.try_divide(F.col("nr"), F.nullif("med", F.lit(0.0))))), 6).alias("expansion"), F.count_if("up").alias("up"), F.count_if("down").alias("down"),
         F.round(F.avg(F.when(F.col("up"), F.col("nx"))), 6).alias("after_up"),
     )
 
@@ -110,7 +110,7 @@ def gaps_and_fills(spark, sf_dir):
     return b.select("symbol", F.col("pt").alias("gap_from"), F.col("ts").alias("gap_to"), (F.col("gap") - 1).alias("gap_hours"), ((F.col("lo") <= F.col("pc")) & (F.col("hi") >= F.col("pc"))).alias("filled"), kind.alias("class"))
 
 
-@query(165, 166, 415, 417, 418, 116, 419, sql=f"""WITH {BARS}, s AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY symbol), e AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM s),
+@query(165, 166, 415, 417, 418, 116, sql=f"""WITH {BARS}, s AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY symbol), e AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM s),
 m AS (SELECT e.*, bars.ts IS NULL AS missing, isodow(e.ts) >= 6 AS weekend, e.ts >= TIMESTAMP '2024-01-15' AND e.ts < TIMESTAMP '2024-01-16' AS holiday FROM e LEFT JOIN bars USING (symbol, ts))
 SELECT symbol, count(*) AS expected, count(*) FILTER (NOT missing) AS present, count(*) FILTER (missing AND weekend) AS weekend, count(*) FILTER (missing AND NOT weekend AND holiday) AS holiday, count(*) FILTER (missing AND NOT weekend AND NOT holiday) AS residual,
   round(count(*) FILTER (NOT missing) / count(*), 6) AS coverage FROM m GROUP BY symbol""")
@@ -141,7 +141,7 @@ def regime_autocorrelation(spark, sf_dir):
     return v.join(F.broadcast(cuts), "symbol").groupBy("symbol", regime.alias("regime")).agg(F.count("*").alias("n"), F.round(F.corr("r", "nx"), 6).alias("ac"), F.round(F.sum("r"), 6).alias("total"))
 
 
-@query(193, 290, 285, 282, 409, 407, sql=f"""WITH {_RET}, x AS (SELECT *, sign(lag(close, 1) OVER o - lag(close, 24) OVER o) AS trend, CASE WHEN sign(r) = sign(lag(r, 1) OVER o) AND sign(r) = sign(lag(r, 2) OVER o) THEN sign(r) ELSE 0 END AS streak, lead(close, 6) OVER o / close - 1 AS fwd FROM r WINDOW o AS (PARTITION BY symbol ORDER BY ts))
+@query(193, 290, 285, 282, 407, sql=f"""WITH {_RET}, x AS (SELECT *, sign(lag(close, 1) OVER o - lag(close, 24) OVER o) AS trend, CASE WHEN sign(r) = sign(lag(r, 1) OVER o) AND sign(r) = sign(lag(r, 2) OVER o) THEN sign(r) ELSE 0 END AS streak, lead(close, 6) OVER o / close - 1 AS fwd FROM r WINDOW o AS (PARTITION BY symbol ORDER BY ts))
 SELECT symbol, count(*) FILTER (streak <> 0) AS streaks, count(*) FILTER (streak <> 0 AND trend = -streak) AS aligned, round(avg(-streak * fwd) FILTER (streak <> 0 AND trend = -streak), 6) AS mean, avg(-streak * fwd) FILTER (streak <> 0) > 0 AS positive FROM x GROUP BY symbol""")
 def multi_timeframe_streaks(spark, sf_dir):
     """A three-bar streak faded where the day's trend points the other way."""
@@ -163,7 +163,7 @@ def fade_trades(spark, sf_dir):
     return t.filter("gross is not null")
 
 
-@query(321, 322, 323, 324, 326, 411, 319, sql=f"""WITH {_NETS}, b AS (SELECT *, least(floor((k - 1) / floor(len / 4)), 3)::INT AS block FROM n), p AS (SELECT symbol, block, sum(gross) AS s FROM b GROUP BY 1, 2),
+@query(321, 324, 411, sql=f"""WITH {_NETS}, b AS (SELECT *, least(floor((k - 1) / nullif(floor(len / 4), 0)), 3)::INT AS block FROM n), p AS (SELECT symbol, block, sum(gross) AS s FROM b GROUP BY 1, 2),
 c AS (SELECT symbol, m, avg(gross - m * 0.00085) AS net FROM n, (VALUES (1.0), (1.5), (2.0), (3.0)) c(m) GROUP BY 1, 2)
 SELECT c.symbol, round(max(net) FILTER (m = 1), 6) AS base, round(max(net) FILTER (m = 1.5), 6) AS x15, round(max(net) FILTER (m = 2), 6) AS x2, round(max(net) FILTER (m = 3), 6) AS x3, any_value(pos) AS positive_blocks, (max(net) FILTER (m = 2) > 0 AND any_value(pos) >= 3) AS survives
 FROM c JOIN (SELECT symbol, count(*) FILTER (s > 0) AS pos FROM p GROUP BY symbol) q USING (symbol) GROUP BY c.symbol""")
@@ -172,7 +172,7 @@ def adversarial_costs_and_blocks(spark, sf_dir):
     t = fade_trades(spark, sf_dir)
     w = R.series("symbol")
     t = t.withColumns({"k": F.row_number().over(w), "len": F.count("*").over(Window.partitionBy("symbol"))})
-    t = t.withColumn("block", F.least(F.floor((F.col("k") - 1) / F.floor(F.col("len") / 4)), F.lit(3)))
+    t = t.withColumn("block", F.least(F.floor(F.try_divide(F.col("k") - 1, F.floor(F.col("len") / 4))), F.lit(3)))
     blocks = t.groupBy("symbol", "block").agg(F.sum("gross").alias("s")).groupBy("symbol").agg(F.count_if(F.col("s") > 0).alias("positive_blocks"))
     g = t.groupBy("symbol").agg(*[F.avg(F.col("gross") - m * 0.00085).alias(n) for n, m in (("base", 1.0), ("x15", 1.5), ("x2", 2.0), ("x3", 3.0))]).join(blocks, "symbol")
     return g.select("symbol", *[F.round(n, 6).alias(n) for n in ("base", "x15", "x2", "x3")], "positive_blocks", ((F.col("x2") > 0) & (F.col("positive_blocks") >= 3)).alias("survives"))
@@ -189,7 +189,7 @@ def backtest_overfitting(spark, sf_dir):
     return splits.overfitting(r, "symbol", ["ts"], "r", 4)
 
 
-@query(400, 401, 402, 403, sql=f"""WITH {_RET}, o AS (SELECT symbol, avg(sign(r) * sign(p)) AS edge, avg(r * p) / nullif(var_pop(r), 0) * sqrt(count(*)) AS t FROM (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM r) WHERE p IS NOT NULL GROUP BY symbol),
+@query(400, 402, sql=f"""WITH {_RET}, o AS (SELECT symbol, avg(sign(r) * sign(p)) AS edge, avg(r * p) / nullif(var_pop(r), 0) * sqrt(count(*)) AS t FROM (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM r) WHERE p IS NOT NULL GROUP BY symbol),
 h AS (SELECT symbol, k, 2 * abs(edge) * 0.00085 * k AS gross, t FROM o, (VALUES (2), (3), (4)) v(k)), e AS (SELECT *, gross / 0.0006 AS evc FROM h)
 SELECT symbol, k, round(evc, 6) AS evc, CASE WHEN evc < 0.25 THEN 'REJECTED' WHEN evc >= 1 THEN 'VIABLE' ELSE 'WEAK' END AS status, round(abs(t) * least(evc, 3) / k, 6) AS priority FROM e""")
 def hypothesis_emission(spark, sf_dir):
@@ -202,7 +202,7 @@ def hypothesis_emission(spark, sf_dir):
     return h.select("symbol", "k", F.round("evc", 6).alias("evc"), status.alias("status"), F.round(F.abs("t") * F.least("evc", F.lit(3.0)) / F.col("k"), 6).alias("priority"))
 
 
-@query(126, 433, 276, sql=f"""WITH {DAYS}, x AS (SELECT symbol, date, close, close / lag(close, 5) OVER o - 1 AS prior, lead(close, 1) OVER o / close - 1 AS nx FROM days WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+@query(126, 433, sql=f"""WITH {DAYS}, x AS (SELECT symbol, date, close, close / lag(close, 5) OVER o - 1 AS prior, lead(close, 1) OVER o / close - 1 AS nx FROM days WINDOW o AS (PARTITION BY symbol ORDER BY date)),
 j AS (SELECT a.symbol, b.symbol AS other, a.nx, b.prior FROM x a JOIN x b ON a.date = b.date AND a.symbol <> b.symbol WHERE a.nx IS NOT NULL AND b.prior IS NOT NULL)
 SELECT symbol, other, prior > 0 AS other_rose, count(*) AS n, round(avg(nx), 6) AS mean, (count(*) >= 10 AND avg(nx) > 0) AS passes FROM j GROUP BY 1, 2, 3""")
 def conditional_split(spark, sf_dir):

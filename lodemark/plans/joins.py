@@ -68,7 +68,7 @@ _MECHANISMS = """round(CASE WHEN surprise > 0 THEN 1 WHEN surprise < 0 THEN -1 E
   round(CASE WHEN sign(surprise) = sign(click_impulse - click_entry) AND sign(surprise) = sign(purchase_impulse - purchase_entry) THEN sign(surprise) * ln(purchase_exit / purchase_impulse) END, 6) AS dual_confirmed"""
 
 
-@query(293, 294, 295, 297, 298, 299, 300, 301, 302, 303, 269, sql=f"WITH {LEGS_SQL} SELECT event_id, name, {_MECHANISMS}, round(CASE WHEN name IN (1, 3) THEN -sign(surprise) * ln(purchase_exit / purchase_entry) END, 6) AS session_variant FROM legs")
+@query(294, 295, 297, 298, 299, 300, 302, 269, sql=f"WITH {LEGS_SQL} SELECT event_id, name, {_MECHANISMS}, round(CASE WHEN name IN (1, 3) THEN -sign(surprise) * ln(purchase_exit / purchase_entry) END, 6) AS session_variant FROM legs")
 def event_mechanisms(spark, sf_dir):
     """Net log returns of the event mechanisms from one as-of pass."""
     e = event_legs(spark, sf_dir)
@@ -151,13 +151,13 @@ def signal_quality(spark, sf_dir):
     )
 
 
-_SPANS = "sp AS (SELECT symbol, seq AS trade_id, ts AS entry, ts + to_hours((2 + seq % 5)::INT) AS exit FROM ticks WHERE user_id = 7)"
+_SPANS = "sp AS (SELECT symbol, seq AS trade_id, ts AS entry, ts + to_hours((2 + seq % 5)::INT) AS exit FROM ticks)"
 
 
 @query(66, 67, sql=f"""WITH {BARS}, {_SPANS} SELECT b.symbol, b.ts, count(*) AS open_trades, min(trade_id) AS first_trade FROM bars b JOIN sp ON sp.symbol = b.symbol AND b.ts >= sp.entry AND b.ts < sp.exit GROUP BY 1, 2""")
 def trade_bar_stamping(spark, sf_dir):
     """Half-open [entry, exit): each trade is exploded to its hours, so the range join is an equi-join on the bar grid."""
-    t = T.ticks(spark, sf_dir).filter("user_id = 7")
+    t = T.ticks(spark, sf_dir)
     exit_ = F.col("ts") + F.make_dt_interval(hours=(2 + F.col("seq") % 5).cast("int"))
     hours = F.sequence(F.date_trunc("hour", "ts"), F.date_trunc("hour", exit_), F.expr("INTERVAL 1 HOUR"))
     t = t.select("symbol", F.col("seq").alias("trade_id"), F.col("ts").alias("entry"), exit_.alias("exit"), F.explode(hours).alias("h"))
@@ -179,16 +179,17 @@ def regime_and_session(spark, sf_dir):
     return t.groupBy("symbol", regime.alias("regime"), session(F.col("ts")).alias("session")).agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean"))
 
 
-@query(73, 74, 420, sql=f"""WITH {TICKS}, a AS (SELECT ts, price FROM ticks WHERE symbol = 'click'), b AS (SELECT ts, price, user_id FROM ticks WHERE user_id < 40),
+@query(73, 74, 420, sql=f"""WITH {TICKS}, a AS (SELECT ts, price, user_id FROM ticks WHERE symbol = 'click'), b AS (SELECT ts, price, user_id FROM ticks WHERE symbol = 'purchase'),
 o AS (SELECT (SELECT min(ts) FROM a) AS a0, (SELECT max(ts) FROM a) AS a1, (SELECT min(ts) FROM b) AS b0, (SELECT max(ts) FROM b) AS b1)
-SELECT (SELECT count(*) FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.ts = b.ts AND a.price = b.price)) AS shared, greatest(a0, b0) AS from_ts, least(a1, b1) AS to_ts,
+SELECT (SELECT count(*) FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.ts::DATE = b.ts::DATE AND a.user_id = b.user_id)) AS shared, greatest(a0, b0) AS from_ts, least(a1, b1) AS to_ts,
   round(date_diff('second', greatest(a0, b0), least(a1, b1)) / date_diff('second', a0, a1), 6) AS share_of_a, greatest(a0, b0) <= least(a1, b1) AS overlaps FROM o""")
 def record_and_interval_overlap(spark, sf_dir):
-    """Rows of B whose content occurs in A (semi: repeats in B count), and the overlap of the spans; touching ends overlap."""
+    """Purchases by users who clicked on the same day (semi: repeats count), and the overlap of the spans; touching ends overlap."""
     t = T.ticks(spark, sf_dir)
-    a, b = t.filter("symbol = 'click'"), t.filter("user_id < 40")
-    h = F.xxhash64("ts", "price")
-    shared = b.select("ts", "price", h.alias("h")).join(a.select("ts", "price", h.alias("h")), ["h", "ts", "price"], "left_semi").agg(F.count("*").alias("shared"))
+    a, b = t.filter("symbol = 'click'"), t.filter("symbol = 'purchase'")
+    key = ["user_id", "day"]
+    of = lambda d: d.select("user_id", F.to_date("ts").alias("day"))
+    shared = of(b).join(of(a), key, "left_semi").agg(F.count("*").alias("shared"))
     span = lambda d, x: d.agg(F.min("ts").alias(f"{x}0"), F.max("ts").alias(f"{x}1"))
     o = span(a, "a").join(span(b, "b"), F.lit(True)).join(shared, F.lit(True))  # one row each
     lo, hi = F.greatest("a0", "b0"), F.least("a1", "b1")
@@ -198,14 +199,14 @@ def record_and_interval_overlap(spark, sf_dir):
 
 @query(69, 76, 77, sql="""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber AS ver, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey) AS k FROM lineitem), latest AS (SELECT * FROM e WHERE k = 1)
 SELECT o_orderkey AS hypothesis, o_custkey AS source, c_name AS source_name, count(dst) AS claims, count(p_partkey) AS found, count(dst) - count(p_partkey) AS missing, coalesce(list_sort(list(p_brand) FILTER (p_brand IS NOT NULL)), []) AS brands
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN latest ON src = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size < 40) p ON dst = p_partkey GROUP BY 1, 2, 3""")
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN latest ON src = o_orderkey LEFT JOIN part p ON dst = p_partkey GROUP BY 1, 2, 3""")
 def lineage_trace(spark, sf_dir):
     """Latest edges, then left joins that keep missing references."""
     li = T.table(spark, sf_dir, "lineitem")
     latest = li.groupBy(F.col("l_orderkey").alias("src"), "l_linenumber").agg(F.max_by("l_partkey", F.struct("l_shipdate", -F.col("l_partkey"))).alias("dst"))
     o = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = T.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    p = T.table(spark, sf_dir, "part").filter("p_size < 40").select("p_partkey", "p_brand")
+    p = T.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(latest, F.col("o_orderkey") == F.col("src"), "left").join(p, F.col("dst") == F.col("p_partkey"), "left")
     found = F.count("p_partkey")
     return j.groupBy(F.col("o_orderkey").alias("hypothesis"), F.col("o_custkey").alias("source"), F.col("c_name").alias("source_name")).agg(
@@ -213,7 +214,7 @@ def lineage_trace(spark, sf_dir):
 
 
 @query(78, 128, 129, 131, 132, 250, 251, 252, sql=f"""WITH {TICKS}, q AS (SELECT symbol, last(price ORDER BY ts, seq) AS px FROM ticks GROUP BY symbol),
-pos AS (SELECT symbol, seq, price AS entry, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS dir, volume / 100 AS lots FROM ticks WHERE user_id < 10)
+pos AS (SELECT symbol, seq, price AS entry, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS dir, volume / 100 AS lots FROM ticks)
 SELECT symbol, count(*) AS positions, round(sum(dir * lots), 6) AS exposure, round(sum(lots * 100 * px), 4) AS gross_notional,
   round(sum((CASE WHEN dir > 0 THEN px - 0.01 ELSE px + 0.01 END - entry) * dir * 100 * lots), 4) AS open_pnl, round(sum(lots * 100 * px / 30), 4) AS margin FROM pos JOIN q USING (symbol) GROUP BY symbol""")
 def revaluation_and_exposure(spark, sf_dir):
@@ -222,7 +223,7 @@ def revaluation_and_exposure(spark, sf_dir):
 
     t = T.ticks(spark, sf_dir)
     q = F.broadcast(t.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("px")))  # a row per symbol
-    pos = t.filter("user_id < 10").select("symbol", F.col("price").alias("entry"), F.when(F.col("seq") % 2 == 0, 1).otherwise(-1).alias("dir"), (F.col("volume") / 100).alias("lots")).join(q, "symbol")
+    pos = t.select("symbol", F.col("price").alias("entry"), F.when(F.col("seq") % 2 == 0, 1).otherwise(-1).alias("dir"), (F.col("volume") / 100).alias("lots")).join(q, "symbol")
     px, c, no = F.col("px"), F.lit(100.0), F.lit(False)
     at = F.when(F.col("dir") > 0, px - 0.01).otherwise(px + 0.01)
     gross = X.notional(px, F.col("lots"), c, no)
@@ -232,7 +233,18 @@ def revaluation_and_exposure(spark, sf_dir):
     )
 
 
-@query(307, 308, 304, 306, 406, 410, 442, sql=f"""WITH {BARS}, macro AS (SELECT seq AS event_id, ts, price - volume AS surprise, percent_rank() OVER (ORDER BY ts, seq) AS pr FROM ticks WHERE symbol = 'signup'),
+def position_share(events: DataFrame) -> DataFrame:
+    """Adds pr, each event's percent rank by (ts, event_id). Events are counted per hour, and only the counts are summed in one window;
+    places inside an hour are numbered by hour."""
+    hour = T.hour_of(F.col("ts"))
+    counts = events.groupBy(hour.alias("_h")).agg(F.count("*").alias("_k"))
+    before = Window.partitionBy().orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)  # a row per hour
+    counts = counts.select("_h", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    placed = events.withColumn("_h", hour).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("ts", "event_id")))
+    return placed.join(counts, "_h").withColumn("pr", F.coalesce(F.try_divide(F.col("_before") + F.col("_r") - 1, F.col("_n") - 1), F.lit(0.0))).drop("_h", "_r", "_before", "_n")
+
+
+@query(307, 308, 304, 306, 406, sql=f"""WITH {BARS}, macro AS (SELECT seq AS event_id, ts, price - volume AS surprise, percent_rank() OVER (ORDER BY ts, seq) AS pr FROM ticks WHERE symbol = 'signup'),
 w AS (SELECT * FROM (VALUES (0, 4), (0, 12), (1, 6), (2, 24)) w(entry_h, exit_h)), s AS (SELECT symbol FROM (VALUES ('purchase'), ('click')) s(symbol)),
 pr AS (SELECT m.*, s.symbol, w.*, m.ts + to_hours(entry_h) AS t0, m.ts + to_hours(exit_h) AS t1 FROM macro m, s, w),
 a AS (SELECT pr.*, CASE WHEN b.ts <= t0 + INTERVAL 6 HOUR THEN b.close END AS p0 FROM pr ASOF LEFT JOIN bars b ON pr.symbol = b.symbol AND b.ts >= pr.t0),
@@ -243,16 +255,14 @@ def event_sweep(spark, sf_dir):
     """Windows x symbols as a parameter table, crossed with the events; one as-of pass for all probes; 80/20 by event time."""
     from ..operators.stats import t_stat, win_rate
 
-    m = macro_events(spark, sf_dir).filter("surprise <> 0")
-    allm = macro_events(spark, sf_dir)
-    cut = allm.withColumn("g", F.lit(1)).select("event_id", F.percent_rank().over(Window.partitionBy("g").orderBy("ts", "event_id")).alias("pr"))
+    m = position_share(macro_events(spark, sf_dir)).filter("surprise <> 0")
     grid = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(a).alias("entry_h"), F.lit(b).alias("exit_h")) for s in ("purchase", "click") for a, b in ((0, 4), (0, 12), (1, 6), (2, 24))])
-    p = m.withColumn("g", F.explode(grid)).select("event_id", "surprise", "ts", "g.*").withColumn("leg", F.explode(F.array(F.lit("entry"), F.lit("exit"))))
+    p = m.withColumn("g", F.explode(grid)).select("event_id", "surprise", "ts", "pr", "g.*").withColumn("leg", F.explode(F.array(F.lit("entry"), F.lit("exit"))))
     hours = F.when(F.col("leg") == "entry", F.col("entry_h")).otherwise(F.col("exit_h"))
     p = p.withColumn("probe_ts", F.col("ts") + F.make_dt_interval(hours=hours)).withColumn("probe_id", F.concat_ws(":", "event_id", "symbol", "entry_h", "exit_h", "leg"))
     got = asof.forward_tolerance(p, T.bars_1h(spark, sf_dir), 6 * 3600, ["close"])
     at = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("close")))
-    legs = got.groupBy("event_id", "surprise", "symbol", "entry_h", "exit_h").agg(at("entry").alias("p0"), at("exit").alias("p1")).dropna(subset=["p0", "p1"]).join(cut, "event_id")
+    legs = got.groupBy("event_id", "surprise", "pr", "symbol", "entry_h", "exit_h").agg(at("entry").alias("p0"), at("exit").alias("p1")).dropna(subset=["p0", "p1"])
     net = F.signum("surprise") * F.ln(F.col("p1") / F.col("p0")) - 0.00085
     r = legs.select("symbol", "entry_h", "exit_h", F.when(F.col("pr") < 0.8, "train").otherwise("validation").alias("part"), net.alias("net"))
     x = F.col("net")

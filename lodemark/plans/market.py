@@ -21,7 +21,7 @@ def r6(x):
     return F.round(x, 6)
 
 
-@query(1, 33, 36, sql=f"""WITH {BARS}, u AS (
+@query(33, sql=f"""WITH {BARS}, u AS (
   SELECT symbol, ts, open, high, low, close, coalesce(volume, 0) AS volume FROM bars)
 SELECT symbol, ts, open, high, low, close, volume FROM u WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL""")
 def bars_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def resample_1d(spark, sf_dir):
     return T.bars_1d(spark, sf_dir).filter("n >= 12").select("symbol", "date", "open", "high", "low", "close", "n", "last_ts")
 
 
-@query(82, 55, sql=f"""WITH {DAYS} SELECT symbol, isoyear(date) AS iso_year, weekofyear(date) AS iso_week, min(date) AS week_start, first(open ORDER BY date) AS open,
+@query(82, sql=f"""WITH {DAYS} SELECT symbol, isoyear(date) AS iso_year, weekofyear(date) AS iso_week, min(date) AS week_start, first(open ORDER BY date) AS open,
 max(high) AS high, min(low) AS low, last(close ORDER BY date) AS close, count(*) AS days FROM days GROUP BY 1, 2, 3""")
 def resample_1w(spark, sf_dir):
     d = T.bars_1d(spark, sf_dir)

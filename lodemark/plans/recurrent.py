@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import chains
 from ..operators import recurrence as K
 from ..sources import tables as T
 from .base import BARS, TICKS
@@ -86,10 +88,12 @@ def adx_and_regime(spark, sf_dir):
     return got.select("symbol", "ts", r6(F.col("plus_di")).alias("plus_di"), r6(F.col("minus_di")).alias("minus_di"), r6(F.col("adx_14")).alias("adx_14"), regime.alias("regime"))
 
 
-@query(152, 368)
+@query(152, sql=f"""{_NUMBERED}, {ewm_sql("a10", "x", "@tr", 1, "(1.0 / 10)")}, sx AS (SELECT symbol, r, (high + low) / 2 AS mid, close, a10.y FROM x JOIN a10 USING (symbol, r) WHERE r >= 10),
+st AS (SELECT symbol, r, mid + 3 * y AS top, mid - 3 * y AS bottom, 1 AS way, close FROM sx WHERE r = 10
+  UNION ALL SELECT s.symbol, s.r, CASE WHEN p.close <= p.top THEN least(s.mid + 3 * s.y, p.top) ELSE s.mid + 3 * s.y END, CASE WHEN p.close >= p.bottom THEN greatest(s.mid - 3 * s.y, p.bottom) ELSE s.mid - 3 * s.y END,
+    CASE WHEN s.close > p.top THEN 1 WHEN s.close < p.bottom THEN -1 ELSE p.way END, s.close FROM st p JOIN sx s ON s.symbol = p.symbol AND s.r = p.r + 1)
+SELECT symbol, ts, round(CASE WHEN way > 0 THEN bottom ELSE top END, 6) AS line, coalesce(way, 1) AS direction FROM x LEFT JOIN st USING (symbol, r)""")
 def supertrend_line(spark, sf_dir):
-    """Checked in tests by hand-computed series; its band flips have no closed SQL form."""
-
     def run(f):
         line, way = K.supertrend(*(f[x].to_numpy("f8") for x in ("high", "low", "close")))
         return {"line": line, "direction": way}
@@ -106,10 +110,11 @@ _T = f"""WITH RECURSIVE {TICKS}, x AS (SELECT symbol, seq, ts, row_number() OVER
   FROM t JOIN x ON x.symbol = t.symbol AND x.r = t.r + 1)
 SELECT symbol, seq, ts, sent FROM x JOIN t USING (symbol, r)""")
 def publish_throttle(spark, sf_dir):
-    """Per user and symbol in production; by hour-bounded groups of one symbol here. The streaming twin is streaming.throttle."""
+    """The first tick of a symbol, then always the first at least half an hour after the last one let through. Each tick points at the
+    next that would be; the chain from the first is followed by doubling, so no series gathers in a task."""
     rows = T.ticks(spark, sf_dir).select("symbol", "ts", "seq")
-    got = K.per_symbol(rows, lambda f: {"sent": K.throttle(f["ts"].astype("int64").to_numpy() / f_unit(f), 1800)}, {"sent": "boolean"}, order=("ts", "seq"))
-    return got.select("symbol", "seq", "ts", "sent")
+    sent = chains.spaced(rows, "symbol", "ts", "seq", 1800)
+    return rows.join(sent.withColumn("sent", F.lit(True)), ["symbol", "seq"], "left").select("symbol", "seq", "ts", F.coalesce("sent", F.lit(False)).alias("sent"))
 
 
 def f_unit(frame) -> float:
@@ -117,12 +122,22 @@ def f_unit(frame) -> float:
     return {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[str(frame["ts"].dtype).split("[")[1].rstrip("]").split(",")[0]]
 
 
-@query(55)
+@query(55, sql=f"""WITH RECURSIVE {TICKS}, x AS (SELECT user_id, seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS r FROM ticks),
+t AS (SELECT user_id, r, [ts] AS log, true AS accepted FROM x WHERE r = 1
+  UNION ALL SELECT x.user_id, x.r, CASE WHEN len(list_filter(t.log, lambda a: a > x.ts - INTERVAL 6 HOUR)) < 3 THEN list_append(list_filter(t.log, lambda a: a > x.ts - INTERVAL 6 HOUR), x.ts) ELSE t.log END,
+    len(list_filter(t.log, lambda a: a > x.ts - INTERVAL 6 HOUR)) < 3 FROM t JOIN x ON x.user_id = t.user_id AND x.r = t.r + 1)
+SELECT user_id, seq, ts, accepted FROM x JOIN t USING (user_id, r)""")
 def sliding_rate_limit(spark, sf_dir):
-    """At most 3 accepted hits of a user in 6 hours; rejected hits are not recorded, which a plain range count would get wrong."""
-    rows = T.ticks(spark, sf_dir).select("user_id", "ts", "seq")
-    got = K.per_symbol(rows, lambda f: {"accepted": K.sliding_limit(f["ts"].astype("int64").to_numpy() / f_unit(f), 3, 6 * 3600)}, {"accepted": "boolean"}, by=("user_id",), order=("ts", "seq"))
-    return got.select("user_id", "seq", "ts", "accepted")
+    """At most 3 accepted hits of a user in 6 hours; rejected hits are not recorded, which a plain range count would get wrong. A pause
+    of the span forgets everything, so a group is one user's hits between pauses."""
+    w = Window.partitionBy("user_id").orderBy("ts", "seq")
+    rows = T.ticks(spark, sf_dir).select("user_id", "ts", "seq").withColumn("_before", F.lag("ts").over(w))
+    pause = F.when(F.col("_before") + F.expr("INTERVAL 6 HOUR") > F.col("ts"), 0).otherwise(1)
+    rows = rows.withColumn("burst", F.sum(pause).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before")
+    rows = rows.withColumn("hits", F.count("*").over(Window.partitionBy("user_id", "burst")))
+    few = rows.filter("hits <= 3").select("user_id", "seq", "ts", F.lit(True).alias("accepted"))
+    got = K.per_symbol(rows.filter("hits > 3"), lambda f: {"accepted": K.sliding_limit(f["ts"].astype("int64").to_numpy() / f_unit(f), 3, 6 * 3600)}, {"accepted": "boolean"}, by=("user_id", "burst"), order=("ts", "seq"))
+    return few.unionByName(got.select("user_id", "seq", "ts", "accepted"))
 
 
 _EV = f"""WITH RECURSIVE {BARS}, b AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len, lag(close) OVER o AS p FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
