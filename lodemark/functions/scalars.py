@@ -67,7 +67,7 @@ def floor_to_step(value: Column, step: Column | float) -> Column:
 
 def volume_grid(lots: Column, step: float, least: float, most: float) -> Column:
     on = floor_to_step(lots, F.lit(step))
-    return F.when(on < least, 0.0).otherwise(F.round(F.least(on, F.lit(most)), 2))
+    return F.when(on < least, 0.0).when(on.isNotNull(), F.round(F.least(on, F.lit(most)), 2))
 
 
 def position_pnl(entry: Column, exit_: Column, direction: Column, lots: Column, contract: Column, inverse: Column) -> Column:
