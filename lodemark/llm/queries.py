@@ -16,7 +16,7 @@ from .line_dedup import line_report
 from .minhash import near_duplicates
 from .pieces import decode_documents, encode_documents
 from .quality import quality_report
-from .secrets import credential_sample, infer, scan_secrets
+from .secrets import Formats, credential_sample, scan_secrets
 from .sharding import assign_shards
 from .token_files import CHUNKS, read_documents, write_token_files
 from .url_filter import filter_urls
@@ -63,7 +63,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     sample = [(r["kind"], r["credential"]) for r in credential_sample(documents).collect()]  # at most SAMPLE a kind
-    return scan_secrets(documents, infer(sample))
+    return scan_secrets(documents, Formats(sample))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
