@@ -15,11 +15,12 @@ are reduced to their earliest line before anything is joined back, so no group
 is expanded into pairs; the pairs left are verified on the words themselves.
 
 A line goes if an equal or a near line came before it, in the order of doc_id,
-text hash and line number. In the report, whose SQL has these bounds, lines of
-under EXACT_WORDS words always stay and lines of under NEAR_WORDS words are only
-compared for equality. dedup_lines compares every line that has a word for
-equality, and for one edit those of at least EDIT_WORDS words, of which an edit
-leaves four in five.
+text hash and line number. Every line that has a word is compared for equality,
+and lines of at least EDIT_WORDS words, of which an edit leaves four in five, for
+one edit; both bounds are parameters.
+
+Lines that many documents share are dealt over several tasks by a salt where
+their occurrences are marked.
 
 Defined results: null and empty texts have no lines to remove; rows equal in id
 and text are one document, so its copies lose the same lines; null ids come
@@ -34,9 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, fresh, let
 
-EXACT_WORDS = 5
-NEAR_WORDS = 10
+EXACT_WORDS = 1
 EDIT_WORDS = 5
+#: A line of more copies is dealt over several tasks.
+HOT = 2048
+#: So many rows of two longs are broadcast at most.
+BROADCAST_ROWS = 200_000
 _BLOCK = 256
 _ORDER = ("doc_id", "th", "line_no")
 
@@ -123,7 +127,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(by == 0, swapped).when(by == 1, added(a, b)).when(by == -1, added(b, a)).otherwise(F.lit(False))
 
 
-def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", exact: int = EXACT_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
+def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", exact: int = EXACT_WORDS, near_from: int = EDIT_WORDS) -> DataFrame:
     """(doc_id, th, line_no, kept_doc_id, kept_line_no): each removed line and the earliest line it repeats.
     Lines of `exact` words and more are compared for equality, of `near_from` (4 at least) and more for one edit."""
     occ = _occurrences(documents, text, key, exact)
@@ -148,37 +152,46 @@ def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id",
     )
     partner = F.when(F.col("role") == "F", F.col("cut")).otherwise(F.col("full"))
     pairs = met.join(firsts, "key").select("me", partner.alias("p")).filter(F.col("p.o") < F.col("me.o"))
-    pairs = pairs.groupBy(F.col("me.lh").alias("lh")).agg(F.min("p").alias("p"))
+    pairs = pairs.select(F.col("me.lh").alias("lh"), F.col("p.o").alias("po"), F.col("p.lh").alias("plh")).distinct()
     texts = near.select(F.col("lh").alias("plh"), F.split("line", " ", -1).alias("pw"))
-    pairs = pairs.select("lh", F.col("p.o").alias("po"), F.col("p.lh").alias("plh")).join(near.select("lh", F.split("line", " ", -1).alias("w")), "lh").join(texts, "plh")
-    pairs = pairs.filter(within_one_edit(F.col("w"), F.col("pw"))).select("lh", "po")
-
-    gone = lines.join(pairs, "lh", "left").filter(F.col("po").isNotNull() | (F.col("copies") > 1)).select("lh", "o", "po")
+    pairs = pairs.join(near.select("lh", F.split("line", " ", -1).alias("w")), "lh").join(texts, "plh")
+    pairs = pairs.filter(within_one_edit(F.col("w"), F.col("pw"))).groupBy("lh").agg(F.min("po").alias("po"))  # verified before the earliest is chosen
+
+    gone = lines.join(pairs, "lh", "left").filter(F.col("po").isNotNull() | (F.col("copies") > 1)).select("lh", "copies", "o", "po")
+    gone = checkpoint(gone)
+    hot = gone.filter(F.col("copies") > HOT).select(F.col("lh").alias("hot"), F.ceil(F.col("copies") / HOT).alias("salts"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / HOT) - 1))
+    gone = gone.select("lh", F.when(F.col("copies") > HOT, F.col("copies")).otherwise(F.lit(1)).alias("copies"), "o", "po").withColumn("salt", salts)
+    dealt = occ.select("lh", *_ORDER).join(hot, F.col("lh") == F.col("hot"), "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(*_ORDER), F.coalesce("salts", F.lit(1)))).drop("hot", "salts")
     mine = F.struct(*[F.col(c) for c in _ORDER])
-    cut = occ.select("lh", *_ORDER).join(gone, "lh").filter(F.col("po").isNotNull() | ~mine.eqNullSafe(F.col("o")))
+    cut = dealt.join(gone, ["lh", "salt"]).filter(F.col("po").isNotNull() | ~mine.eqNullSafe(F.col("o")))
     to = F.coalesce("po", "o")
     return cut.select(*_ORDER, to["doc_id"].alias("kept_doc_id"), to["line_no"].alias("kept_line_no"))
 
 
-def _per_document(documents: DataFrame, text: str, key: str, exact: int = EXACT_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
+def _per_document(documents: DataFrame, text: str, key: str, exact: int, near_from: int) -> DataFrame:
     cut = removed_lines(documents, text, key, exact, near_from)
     return cut.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def line_report(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def line_report(documents: DataFrame, text: str = "text", key: str = "doc_id", exact: int = EXACT_WORDS, near_from: int = EDIT_WORDS) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed and the removed line numbers (from 0, comma-joined)."""
     docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.size(_lines(F.col(text))).cast("long").alias("n_lines"))
-    marked = _per_document(documents, text, key).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    marked = _per_document(documents, text, key, exact, near_from).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     got = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]) & (docs["th"] == marked["_th"]), "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
     return got.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
-def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(
+    documents: DataFrame, text: str = "text", key: str = "doc_id", drop_emptied: bool = True, exact: int = EXACT_WORDS, near_from: int = EDIT_WORDS
+) -> DataFrame:
     """The documents without their removed lines; one that had words and has none left goes if drop_emptied."""
     th, other_id, other_th, removed = fresh(documents, "text_hash", "other_id", "other_hash", "removed")
     docs = documents.withColumn(th, F.xxhash64(F.col(text)))
-    marked = _per_document(documents, text, key, 1, EDIT_WORDS).withColumnsRenamed({"doc_id": other_id, "th": other_th, "removed": removed})
+    marked = _per_document(documents, text, key, exact, near_from).withColumnsRenamed({"doc_id": other_id, "th": other_th, "removed": removed})
     got = docs.join(marked, F.col(key).eqNullSafe(F.col(other_id)) & (F.col(th) == F.col(other_th)), "left")
     lines = _lines(F.col(text))
     left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), removed), lambda i: F.get(x, i)), "\n"))
