@@ -19,6 +19,7 @@ WITH w AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_alpha,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN cov USING (rid)
 ), g AS (
@@ -28,7 +29,9 @@ WITH w AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
-         OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+         OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_alpha < n_words
+         OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 9 * n_lines
+         OR 2 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09]*\z'))) > n_lines) AS kept
 FROM g
 """
 
@@ -66,16 +69,16 @@ WITH d AS (
   SELECT doc_id, i - 1 AS line_no, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
 ), occ AS (
-  SELECT doc_id, line_no, w, array_to_string(w, ' ') AS line FROM l WHERE len(w) >= 5
+  SELECT doc_id, line_no, w, array_to_string(w, ' ') AS line FROM l WHERE len(w) >= 1
 ), u AS (
   SELECT line, any_value(w) AS w, min((doc_id, line_no)) AS first FROM occ GROUP BY line
 ), v AS (
   SELECT line, len(w) AS n, i, first, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS g
-  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= 10)
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= 5)
 ), near AS (
   SELECT a.line FROM v a JOIN v b ON a.g = b.g AND a.i = b.i AND a.n = b.n WHERE b.first < a.first
-  UNION SELECT a.line FROM v a JOIN u b ON a.g = b.line AND len(b.w) >= 10 WHERE b.first < a.first
-  UNION SELECT b.line FROM v a JOIN u b ON a.g = b.line AND len(b.w) >= 10 WHERE a.first < b.first
+  UNION SELECT a.line FROM v a JOIN u b ON a.g = b.line AND len(b.w) >= 5 WHERE b.first < a.first
+  UNION SELECT b.line FROM v a JOIN u b ON a.g = b.line AND len(b.w) >= 5 WHERE a.first < b.first
 ), gone AS (
   SELECT doc_id, count(*) AS n_removed, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed
   FROM occ JOIN u USING (line)
@@ -97,7 +100,7 @@ WITH d AS (
   SELECT b, prefix, sum(bytes) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY b, prefix
 ), m AS (
   SELECT rid, doc_id, bytes, min(b) AS b, min_by(prefix, b) AS shard, min_by(shard_bytes, b) AS shard_bytes, min_by(shard_rows, b) AS shard_rows
-  FROM p JOIN s USING (b, prefix) WHERE shard_bytes <= 67108864 OR shard_rows = 1 GROUP BY rid, doc_id, bytes
+  FROM p JOIN s USING (b, prefix) WHERE shard_bytes <= 1048576 OR shard_rows = 1 GROUP BY rid, doc_id, bytes
 )
 SELECT doc_id, bytes, shard, b AS shard_bits, shard_bytes::BIGINT AS shard_bytes, shard_rows FROM m
 """

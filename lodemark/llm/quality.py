@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost and selectivity are measured on a bounded sample; rules then
-run in descending order of rejections per second, inside one CASE expression,
-so a document that a cheap rule rejects never reaches a dear one. The order
-changes cost only: a document is kept exactly if no rule rejects it.
+run in descending order of rejections per second, as the branches of one CASE.
+A document's words are found once, before the CASE, and each feature where the
+first rule that needs it is reached, so a document that a cheap rule rejects
+never meets a dear one. The order changes cost only: a document is kept exactly
+if no rule rejects it. The report, which shows the base features of every
+document, computes those once and only the rest inside the cascade.
 
 Defined results: null and empty texts have no words and fail ``too_short``;
 repeated rows are judged alike, each for itself; an empty table gives an empty
@@ -26,10 +29,6 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     return F.length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")).cast("long")
 
@@ -70,7 +69,7 @@ def _repeated(windows: Column) -> Column:
     return let(ranked, pick)
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(w: Column) -> Column:
     """Words inside WINDOW-word windows that occur twice or more, the first included."""
 
     def count(h: Column) -> Column:
@@ -81,17 +80,32 @@ def n_repeat_words(text: Column) -> Column:
         ).otherwise(F.lit(0).cast("long"))
         return F.when(F.size(h) >= WINDOW, let(windows, dear)).otherwise(F.lit(0).cast("long"))
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), count)
+    return let(F.transform(w, lambda x: F.xxhash64(x)), count)
+
+
+def n_alpha(w: Column) -> Column:
+    """Words with a letter."""
+    return F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long")
 
 
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_lines": n_lines,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
+def lines_like(text: Column, pattern: str) -> Column:
+    return F.size(F.filter(word_lines(text), lambda x: x.rlike(pattern))).cast("long")
+
+
+#: From a document's text and words.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, w: F.size(w).cast("long"),
+    "word_chars": lambda text, w: word_chars(text),
+    "n_symbols": lambda text, w: n_symbols(text),
+    "n_lines": lambda text, w: n_lines(text),
+    "n_dup_lines": lambda text, w: n_dup_lines(text),
+    "n_repeat_words": lambda text, w: n_repeat_words(w),
+    "n_alpha": lambda text, w: n_alpha(w),
+    "n_bullets": lambda text, w: lines_like(text, r"^[\x20\x09]*[-*•]"),
+    "n_ellipses": lambda text, w: lines_like(text, r"(\.\.\.|…)[\x20\x09]*\z"),
 }
+#: What the report shows.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -109,13 +123,12 @@ RULES = (
     Rule("symbols", lambda f: 10 * f("n_symbols") > f("n_words")),
     Rule("dup_lines", lambda f: 100 * f("n_dup_lines") > 30 * f("n_lines")),
     Rule("word_length", lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 15 * f("n_words"))),
+    Rule("few_letters", lambda f: 2 * f("n_alpha") < f("n_words")),
+    Rule("bullets", lambda f: 10 * f("n_bullets") > 9 * f("n_lines")),
+    Rule("ellipses", lambda f: 2 * f("n_ellipses") > f("n_lines")),
 )
 
 
-def _getter(df: DataFrame, text: str, have: frozenset[str] = frozenset()) -> Callable[[str], Column]:
-    return lambda name: df[name] if name in have else FEATURES[name](df[text])
-
-
 def measured_order(
     df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7
 ) -> list[Rule]:
@@ -132,38 +145,44 @@ def measured_order(
 
     try:
         run(F.lit(False))  # fills the cache
-        idle = min(run(F.lit(False))[0] for _ in range(2))
+        idle = min(run(F.size(words(F.col("text"))) < 0)[0] for _ in range(2))  # words are found before any rule
         rank = {}
         for rule in rules:
-            took, rate = run(rule.rejects(_getter(sample, "text")))
+            took, rate = run(verdict(F.col("text"), [rule]).isNotNull())
             rank[rule.name] = rate / max(took - idle, 1e-3)
     finally:
         sample.unpersist()
     return sorted(rules, key=lambda r: (-rank[r.name], r.name))
 
 
-def cascade(df: DataFrame, order: list[Rule], text: str = "text", have: frozenset[str] = frozenset()) -> Column:
-    """Name of the first rule in this order that rejects, else null. Features in have are columns of df already."""
-    get, verdict = _getter(df, text, have), F
+def cascade(order: list[Rule], get: Callable[[str], Column]) -> Column:
+    """Name of the first rule in this order that rejects, else null."""
+    first = F
     for rule in order:
-        verdict = verdict.when(rule.rejects(get), F.lit(rule.name))
-    return verdict
+        first = first.when(rule.rejects(get), F.lit(rule.name))
+    return first if order else F.lit(None).cast("string")
+
+
+def verdict(text: Column, order: list[Rule]) -> Column:
+    """The cascade over a text whose words are found once; other features only where a rule is reached."""
+    return let(words(text), lambda w: cascade(order, lambda name: FEATURES[name](text, w)))
 
 
 def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
     """The rows that no rule rejects, with their columns as they are."""
-    return df.filter(cascade(df, measured_order(df, text, rules, sample_rows), text).isNull())
-
-
-def quality_report(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 2000) -> DataFrame:
-    """Per document: the features, whether a base rule fails, and the cascade's verdict."""
-    order = measured_order(df, text, RULES, sample_rows)
-    got = df.select(F.col(key).alias("doc_id"), *(f(F.col(text)).alias(name) for name, f in FEATURES.items()))
-    have = frozenset(FEATURES)
-    base = [r for r in order if r.base]
-    rest = [r for r in order if not r.base]
-    failed = cascade(got, base, have=have).isNotNull()
-    return got.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & cascade(got, rest, have=have).isNull()).alias("kept"),
-    )
+    return df.filter(verdict(F.col(text), measured_order(df, text, rules, sample_rows)).isNull())
+
+
+def quality_report(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
+    """Per document: the base features, whether a base rule fails, and the cascade's verdict."""
+    order, t = measured_order(df, text, rules, sample_rows), F.col(text)
+
+    def judged(w: Column) -> Column:
+        def with_base(b: Column) -> Column:
+            get = lambda name: b[name] if name in BASE else FEATURES[name](t, w)
+            failed = cascade([r for r in order if r.base], get).isNotNull()
+            return F.struct(*[b[x].alias(x) for x in BASE], failed.alias("base_failed"), cascade(order, get).isNull().alias("kept"))
+
+        return let(F.struct(*[FEATURES[x](t, w).alias(x) for x in BASE]), with_base)
+
+    return df.select(F.col(key).alias("doc_id"), let(words(t), judged).alias("judged")).select("doc_id", "judged.*")
