@@ -29,7 +29,7 @@ from .common import checkpoint, fresh
 HASH_BITS = 60
 #: Bits by which cells are finer than an even split would need, and by which too large cells grow.
 SLACK_BITS = 5
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _bits(digest: Column) -> Column:
@@ -71,32 +71,40 @@ def directory(rows: DataFrame, limit: int, total: int, count: int) -> DataFrame:
     return spark.createDataFrame([], fits.schema).unionByName(leaf).unionByName(root).select("prefix", "bits", F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"))
 
 
+def _addressed(rows: DataFrame, addr: str, size: str, text: str, key: str) -> DataFrame:
+    """rows with their address and bytes in the columns named."""
+    (ordinal,) = fresh(rows, "ordinal")
+    rows = rows.withColumn(ordinal, F.monotonically_increasing_id())
+    bits = F.concat(address(F.col(key), F.col(text)), _bits(F.md5(F.col(ordinal).cast("string").cast("binary"))))
+    return rows.withColumn(addr, bits).withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).drop(ordinal)
+
+
+def _placed(rows: DataFrame, addr: str, size: str, limit: int) -> tuple[DataFrame, list[str]]:
+    """rows with the name, bits, bytes and number of rows of their shard, in the columns named."""
+    sized = rows.select(F.col(addr).alias("address"), F.col(size).alias("bytes"))
+    got = sized.agg(F.sum("bytes").alias("total"), F.count("*").alias("count")).first()
+    names = fresh(rows, "prefix", "bits", "shard_bytes", "shard_rows")
+    leaves = checkpoint(directory(sized, limit, got["total"] or 0, got["count"]).toDF(*names))
+    prefix, bits = names[:2]
+    span = sorted(r[0] for r in leaves.select(bits).distinct().collect())  # at most 2 * HASH_BITS + 1 values
+    # every row's prefix at each depth in use; exactly one of them is a shard
+    tries = rows.withColumn(bits, F.explode(F.array(*[F.lit(b) for b in span]) if span else F.array().cast("array<int>")))
+    tries = tries.withColumn(prefix, F.substring(F.col(addr), F.lit(1), F.col(bits)))
+    return tries.join(leaves, [prefix, bits]), names
+
+
 def assign_shards(documents: DataFrame, limit: int = SHARD_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, bytes, shard (its bits; empty for the only one), shard_bits, shard_bytes, shard_rows."""
-    rows = documents.select(F.col(key).alias("doc_id"), address(F.col(key), F.col(text)).alias("address"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
-    rows = checkpoint(rows.withColumn("address", F.concat("address", _bits(F.md5(F.col("ordinal").cast("string").cast("binary"))))).drop("ordinal"))
-    got = rows.agg(F.sum("bytes").alias("total"), F.count("*").alias("count")).first()
-    leaves = checkpoint(directory(rows, limit, got["total"] or 0, got["count"]))
-    span = [r["bits"] for r in leaves.select("bits").distinct().collect()]  # at most 2 * HASH_BITS + 1 values
-    # every row's prefix at each depth in use; exactly one of them is a shard
-    tries = rows.withColumn("bits", F.explode(F.array(*[F.lit(b) for b in sorted(span)]))) if span else rows.withColumn("bits", F.lit(0))
-    tries = tries.withColumn("prefix", F.expr("substring(address, 1, bits)"))
-    got = tries.join(leaves, ["prefix", "bits"])
-    return got.select("doc_id", "bytes", F.col("prefix").alias("shard"), F.col("bits").alias("shard_bits"), "shard_bytes", "shard_rows")
+    rows = _addressed(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "address", "bytes", "text", "doc_id")
+    rows = checkpoint(rows.drop("text"))  # a lost task must not number exact repeats anew
+    got, (prefix, bits, total, count) = _placed(rows, "address", "bytes", limit)
+    return got.select("doc_id", "bytes", F.col(prefix).alias("shard"), F.col(bits).alias("shard_bits"), F.col(total).alias("shard_bytes"), F.col(count).alias("shard_rows"))
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = SHARD_BYTES, text: str = "text", key: str = "doc_id") -> None:
-    """Write all columns of the documents under path/shard=b<bits>/, a shard being one task's work.
-    Exact repeats that fill several shards are dealt over them in turn."""
-    shard, addr, names = fresh(documents, "shard", "address", "names")
-    leaves = checkpoint(assign_shards(documents, limit, text, key).select("shard", "shard_bits").distinct())
-    bits = sorted(r[0] for r in leaves.select("shard_bits").distinct().collect())
-    rows = documents.withColumn(addr, address(F.col(key), F.col(text)))
-    starts = leaves.select(F.expr(f"substring(shard, 1, {HASH_BITS})").alias("_start"), "shard")
-    starts = starts.groupBy("_start").agg(F.sort_array(F.collect_list("shard")).alias(names))  # only exact repeats share a start
-    tries = F.array_distinct(F.array(*[F.substring(addr, 1, min(b, HASH_BITS)) for b in bits] or [F.lit("")]))
-    rows = rows.withColumn(addr, F.explode(tries)).join(starts, F.col(addr) == F.col("_start"))
-    turn = F.pmod(F.monotonically_increasing_id(), F.size(names)).cast("int")
-    rows = rows.withColumn(shard, F.concat(F.lit("b"), F.get(names, turn))).drop(addr, names, "_start")
-    rows.repartition(F.col(shard)).write.partitionBy(shard).parquet(path)
+    """Write all columns of the documents under path/shard=b<bits>/ (the column is renamed if it would clash), a shard being one
+    task's work."""
+    addr, size, shard = fresh(documents, "address", "bytes", "shard")
+    got, (prefix, *_) = _placed(checkpoint(_addressed(documents, addr, size, text, key)), addr, size, limit)
+    got = got.withColumn(shard, F.concat(F.lit("b"), F.col(prefix))).select(*documents.columns, shard)
+    got.repartition(F.col(shard)).write.partitionBy(shard).parquet(path)
