@@ -7,9 +7,11 @@ few leave the row with their words, meet the listed windows in a hash join and
 count only where the words are equal. No text is shuffled: what is regrouped
 per document are the verified hits.
 
-The bitmap has 2**BITMAP_BITS bits whatever the benchmark's size: a larger
-benchmark lets more windows through to the exact join, and loses none. The
-listed windows are broadcast only if there are at most BROADCAST_WINDOWS.
+The bitmap has about BITS_A_WINDOW bits for each listed window, which are
+counted first, and at most 2**MOST_BITS (8 MB): about one window in 16 of those
+not listed passes it up to four million listed ones, and beyond that more pass
+to the exact join and none is lost. The listed windows are broadcast only if
+there are at most BROADCAST_WINDOWS.
 
 Defined results: null and empty texts have no words and no hits; an empty
 benchmark contaminates nothing; an item without words has no window; items with
@@ -27,7 +29,7 @@ from .common import checkpoint, fresh
 WINDOW = 13
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BITMAP_BITS = 18
+BITS_A_WINDOW, LEAST_BITS, MOST_BITS = 16, 18, 26
 BROADCAST_WINDOWS = 200_000
 #: Rows of an id, a hash and at most a few hit positions.
 BROADCAST_ROWS = 100_000
@@ -61,13 +63,13 @@ def listed_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id
     return got.select(pick.alias("h"), "size", "gram", "items")
 
 
-def _bitmap(listed: DataFrame) -> DataFrame:
-    """One row: 2**BITMAP_BITS bits as an array of longs, of bounded size whatever the input."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+def _bitmap(listed: DataFrame, bits: int) -> DataFrame:
+    """One row: 2**bits bits as an array of longs."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = listed.groupBy(F.shiftright(slot, 6).cast("int").alias("i")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("bits")
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
     )
-    zero = listed.sparkSession.range(1 << (BITMAP_BITS - 6)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("bits"))
+    zero = listed.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("bits"))
     full = words.unionByName(zero).groupBy("i").agg(F.bit_or("bits").alias("bits"))
     return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"]).alias("bitmap"))
 
@@ -78,16 +80,18 @@ def contamination_report(
     """Per document row: key, n_words, n_hit, n_items, items_sha256, contaminated, hit_words (positions), and the columns in keep."""
     listed = checkpoint(listed_windows(benchmark, window=window))
     sizes = {r["size"]: r["n"] for r in listed.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    few = sum(sizes.values()) <= BROADCAST_WINDOWS
-    rid, w, h, cand, hit, bitmap, n_words = fresh(documents, "rid", "w", "h", "cand", "hit", "bitmap", "n_words")
+    count = sum(sizes.values())
+    few, n_bits = count <= BROADCAST_WINDOWS, min(MOST_BITS, max(LEAST_BITS, (BITS_A_WINDOW * count).bit_length()))
+    names = ("rid", "w", "h", "cand", "hit", "bitmap", "n_words", "items", "_h", "_size", "_gram")
+    rid, w, h, cand, hit, bitmap, n_words, items, _h, _size, _gram = fresh(documents, *names)
     docs = documents.select(key, *keep, F.monotonically_increasing_id().alias(rid), tokens(F.col(text)).alias(w))
     docs = docs.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-    docs = docs.withColumn(bitmap, _bitmap(listed).scalar())
+    docs = docs.withColumn(bitmap, _bitmap(listed, n_bits).scalar())
 
     def candidates(n: int) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - n)
         hashed = F.transform(at, lambda i: F.struct(_hash(F.col(h), i, n).alias("h"), i.alias("i")))
-        slot = lambda x: F.shiftright(x["h"].bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), 6).cast("int")
+        slot = lambda x: F.shiftright(x["h"].bitwiseAND(F.lit((1 << n_bits) - 1)), 6).cast("int")
         bit = lambda x: F.getbit(F.get(F.col(bitmap), slot(x)), x["h"].bitwiseAND(F.lit(63)).cast("int"))
         passed = F.filter(hashed, lambda x: bit(x) == 1)
         rows = F.transform(passed, lambda x: F.struct(x["h"], F.lit(n).alias("size"), x["i"], F.slice(w, x["i"] + 1, n).alias("gram")))
@@ -98,11 +102,11 @@ def contamination_report(
         empty = F.expr("cast(array() as array<struct<h: bigint, size: int, i: int, gram: array<string>>>)")
         found = F.concat(*[F.coalesce(candidates(n), empty) for n in sorted(sizes)])
         docs = docs.select(key, *keep, rid, F.size(w).cast("long").alias(n_words), F.explode_outer(found).alias(cand))
-        right = listed.select(F.col("h").alias("_h"), F.col("size").alias("_size"), F.col("gram").alias("_gram"), "items")
+        right = listed.select(F.col("h").alias(_h), F.col("size").alias(_size), F.col("gram").alias(_gram), F.col("items").alias(items))
         right = F.broadcast(right) if few else right
         c = F.col(cand)
-        docs = docs.join(right, (c["h"] == F.col("_h")) & (c["size"] == F.col("_size")) & (c["gram"] == F.col("_gram")), "left")
-        hits = F.when(F.col("items").isNotNull(), F.struct(F.col(cand)["i"].alias("i"), F.col(cand)["size"].alias("n"), F.col("items").alias("items")))
+        docs = docs.join(right, (c["h"] == F.col(_h)) & (c["size"] == F.col(_size)) & (c["gram"] == F.col(_gram)), "left")
+        hits = F.when(F.col(items).isNotNull(), F.struct(F.col(cand)["i"].alias("i"), F.col(cand)["size"].alias("n"), F.col(items).alias("items")))
     else:
         docs = docs.select(key, *keep, rid, F.size(w).cast("long").alias(n_words))
         hits = F.expr("cast(null as struct<i: int, n: int, items: array<string>>)")
