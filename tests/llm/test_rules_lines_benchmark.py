@@ -30,10 +30,31 @@ def test_quality_features(documents):
 
 
 def test_quality_order_changes_nothing(documents):
-    verdict = lambda order: [r[0] for r in documents.select(R.cascade(documents, order).isNull()).collect()]
+    verdict = lambda order: [r[0] for r in documents.select(R.verdict(F.col("text"), order).isNull()).collect()]
     assert verdict(list(R.RULES)) == verdict(list(R.RULES)[::-1])
 
 
+def test_quality_verdicts_match_plain_rules(spark, documents):
+    good = " ".join(f"word{i}" for i in range(30))
+    texts = [good, "\n".join(f"- {good} {i}" for i in range(5)), "\n".join(f"{good} {i}..." for i in range(5)), " ".join(str(i) for i in range(40)),
+             good + " " + "#" * 5, "\n".join([good] * 3), " ".join("x" * 20 + str(i) for i in range(30)), good + "\n• a\n* b\n- c…\r"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+
+    def keeps(text):
+        n, chars, symbols, dup, repeated = plain_features(text)
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        alpha = sum(any(c.isalpha() for c in w) for w in WORD.findall(text or ""))
+        base = n < 20 or 100 * repeated > 30 * n
+        rest = 10 * symbols > n or 100 * dup > 30 * len(lines) or not 2 * n <= chars <= 15 * n or 2 * alpha < n
+        marks = [re.match(r"[ \t]*[-*•]", x) for x in lines], [re.search(r"(\.\.\.|…)[ \t]*\Z", x) for x in lines]
+        return base, not (base or rest or 10 * sum(map(bool, marks[0])) > 9 * len(lines) or 2 * sum(map(bool, marks[1])) > len(lines))
+
+    got = sorted((str(r.doc_id), r.base_failed, r.kept) for r in R.quality_report(docs).collect())
+    assert got == sorted((str(d.doc_id), *keeps(d.text)) for d in docs.collect())
+    assert [k for k in range(8) if keeps(texts[k])[1]] == [0, 7]
+    assert sorted(map(str, R.quality_filter(docs).collect())) == sorted(str(d) for d in docs.collect() if keeps(d.text)[1])
+
+
 def test_quality_puts_cheap_strict_rules_first(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(300)], "doc_id long, text string")
     order = R.measured_order(docs)
@@ -67,7 +88,7 @@ def plain_removed(rows):
     for at, w, _ in occ:
         first.setdefault(w, at)
     for at, w, who in occ:
-        earlier = first[w] < at or (len(w) >= L.NEAR_WORDS and any(len(v) >= L.NEAR_WORDS and first[v] < first[w] and near(v, w) for v in first if v != w))
+        earlier = first[w] < at or (len(w) >= L.EDIT_WORDS and any(len(v) >= L.EDIT_WORDS and first[v] < first[w] and near(v, w) for v in first if v != w))
         if earlier:
             out.setdefault(who, []).append(at[3])
     return out
@@ -84,18 +105,20 @@ def lined(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def test_lines_match_brute_force(lined):
+@pytest.mark.parametrize("bounds", [(1, 5), (5, 10)])
+def test_lines_match_brute_force(lined, monkeypatch, bounds):
+    monkeypatch.setattr(L, "HOT", 2)
+    monkeypatch.setattr(L, "EXACT_WORDS", bounds[0])  # of the plain version only
+    monkeypatch.setattr(L, "EDIT_WORDS", bounds[1])
     rows = [(r.doc_id, r.h, r.text) for r in lined.withColumn("h", F.xxhash64("text")).collect()]
     want = plain_removed(rows)
-    got = L.line_report(lined).collect()
+    got = L.line_report(lined, exact=bounds[0], near_from=bounds[1]).collect()
     assert len(got) == lined.count()
     expected = sorted((str(d), len((t or "").split("\n")), ",".join(map(str, want.get((d, t), [])))) for d, _, t in rows)
     assert sorted((str(r.doc_id), r.n_lines, r.removed) for r in got) == expected
 
 
-def test_stage_compares_short_lines(spark, monkeypatch):
-    monkeypatch.setattr(L, "EXACT_WORDS", 1)  # of the plain version only
-    monkeypatch.setattr(L, "NEAR_WORDS", 5)
+def test_short_lines_are_compared(spark):
     base, texts = [f"v{k}" for k in range(17)], ["Of.\n\nIn erre to it therble whrehe at.", "Of.\n\nIn erre to it rendon whrehe at.\nkept"]
     for n in range(1, 18):
         line = [f"n{n}", *base[: n - 1]]
@@ -165,5 +188,13 @@ def test_long_benchmark_passes_the_broadcast_bound(spark, documents, benchmark,
     want = sorted(map(str, D.contamination_report(documents, benchmark).collect()))
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(D, "BITMAP_BITS", 6)
+    monkeypatch.setattr(D, "LEAST_BITS", 6)
+    monkeypatch.setattr(D, "MOST_BITS", 6)  # so full that other windows pass it
     assert sorted(map(str, D.contamination_report(documents, benchmark).collect())) == want
+
+
+def test_contamination_report_keeps_clashing_columns(spark, documents, benchmark):
+    names = ("items", "_h", "h", "hit", "rid")
+    docs = documents.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    got = D.contamination_report(docs, benchmark, keep=names)
+    assert got.count() == documents.count() and all(got.filter(f"`{n}` <> '{n}'").count() == 0 for n in names)
