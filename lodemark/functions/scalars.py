@@ -80,7 +80,7 @@ def notional(price: Column, lots: Column, contract: Column, inverse: Column) ->
 
 
 def risk_lots(capital: Column, risk: float, loss_per_lot: Column, step: float = 0.01, least: float = 0.01, most: float = 100.0) -> Column:
-    return volume_grid(F.try_divide(capital * risk, F.nullif(loss_per_lot, F.lit(0.0))), step, least, most)
+    return F.when(loss_per_lot <= 0, 0.0).otherwise(volume_grid(F.try_divide(capital * risk, F.nullif(loss_per_lot, F.lit(0.0))), step, least, most))
 
 
 def kelly(p: Column, b: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries over the derived views; importing a module registers its queries."""
 
-from . import discovery, joins, market, performance, recurrent, research, strategies
+from . import discovery, files, joins, market, performance, records, recurrent, research, robustness, strategies, streams
 from .registry import COVERS, QUERIES, SQL
 
 
@@ -12,4 +12,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-__all__ = ["COVERS", "discovery", "joins", "market", "oracle_sql", "performance", "queries", "recurrent", "research", "strategies"]
+__all__ = ["COVERS", "discovery", "files", "joins", "market", "oracle_sql", "performance", "queries", "records", "recurrent", "research", "robustness", "strategies", "streams"]

@@ -41,7 +41,7 @@ def test_sizing_and_grids(spark):
     assert one(X.kelly(F.lit(0.6), F.lit(2.0))) == pytest.approx(0.4) and one(X.kelly(F.lit(0.1), F.lit(1.0))) == 0
     assert one(X.confidence(F.lit(None).cast("double"))) == pytest.approx(0.65) and one(X.confidence(F.lit(9.0))) == pytest.approx(0.95)
     assert one(X.floor_to_step(F.lit(0.3), F.lit(0.1))) == pytest.approx(0.3) and one(X.volume_grid(F.lit(0.004), 0.01, 0.01, 5.0)) == 0
-    assert one(X.risk_lots(F.lit(10_000.0), 0.01, F.lit(40.0))) == pytest.approx(2.5) and one(X.risk_lots(F.lit(1.0), 0.01, F.lit(0.0))) is None
+    assert one(X.risk_lots(F.lit(10_000.0), 0.01, F.lit(40.0))) == pytest.approx(2.5) and one(X.risk_lots(F.lit(1.0), 0.01, F.lit(0.0))) == 0
     assert one(X.bars_per_year(X.timeframe_minutes(F.lit("H4")))) == pytest.approx(252 * 6) and one(X.timeframe_minutes(F.lit("?"))) is None
     assert one(X.clip_parameter(F.lit(2.5), 0.0, 9.0, True)) == 2 and one(X.clip_parameter(F.lit(11.0), 0.0, 9.0, False)) == 9
     assert one(X.round_digits(F.lit(1.23456), F.lit(3))) == pytest.approx(1.235)
