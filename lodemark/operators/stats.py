@@ -33,11 +33,12 @@ def upper_median(x: Column) -> Column:
     return F.get(F.sort_array(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int"))
 
 
-def trade_stats(trades: DataFrame, by: list[str], x: str = "pnl") -> DataFrame:
+def trade_stats(trades: DataFrame, by: list[str], x: str = "pnl", more: tuple[Column, ...] = ()) -> DataFrame:
+    """Statistics of x in each group, and further aggregates from the same pass."""
     c = F.col(x)
     return trades.groupBy(*by).agg(
         F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(t_stat(c), 3).alias("t"), F.round(profit_factor(c), 3).alias("pf"),
-        F.round(win_rate(c), 4).alias("win_rate"), F.round(F.sum(c), 4).alias("total"),
+        F.round(win_rate(c), 4).alias("win_rate"), F.round(F.sum(c), 4).alias("total"), *more,
     )
 
 

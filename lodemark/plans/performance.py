@@ -26,13 +26,12 @@ def trade_stats(spark, sf_dir):
 def daily_trade_stats(spark, sf_dir):
     """Median hold is an element of the counted distribution, so a hot strategy is counted per value, not collected."""
     t = T.trades(spark, sf_dir)
-    base = S.trade_stats(t, ["strategy"])
-    more = t.groupBy("strategy").agg(F.round(F.sum(F.col("pnl") + F.col("cost")), 4).alias("gross"), F.round(F.sum("cost"), 4).alias("cost"))
+    base = S.trade_stats(t, ["strategy"], more=(F.round(F.sum(F.col("pnl") + F.col("cost")), 4).alias("gross"), F.round(F.sum("cost"), 4).alias("cost")))
     counts = t.groupBy("strategy", "hold_days").agg(F.count("*").alias("k"))
     w = Window.partitionBy("strategy")
     counts = counts.withColumn("upto", F.sum("k").over(w.orderBy("hold_days"))).withColumn("n", F.sum("k").over(w))
     median = counts.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("strategy").agg(F.min("hold_days").cast("long").alias("median_hold"))
-    return base.join(more, "strategy").join(median, "strategy")
+    return base.join(median, "strategy")
 
 
 @query(90, 92, 93, 98, 99, 100, 106, 110, sql=f"""WITH {TRADES}, v AS (SELECT strategy, quantile_cont(pnl, 0.05) AS q FROM trades GROUP BY strategy)
