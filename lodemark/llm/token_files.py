@@ -44,7 +44,7 @@ BLOCK_IDS = 65_536
 #: Small enough that a batch of chunks fits a worker.
 CHUNK_IDS = 262_144
 PLANES = 4
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: A shard is one partition of about so many bytes of text.
 SHARD_BYTES = 32 << 20
 CHUNKS = "shard int, chunk int, doc_ids array<long>, lengths array<long>, ends array<long>, payload binary"
