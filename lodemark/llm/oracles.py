@@ -128,3 +128,32 @@ WITH p AS (
 SELECT c.page_id, c.host, c.path, rule, coalesce(word, CASE WHEN listed.c IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN f ON c.page_id = f.page_id LEFT JOIN listed ON c.c = listed.c
 """
+
+
+def _clustering(rounds: int = 5) -> str:
+    """The rounds written out one after the other."""
+    parts = ["""WITH k AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS (
+  SELECT c, v FROM (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1)::INT AS c, v FROM k WHERE vec_id IS NOT NULL) WHERE c < 40
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+  SELECT rid, min({{'d': d, 'c': c}}) AS m FROM (
+    SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - q.v[i]) * (k.v[i] - q.v[i])))::BIGINT AS d FROM k, c{i} q) GROUP BY rid
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS (
+  SELECT c, coalesce(w, v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS w FROM (
+      SELECT m.c AS c, j, sum(v[j])::HUGEINT AS s, count(*) AS n FROM k JOIN a{i} USING (rid), (SELECT unnest(range(1, 65)) AS j) GROUP BY m.c, j) GROUP BY c) USING (c)
+)""")
+    return ", ".join(parts) + f"""
+SELECT vec_id, m.c AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(q.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN k USING (rid) JOIN c{rounds} q ON q.c = m.c
+"""
+
+
+SQL["op11_centroid_clustering"] = _clustering()

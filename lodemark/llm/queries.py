@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .chat import format_conversations
+from .clustering import cluster_vectors
 from .common import checkpoint, delete_folder, shared_folder, table
 from .decontaminate import contamination_report
 from .line_dedup import line_report
@@ -78,6 +79,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it imports this module
 
@@ -86,7 +91,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_quality_rules, op2_sentencepiece, op3_sharding, op4_benchmark_decontamination, op5_url_filters,
-    op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files, op10_minhash_near_dedup, pipeline,
+    op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files, op10_minhash_near_dedup,
+    op11_centroid_clustering, pipeline,
 )
 
 

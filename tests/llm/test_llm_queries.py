@@ -13,4 +13,4 @@ def test_matches_sql(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     found = [n.split("_")[0] for n in Q.queries() if n.startswith("op")]
-    assert sorted(found) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in Q.queries()
+    assert sorted(found) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in Q.queries()
