@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .alignment import align_documents
 from .chat import format_conversations
 from .clustering import cluster_vectors
 from .common import checkpoint, delete_folder, shared_folder, table
@@ -83,6 +84,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), BYTE_PAIRS, PIECES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it imports this module
 
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_quality_rules, op2_sentencepiece, op3_sharding, op4_benchmark_decontamination, op5_url_filters,
     op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files, op10_minhash_near_dedup,
-    op11_centroid_clustering, pipeline,
+    op11_centroid_clustering, op12_token_alignment, pipeline,
 )
 
 

@@ -54,35 +54,36 @@ _SAFE = re.compile(f" ?[{_LETTER}0-9{_OTHER}]+")
 _UNITS = re.compile(f" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[{_OTHER}]+")
 #: Byte-level vocabularies write bytes as characters: printable Latin-1 as itself, the others from U+0100 on in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
+BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 #: White space that is cut elsewhere, and characters on which libraries disagree.
 _STRANGE = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_STRANGE_RE2 = _STRANGE.pattern.replace("\0", r"\x00")
+STRANGE_RE2 = _STRANGE.pattern.replace("\0", r"\x00")
 #: Where the splitter cuts around spaces and line feeds: a space goes with the word after it, what is before it in a run is one unit.
 _PIECES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 
 
 class WordTokenizer:
-    """Encoder of one worker: ids of texts as little-endian unsigned 32-bit bytes."""
+    """Encoder of one worker: ids of texts as little-endian unsigned 32-bit bytes. plain: strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.merges = Tokenizer(self.tokenizer.model)  # units, already in byte characters, one a line
         self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype="i8")
         self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = "|".join([r"^[ \n]|[ \n]$|[ \n][ \n]", _STRANGE_RE2, *map(re.escape, self.added)])
-        self.words = WordCache(self._words, CACHE_WORDS)
+        self.odd = "|".join([r"^[ \n]|[ \n]$|[ \n][ \n]", STRANGE_RE2, *map(re.escape, self.added)])
+        self.words = WordCache(self.of_words, CACHE_WORDS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Units met before are known; the merges of all others come back in a row. A unit is as long as its
         tokens, and a word as its units, which tells whose they are."""
         safe = list(map(bool, map(_SAFE.fullmatch, words)))
@@ -90,7 +91,7 @@ class WordTokenizer:
         known = {u: self.words.get(u) for u in dict.fromkeys(units)}
         new = [u for u, x in known.items() if x is None]
         # one translation for all: the separator is not a byte character
-        lines = "\n".join(new).encode().decode("latin-1").translate(_BYTE_CHARS | {10: 10})
+        lines = "\n".join(new).encode().decode("latin-1").translate(BYTE_CHARS | {10: 10})
         ids = np.array(self.merges.encode_batch_fast([lines], add_special_tokens=False)[0].ids if new else [], dtype="<u4")
         cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in new]), side="right")).tolist()
         raw = ids.tobytes()
