@@ -42,6 +42,8 @@ from .common import Scratch, WordCache, checkpoint, small_batches
 from .token_files import BYTE_CHARS, STRANGE_RE2, WordTokenizer
 
 CACHE_UNITS = 200_000
+#: Bytes of text that are aligned at a time: what is held besides the cache grows with them.
+SLICE_BYTES = 1 << 20
 #: Most rows of pair counts that are broadcast (about 64 MB), and over how many tasks a pair is dealt otherwise.
 PAIRS, SALTS = 2_000_000, 16
 #: Groups of more links than this are counted by their distinct ids on each side.
@@ -230,6 +232,15 @@ def _of(*paths: str) -> Aligner:
     return _BUILT[paths]
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about SLICE_BYTES of text; a longer text is a slice of its own."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for x, y in zip(edges, edges[1:], strict=False):
+        if y > x:
+            yield batch.slice(x, y - x)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype="i8"), *parts])))
 
@@ -243,7 +254,7 @@ def linked_pairs(documents: DataFrame, bytes_path: str, pieces_path: str, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _of(bytes_path, pieces_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             got = list(aligner.documents(batch.column(1)))
             figures = np.array([x[0] for x in got], dtype="i8").reshape(-1, 4)
             columns = [batch.column(0), *[pa.array(figures[:, j]) for j in range(4)], pa.array([x[1] for x in got], pa.string()), _lists([x[2] for x in got]), _lists([x[3] for x in got])]

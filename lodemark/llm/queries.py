@@ -14,6 +14,7 @@ from .chat import format_conversations
 from .clustering import cluster_vectors
 from .common import checkpoint, delete_folder, shared_folder, table
 from .decontaminate import contamination_report
+from .html_text import extract_text, fit, labelled_sample
 from .line_dedup import line_report
 from .minhash import near_duplicates
 from .pieces import decode_documents, encode_documents
@@ -88,6 +89,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), BYTE_PAIRS, PIECES)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, fit(labelled_sample(pages)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it imports this module
 
@@ -97,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_quality_rules, op2_sentencepiece, op3_sharding, op4_benchmark_decontamination, op5_url_filters,
     op6_chat_formatting, op7_line_dedup, op8_secret_scans, op9_token_files, op10_minhash_near_dedup,
-    op11_centroid_clustering, op12_token_alignment, pipeline,
+    op11_centroid_clustering, op12_token_alignment, op13_html_extraction, pipeline,
 )
 
 
