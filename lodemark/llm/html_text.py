@@ -1,13 +1,14 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 A page is parsed into a tree of block elements whose leaves are runs of text
-(inline elements belong to their block). Every node is content or not, a hidden
-binary state. A potential joins each node's state to its parent's and depends on
-the node's kind (its tag, or "text" for a leaf); each node also emits features:
-the words of its class, id and role, and for its text the number of words, the
-share of words in links and how it ends. Sum-product messages go up from the
-leaves to the root and down again, once each, which gives every leaf's marginal;
-leaves above one half are the main text.
+(inline elements belong to their block). Every node has a hidden state: APART
+from the content, INSIDE it, or AROUND it, as an element that holds the content
+among other things. A potential joins each node's state to its parent's and
+depends on the node's kind (its tag and whether it is named, or "text" for a leaf); each node also emits
+features: the words of its class, id and role, and for its text the number of
+words, the share of words in links and how it ends. Sum-product messages go up
+from the leaves to the root and down again, once each, which gives every node's
+marginals; leaves more likely inside than not are the main text.
 
 The potentials are counts over labelled pages, smoothed: fit() counts them as a
 Spark aggregation, one row a feature and task, and the model that reaches the
@@ -33,7 +34,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,6 +45,9 @@ from .common import small_batches
 
 PAGES, PAGE_CHARS, RELAYS = 200, 65_536, 6
 LEAST, ALPHA = 3, 0.5
+APART, INSIDE, AROUND = STATES = range(3)
+#: Weight of what a node emits of its text: the features of a leaf, and of the elements above it, say in part the same.
+DAMP = 0.3
 
 # How the elements of HTML are read.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -58,7 +62,7 @@ CLOSED_BY = {
 SCOPE = set("ul ol dl table select article section aside nav header footer main form body html".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that are never part of an article, wherever they stand.
-APART = {"nav", "aside", "footer", "form", "head", "button", "select", "dialog", "menu"}
+ASIDE = {"nav", "aside", "footer", "form", "head", "button", "select", "dialog", "menu"}
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
@@ -199,20 +203,24 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def own_labels(tree: Tree) -> list[bool]:
-    """Of each node whether it is content: by the marks, or where a page has none by its article or main element."""
+def own_labels(tree: Tree) -> list[int]:
+    """Each node's state: by the marks, or where a page has none by its article or main element."""
     marked, inside, apart = any(tree.mark), [], []
     for i, kind in enumerate(tree.kind):
         up = tree.parent[i]
-        apart.append(i > 0 and (apart[up] or kind in APART))
+        apart.append(i > 0 and (apart[up] or kind in ASIDE))
         inside.append(kind in ("article", "main") or (i > 0 and inside[up]))
-    leaf = [(m == "1") if marked else (x and not a) for m, x, a in zip(tree.mark, inside, apart, strict=True)]
-    # an element is content if it holds any; where it has no words, as its place says
-    words, good = [t is not None for t in tree.text], [t is not None and x for t, x in zip(tree.text, leaf, strict=True)]
-    for i in range(len(leaf) - 1, 0, -1):
+    main = [(m == "1") if marked else (x and not a) for m, x, a in zip(tree.mark, inside, apart, strict=True)]
+    words, holds = [t is not None for t in tree.text], [t is not None and x for t, x in zip(tree.text, main, strict=True)]
+    for i in range(len(main) - 1, 0, -1):
         words[tree.parent[i]] |= words[i]
-        good[tree.parent[i]] |= good[i]
-    return [good[i] if words[i] else leaf[i] for i in range(len(leaf))]
+        holds[tree.parent[i]] |= holds[i]
+    return [(INSIDE if m else AROUND) if h or (m and not w) else APART for m, h, w in zip(main, holds, words, strict=True)]
+
+
+def sort_of(tree: Tree, i: int) -> str:
+    """What a node's edge depends on: its kind, and whether it is named."""
+    return f"{tree.kind[i]}+" if tree.names[i] else tree.kind[i]
 
 
 def features(tree: Tree) -> list[tuple[str, ...]]:
@@ -236,107 +244,118 @@ def features(tree: Tree) -> list[tuple[str, ...]]:
     return out
 
 
+#: Keeps the beliefs of long pages above zero.
+_TINY = 1e-200
+
+
+def _normal(weights: Iterable[float]) -> tuple[float, ...]:
+    weights = tuple(weights)
+    s = sum(weights)
+    return tuple(w / s for w in weights)
+
+
 class Model:
     """Potentials from counts: (family, value, parent's state or -1, own state) -> n."""
 
     def __init__(self, counts: dict[tuple[str, str, int, int], int]):
-        self.edges: dict[str, tuple[float, float, float, float]] = {}
-        self.emits: dict[str, tuple[float, float]] = {}
-        self.named: dict[str, tuple[float, float]] = {}
-        self._contained: dict[str, tuple[float, float]] = {}
-        edge, emit, name = Counter(), Counter(), Counter()
+        self.edges: dict[str, tuple[float, ...]] = {}  # by parent's state, then own
+        self.emits: dict[str, tuple[float, ...]] = {}
+        self.named: dict[str, tuple[float, ...]] = {}
+        self._contained: dict[str, tuple[float, ...]] = {}
+        edge, emit, name, root = Counter(), Counter(), Counter(), Counter()
         for (family, value, up, own), n in counts.items():
             if family == "edge":
                 edge[value, up, own] += n
                 edge["", up, own] += n
             elif family == "emit":
                 emit[value, own] += n
+            elif family == "root":
+                root[own] += n
             else:
                 name[value, own] += n
-        prior = [[(edge["", u, s] + ALPHA) / (edge["", u, 0] + edge["", u, 1] + 2 * ALPHA) for s in (0, 1)] for u in (0, 1)]
-        for kind in {k for k, _, _ in edge}:
-            weight = lambda u, s: (edge[kind, u, s] + 2 * prior[u][s]) / (edge[kind, u, 0] + edge[kind, u, 1] + 2)  # noqa: B023, E731
-            self.edges[kind] = tuple(weight(u, s) for u in (0, 1) for s in (0, 1))
+        share = lambda n, up, s, prior, weight: (n[up, s] + weight * prior) / (sum(n[up, x] for x in STATES) + weight)
+        kinds: dict[str, Counter] = {}
+        for (kind, up, own), n in edge.items():
+            kinds.setdefault(kind, Counter())[up, own] += n
+        prior = {(u, s): share(kinds.get("", Counter()), u, s, 1 / len(STATES), 3 * ALPHA) for u in STATES for s in STATES}
+        for kind, n in kinds.items():
+            self.edges[kind] = tuple(share(n, u, s, prior[u, s], 1) for u in STATES for s in STATES)
         families = Counter()
         for (value, own), n in emit.items():
             families[value[0], own] += n
         for value in {v for v, _ in emit}:
-            self.emits[value] = tuple((emit[value, s] + ALPHA) / (families[value[0], s] + 8 * ALPHA) for s in (0, 1))
-        total = [sum(n for (_, s), n in name.items() if s == own) for own in (0, 1)]
+            self.emits[value] = tuple((emit[value, s] + ALPHA) / (families[value[0], s] + 8 * ALPHA) for s in STATES)
+        self.root = tuple((root[s] + ALPHA) / (sum(root.values()) + len(STATES) * ALPHA) for s in STATES)
+        total = [sum(n for (_, s), n in name.items() if s == own) for own in STATES]
         known = Counter()
         for (value, _), n in name.items():
             known[value] += n
         for value in (v for v, n in known.items() if n >= LEAST):
-            self.named[value] = tuple((name[value, s] + ALPHA) / (total[s] + ALPHA * len(known)) for s in (0, 1))
+            self.named[value] = tuple((name[value, s] + ALPHA) / (total[s] + ALPHA * len(known)) for s in STATES)
 
-    def name(self, word: str) -> tuple[float, float]:
+    def name(self, word: str) -> tuple[float, ...]:
         """A name's weights; one that was never seen has those of the known names it contains."""
         got = self.named.get(word) or self._contained.get(word)
         if got is None:
             inside = [w for k, w in self.named.items() if len(k) >= 4 and k in word]
-            got = (math.prod(w[0] for w in inside), math.prod(w[1] for w in inside)) if inside else (1.0, 1.0)
+            got = _normal(math.prod(w[s] for w in inside) for s in STATES)
             if len(self._contained) < 100_000:
                 self._contained[word] = got
         return got
 
-    def marginals(self, tree: Tree) -> list[float]:
-        """The probability that each node is content, by one pass up and one down."""
+    def own(self, given: tuple[str, ...], names: tuple[str, ...], times: int = 1) -> tuple[float, ...]:
+        """What a node's own features say of its state. Nodes of a page that look alike say the same thing again, so each of
+        `times` such nodes has a part of the weight, and together they weigh as the logarithm of their number."""
+        part, out = DAMP * (1 + math.log(times)) / times, (1.0,) * len(STATES)
+        for weights in [*([x**part for x in self.emits[f]] for f in given if f in self.emits), *map(self.name, names)]:
+            out = _normal(x * w for x, w in zip(out, weights, strict=True))
+        return out
+
+    def marginals(self, tree: Tree) -> list[tuple[float, ...]]:
+        """The probabilities of each node's states, by one pass of messages up and one down."""
         n, given = len(tree.parent), features(tree)
-        b0, b1, m0, m1 = [0.0] * n, [0.0] * n, [1.0] * n, [1.0] * n
-        local: dict[tuple, tuple[float, float]] = {}
-        for i in range(n):
-            key = (given[i], tree.names[i])
-            got = local.get(key)
-            if got is None:
-                x, y = 1.0, 1.0
-                for f in given[i]:
-                    p, q = self.emits.get(f, (1.0, 1.0))
-                    x, y = x * p, y * q
-                for word in tree.names[i]:
-                    p, q = self.name(word)
-                    x, y = x * p, y * q
-                    s = x + y
-                    x, y = x / s, y / s
-                s = x + y
-                local[key] = got = (x / s, y / s)
-            b0[i], b1[i] = got
-        other = self.edges.get("", (0.5, 0.5, 0.5, 0.5))
-        edges = [self.edges.get(k, other) for k in tree.kind]
+        local = {k: self.own(*k, times) for k, times in Counter(zip(given, tree.names, strict=True)).items()}
+        belief = [local[k] for k in zip(given, tree.names, strict=True)]
+        belief[0] = _normal(x * r for x, r in zip(belief[0], self.root, strict=True))
+        other = self.edges.get("", (1.0,) * 9)
+        edges = [self.edges.get(sort_of(tree, i), other) for i in range(n)]
+        sent = [(1.0, 1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
-            t, up = edges[i], tree.parent[i]
-            x, y = t[0] * b0[i] + t[1] * b1[i], t[2] * b0[i] + t[3] * b1[i]
-            s = x + y
-            m0[i], m1[i] = x / s, y / s
-            x, y = max(b0[up] * m0[i], 1e-280), max(b1[up] * m1[i], 1e-280)
-            s = x + y
-            b0[up], b1[up] = x / s, y / s
+            t, (x, y, z), up = edges[i], belief[i], tree.parent[i]
+            a, b, c = t[0] * x + t[1] * y + t[2] * z, t[3] * x + t[4] * y + t[5] * z, t[6] * x + t[7] * y + t[8] * z
+            sent[i] = (a, b, c)
+            p, q, r = belief[up]
+            a, b, c = a * p, b * q, c * r
+            s = a + b + c
+            belief[up] = (a / s + _TINY, b / s + _TINY, c / s + _TINY)
         for i in range(1, n):
-            t, up = edges[i], tree.parent[i]
-            x, y = b0[up] / m0[i], b1[up] / m1[i]
-            s = x + y
-            x, y = x / s, y / s
-            x, y = b0[i] * (x * t[0] + y * t[2]), b1[i] * (x * t[1] + y * t[3])
-            s = max(x + y, 1e-280)
-            b0[i], b1[i] = max(x / s, 1e-280), max(y / s, 1e-280)
-        return b1
+            t, (x, y, z), (p, q, r), up = edges[i], belief[i], sent[i], belief[tree.parent[i]]
+            p, q, r = up[0] / p, up[1] / q, up[2] / r  # the parent's belief without this child's message
+            s = p + q + r
+            p, q, r = p / s, q / s, r / s
+            a, b, c = x * (p * t[0] + q * t[3] + r * t[6]), y * (p * t[1] + q * t[4] + r * t[7]), z * (p * t[2] + q * t[5] + r * t[8])
+            s = a + b + c
+            belief[i] = (a / s + _TINY, b / s + _TINY, c / s + _TINY)
+        return belief
 
     def text(self, page: str | None) -> str:
         """The main text of a page, a line a block."""
         if not page:
             return ""
         tree = parse(page)
-        return "\n".join(t for t, p in zip(tree.text, self.marginals(tree), strict=True) if t is not None and p > 0.5)
+        return "\n".join(t for t, p in zip(tree.text, self.marginals(tree), strict=True) if t is not None and p[INSIDE] > 0.5)
 
 
 def counts_of(page: str) -> Counter:
     """A labelled page's share of the model's counts."""
     tree = parse(page)
     label, given, out = own_labels(tree), features(tree), Counter()
+    out["root", "", -1, label[0]] += 1
     for i, s in enumerate(label):
         if i:
-            out["edge", tree.kind[i], int(label[tree.parent[i]]), int(s)] += 1
-        out.update(("emit", f, -1, int(s)) for f in given[i])
-        out.update(("name", w, -1, int(s)) for w in tree.names[i])
+            out["edge", sort_of(tree, i), label[tree.parent[i]], s] += 1
+        out.update(("emit", f, -1, s) for f in given[i])
+        out.update(("name", w, -1, s) for w in tree.names[i])
     return out
 
 
@@ -361,13 +380,13 @@ _MAIN = ["article", "main", "section", *(f'div class="{c}"' for c in ("post-cont
 _MAIN += ['div id="content"', 'div id="main"', 'div id="article"', 'div role="main"', 'div itemprop="articleBody"', "div", 'td class="content"', 'main id="main-content"', 'article class="post"']
 _WRAP = ["", 'div class="container"', 'div id="page"', 'div class="wrapper"', 'div id="main-wrapper"', 'div class="row"', "div", 'div class="content-area"']
 _PARTS = {
-    "menu": ["nav", *(f'{t} class="{c}"' for t, c in (("ul", "menu"), ("div", "nav"), ("div", "navigation"), ("ul", "navbar"), ("div", "breadcrumb"), ("div", "breadcrumbs"), ("div", "topbar"), ("ol", "pagination"), ("div", "pager"), ("div", "toc"), ("nav", "main-nav"))), 'div id="nav"', 'div id="menu"', 'div role="navigation"'],
-    "header": ["header", *(f'div {a}' for a in ('id="header"', 'class="site-header"', 'class="header"', 'class="masthead"', 'class="logo"', 'role="banner"', 'class="branding"')), 'header class="site-header"'],
-    "footer": ["footer", *(f'div {a}' for a in ('id="footer"', 'class="site-footer"', 'class="footer"', 'class="copyright"', 'class="legal"', 'class="colophon"', 'role="contentinfo"', 'class="footer-content"')), 'footer class="page-footer"'],
-    "side": ["aside", *(f'div {a}' for a in ('id="sidebar"', 'class="sidebar"', 'class="widget"', 'class="related"', 'class="related-posts"', 'class="recent-posts"', 'class="popular"', 'class="trending"', 'class="tags"', 'class="rail"', 'role="complementary"', 'class="sidebar-content"', 'class="recommended"', 'class="see-also"')), 'aside class="sidebar"', 'section class="related-articles"'],
+    "menu": [*["nav"] * 3, *(f'{t} class="{c}"' for t, c in (("ul", "menu"), ("div", "nav"), ("div", "navigation"), ("ul", "navbar"), ("div", "breadcrumb"), ("div", "breadcrumbs"), ("div", "topbar"), ("ol", "pagination"), ("div", "pager"), ("div", "toc"), ("nav", "main-nav"))), 'div id="nav"', 'div id="menu"', 'div role="navigation"'],
+    "header": [*["header"] * 3, *(f'div {a}' for a in ('id="header"', 'class="site-header"', 'class="header"', 'class="masthead"', 'class="logo"', 'role="banner"', 'class="branding"')), 'header class="site-header"'],
+    "footer": [*["footer"] * 3, *(f'div {a}' for a in ('id="footer"', 'class="site-footer"', 'class="footer"', 'class="copyright"', 'class="legal"', 'class="colophon"', 'role="contentinfo"', 'class="footer-content"')), 'footer class="page-footer"'],
+    "side": [*["aside"] * 5, *(f'div {a}' for a in ('id="sidebar"', 'class="sidebar"', 'class="widget"', 'class="related"', 'class="related-posts"', 'class="recent-posts"', 'class="popular"', 'class="trending"', 'class="tags"', 'class="rail"', 'role="complementary"', 'class="sidebar-content"', 'class="recommended"', 'class="see-also"')), 'aside class="sidebar"', 'section class="related-articles"'],
     "notice": ["dialog", *(f'div {a}' for a in ('class="cookie-notice"', 'class="cookie-banner"', 'id="cookies"', 'class="notice"', 'class="consent"', 'class="gdpr"', 'class="alert"', 'class="popup"', 'class="modal"', 'class="newsletter"', 'class="subscribe"', 'class="paywall"', 'class="disclaimer"', 'role="alert"', 'role="dialog"', 'class="overlay"', 'class="warning"', 'class="banner"', "hidden", 'class="message"', 'class="toast"', 'class="privacy"')), 'section class="cookie-consent"'],
     "advert": [f'{t} class="{c}"' for t, c in (("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertisement"), ("aside", "ad"), ("div", "sponsored"), ("div", "sponsor"), ("div", "promo"), ("div", "promotion"), ("section", "ad-slot"), ("div", "adsense"), ("div", "ad-banner"), ("div", "banner-ad"), ("div", "affiliate"))],
-    "form": ["form", *(f'{t} {a}' for t, a in (("form", 'class="search"'), ("form", 'class="login"'), ("div", 'class="search-form"'), ("form", 'id="contact"'), ("div", 'class="signup"'), ("form", 'class="comment-form"'), ("fieldset", 'class="form"')))],
+    "form": [*["form"] * 3, *(f'{t} {a}' for t, a in (("form", 'class="search"'), ("form", 'class="login"'), ("div", 'class="search-form"'), ("form", 'id="contact"'), ("div", 'class="signup"'), ("form", 'class="comment-form"'), ("fieldset", 'class="form"')))],
     "comment": [f'{t} {a}' for t, a in (("section", 'class="comments"'), ("div", 'id="comments"'), ("div", 'class="comments"'), ("ol", 'class="comment-list"'), ("div", 'class="discussion"'), ("div", 'class="replies"'), ("div", 'id="disqus"'), ("section", 'id="responses"'), ("div", 'class="comment"'), ("div", 'class="reviews"'), ("section", 'class="reader-comments"'), ("div", 'class="feedback"'), ("article", 'class="comment"'))],
     "share": [f'div class="{c}"' for c in ("share", "social", "sharing", "share-buttons", "social-links", "print", "tools", "post-meta-links")],
 }
@@ -455,8 +474,8 @@ def labelled_sample(pages: DataFrame, html: str = "html", most: int = PAGES, cha
             for page in batch.column(0).to_pylist():
                 tree = parse(page)
                 label = own_labels(tree)
-                blocks = [t for t, s in zip(tree.text, label, strict=True) if t is not None and s]
-                rest = [t for t, s in zip(tree.text, label, strict=True) if t is not None and not s]
+                blocks = [t for t, s in zip(tree.text, label, strict=True) if t is not None and s == INSIDE]
+                rest = [t for t, s in zip(tree.text, label, strict=True) if t is not None and s != INSIDE]
                 draw = random.Random(zlib.crc32(page.encode()))
                 made = [*[page] * max(1, relays), *[relaid(blocks[: draw.choice((3, 6, 12, 40))] or ["word"], rest, draw) for _ in range(relays)]]
                 yield pa.RecordBatch.from_arrays([pa.array(made)], names=["html"])
