@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordCache, checkpoint, small_batches
 from .token_files import BYTE_CHARS, STRANGE_RE2, WordTokenizer
 
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 #: Bytes of text that are aligned at a time: what is held besides the cache grows with them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Most rows of pair counts that are broadcast (about 64 MB), and over how many tasks a pair is dealt otherwise.
 PAIRS, SALTS = 2_000_000, 16
 #: Groups of more links than this are counted by their distinct ids on each side.
@@ -110,7 +111,7 @@ def links(groups: Groups, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndar
 
 
 class Unit(NamedTuple):
-    """What one unit of text gives; pairs and times as bytes of longs."""
+    """What one unit of text gives; pairs as bytes of longs, times too where a pair is linked more than once."""
 
     good: bool
     groups: str
@@ -126,6 +127,36 @@ _NOTHING = Unit(True, "", 0, 0, 0, 0, b"", b"")
 _BAD = _NOTHING._replace(good=False)
 
 
+class Table:
+    """The bytes of every token of one side."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.fromiter(map(len, tokens), "i8", len(tokens))
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(tokens), dtype="u1")
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.flat[np.repeat(self.starts[ids], sizes) + inside].tobytes()
+
+
+class Side(NamedTuple):
+    """The ids of some units, one after the other, and how many each has."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+
+    def bytes_of(self, table: Table) -> np.ndarray:
+        """Of each unit."""
+        ends = np.concatenate([[0], np.cumsum(table.sizes[self.ids])])[np.concatenate([[0], np.cumsum(self.counts)])]
+        return np.diff(ends)
+
+
+def _side(parts: list[list[int]]) -> Side:
+    counts = np.fromiter(map(len, parts), "i8", len(parts))
+    return Side(np.fromiter(chain.from_iterable(parts), "i8", int(counts.sum())), counts)
+
+
 class Aligner:
     """Both tokenizers of one worker."""
 
@@ -135,59 +166,67 @@ class Aligner:
         self.a, self.b = WordTokenizer(bytes_path, plain=True), SentencePieceProcessor(model_file=pieces_path)
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
         byte_of = {chr(c): b for b, c in BYTE_CHARS.items()}
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in token)
+            tokens[i] = bytes(byte_of[c] for c in token)
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
-        self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), "i8", len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.tables = Table(tokens), Table([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces])
         self.units = WordCache(self.made, CACHE_UNITS)
 
-    def _ids(self, units: list[str], whole: bool) -> tuple[list[np.ndarray], list[list[int]]]:
-        """Ids of units that begin with a space, or with a line feed that a word follows."""
-        feeds = [not whole and u[0] == "\n" for u in units]
-        cut = [u[1:] if f else u for u, f in zip(units, feeds, strict=True)]
+    def _ids(self, units: list[str], whole: bool) -> tuple[Side, Side]:
+        """Of units that begin with a space, or with a line feed that a word follows."""
         if whole:
-            a = [x.ids for x in self.a.tokenizer.encode_batch_fast(cut, add_special_tokens=False)]
-        else:
-            a = [np.frombuffer(x, dtype="<u4") for x in self.a.of_words(cut)]
-            feed = np.frombuffer(self.a.of_words(["\n"])[0], dtype="<u4")
-            a = [np.concatenate([feed, x]) if f else x for x, f in zip(a, feeds, strict=True)]
-        b = self.b.encode([u if f else u[1:] for u, f in zip(units, feeds, strict=True)], num_threads=1)
-        return [np.asarray(x, dtype="i8") for x in a], [x[1:] if f else x for x, f in zip(b, feeds, strict=True)]
+            a = _side([x.ids for x in self.a.tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+            return a, _side(self.b.encode([u[1:] for u in units], num_threads=1))
+        feeds = [u[0] == "\n" for u in units]
+        raw = self.a.of_words([u[1:] if f else u for u, f in zip(units, feeds, strict=True)])
+        if any(feeds):
+            feed = self.a.of_words(["\n"])[0]
+            raw = [feed + x if f else x for x, f in zip(raw, feeds, strict=True)]
+        a = Side(np.frombuffer(b"".join(raw), dtype="<u4").astype("i8"), np.fromiter(map(len, raw), "i8", len(raw)) // 4)
+        pieces = self.b.encode([u if f else u[1:] for u, f in zip(units, feeds, strict=True)], num_threads=1)
+        return a, _side([x[1:] if f else x for x, f in zip(pieces, feeds, strict=True)])
 
     def made(self, units: list[str], whole: bool = False) -> list[Unit]:
         """All units that are right on both sides are aligned in one bitset; a unit's end is a shared cut."""
-        full = [u for u in units if u]
         out = dict.fromkeys(units, _NOTHING)
-        a, b = self._ids(full, whole) if full else ([], [])
-        good = []
-        for i, u in enumerate(full):
-            want = u.encode()
-            same = want == b"".join(map(self.a_bytes.__getitem__, a[i].tolist())) == b"".join(map(self.b_bytes.__getitem__, b[i]))
-            out[u] = _NOTHING if same else _BAD
-            if same:
-                good.append(i)
-        if good:
-            out.update(zip([full[i] for i in good], self._aligned([a[i] for i in good], [b[i] for i in good]), strict=True))
+        full = [u for u in out if u]
+        while full:
+            sides, sizes = self._ids(full, whole), np.fromiter((len(u.encode()) for u in full), "i8", len(full))
+            want = "".join(full).encode()
+            if all((x.bytes_of(t) == sizes).all() and t.joined(x.ids) == want for x, t in zip(sides, self.tables, strict=True)):
+                out.update(zip(full, self._aligned(*sides), strict=True))
+                break
+            if len(full) == 1:
+                out[full[0]] = _BAD
+                break
+            single = [self._right(u, whole) for u in full]  # rare: texts that a tokenizer does not keep
+            out.update((u, _BAD) for u, right in zip(full, single, strict=True) if not right)
+            full = [u for u, right in zip(full, single, strict=True) if right]
         return [out[u] for u in units]
 
-    def _aligned(self, a: list[np.ndarray], b: list[list[int]]) -> Iterator[Unit]:
-        a_ids, b_ids = np.concatenate(a), np.fromiter((x for ids in b for x in ids), "i8")
-        g = align(self.a_sizes[a_ids], self.b_sizes[b_ids])
-        pairs, times, of = links(g, a_ids, b_ids)
+    def _right(self, unit: str, whole: bool) -> bool:
+        return all(t.joined(x.ids) == unit.encode() for x, t in zip(self._ids([unit], whole), self.tables, strict=True))
+
+    def _aligned(self, a: Side, b: Side) -> Iterator[Unit]:
+        g = align(self.tables[0].sizes[a.ids], self.tables[1].sizes[b.ids])
+        pairs, times, of = links(g, a.ids, b.ids)
         rank = np.argsort(of, kind="stable")
         pairs, times, of = pairs[rank], times[rank], of[rank]
-        n_a, n_b = np.fromiter(map(len, a), "i8", len(a)), np.fromiter(map(len, b), "i8", len(b))
-        last = np.searchsorted(g.a[1:], np.cumsum(n_a))  # the group that ends each unit
+        last = np.searchsorted(g.a[1:], np.cumsum(a.counts))  # the group that ends each unit
         first = np.concatenate([[0], last[:-1] + 1])
         sums = np.concatenate([[0], np.cumsum(np.diff(g.a) * np.diff(g.b))])
-        at = np.searchsorted(of, np.concatenate([first, [last[-1] + 1]])).tolist()
-        x, y, ga, gb = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist())), g.a.tolist(), g.b.tolist()
-        parts = [f"{','.join(x[p:q])}|{','.join(y[r:s])}" for p, q, r, s in zip(ga, ga[1:], gb, gb[1:], strict=False)]
-        for i, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            p, k = pairs[at[i] : at[i + 1]], times[at[i] : at[i + 1]]
-            yield Unit(True, ";".join(parts[f : t + 1]), int(n_a[i]), int(n_b[i]), t + 1 - f, int(sums[t + 1] - sums[f]), p.tobytes(), k.tobytes())
+        at = np.searchsorted(of, np.concatenate([first, [last[-1] + 1]]))
+        more = np.add.reduceat(times, at[:-1]) > np.diff(at)
+        x, y, ga, gb = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist())), g.a.tolist(), g.b.tolist()
+        parts = [
+            f"{x[p] if q == p + 1 else ','.join(x[p:q])}|{y[r] if s == r + 1 else ','.join(y[r:s])}"
+            for p, q, r, s in zip(ga, ga[1:], gb, gb[1:], strict=False)
+        ]
+        raw, often, at = pairs.tobytes(), times.tobytes(), (8 * at).tolist()
+        numbers = (x.tolist() for x in (first, last, a.counts, b.counts, sums[last + 1] - sums[first], more))
+        for p, q, f, t, n_a, n_b, n, m in zip(at, at[1:], *numbers, strict=False):
+            yield Unit(True, parts[f] if f == t else ";".join(parts[f : t + 1]), n_a, n_b, t + 1 - f, n, raw[p:q], often[p:q] if m else b"")
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
         """Of each text [n_a, n_b, n_groups, n_links], the groups' hash, the distinct pairs and how often each is linked."""
@@ -198,29 +237,44 @@ class Aligner:
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(spaced, "\n", "\0\n"), " ", "\0 "), "\0")
         words = cut.flatten().dictionary_encode()
         known, index = self.units.of(words.dictionary.to_pylist()), words.indices.to_numpy()
-        strings = [u.groups for u in known]
+        strings, pairs = [u.groups for u in known], [u.pairs for u in known]
+        sizes, good = np.fromiter(map(len, pairs), "i8", len(pairs)) // 8, np.fromiter((u.good for u in known), "?", len(known))
+        times = {i: np.frombuffer(u.times, dtype="i8") for i, u in enumerate(known) if u.times}
+        figures = np.array([u[2:6] for u in known], dtype="i8").reshape(-1, 4)
         offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        sums = np.concatenate([np.zeros((1, 4), dtype="i8"), np.cumsum(figures[index], axis=0)])[offsets]
+        sums = (sums[1:] - sums[:-1]).tolist()
+        none = np.empty(0, dtype="i8")
         for i, is_odd in enumerate(odd.tolist()):
             if is_odd:
-                yield self._document(self.made([" " + texts[i].as_py()], whole=True), np.ones(1, dtype="i8"), None)
-            else:
-                at = index[offsets[i] : offsets[i + 1]][1:]  # the first is what stands before the first unit: nothing
-                u, n = np.unique(at, return_counts=True)
-                yield self._document([known[k] for k in u.tolist()], n, [strings[k] for k in at.tolist()])
-
-    @staticmethod
-    def _document(units: list[Unit], n: np.ndarray, strings: list[str] | None) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-        none = np.empty(0, dtype="i8")
-        if not units or not all(u.good for u in units):
-            return [0, 0, 0, 0], "", none, none
-        figures = [int(np.dot(n, [u[f] for u in units])) for f in range(2, 6)]
-        text = ";".join(strings if strings is not None else [u.groups for u in units])
-        pairs = np.frombuffer(b"".join(u.pairs for u in units), dtype="i8")
-        times = np.frombuffer(b"".join(u.times for u in units), dtype="i8") * np.repeat(n, [len(u.pairs) // 8 for u in units])
-        rank = np.argsort(pairs, kind="stable")
-        pairs, times = pairs[rank], times[rank]
-        at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        return figures, hashlib.sha256(text.encode()).hexdigest(), pairs[at], np.add.reduceat(times, at)
+                unit = self.made([" " + texts[i].as_py()], whole=True)[0]
+                found = np.frombuffer(unit.pairs, dtype="i8")
+                often = np.frombuffer(unit.times, dtype="i8") if unit.times else np.ones(len(found), dtype="i8")
+                yield (list(unit[2:6]), _hash(unit.groups), *_distinct(found, often)) if unit.good else ([0] * 4, "", none, none)
+                continue
+            at = index[offsets[i] : offsets[i + 1]][1:]  # the first is what stands before the first unit: nothing
+            u, n = np.unique(at, return_counts=True)
+            if not len(u) or not good[u].all():
+                yield [0] * 4, "", none, none
+                continue
+            chosen = u.tolist()
+            often = np.repeat(n, sizes[u])
+            if times and not times.keys().isdisjoint(chosen):
+                often *= np.concatenate([times.get(k, np.ones(sizes[k], dtype="i8")) for k in chosen])
+            found = np.frombuffer(b"".join([pairs[k] for k in chosen]), dtype="i8")
+            yield sums[i], _hash(";".join([strings[k] for k in at.tolist()])), *_distinct(found, often)
+
+
+def _hash(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _distinct(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each is linked."""
+    rank = np.argsort(pairs)
+    pairs, times = pairs[rank], times[rank]
+    at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    return pairs[at], np.add.reduceat(times, at)
 
 
 _BUILT: dict[tuple[str, str], Aligner] = {}
