@@ -1,7 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are measured on a bounded sample; rules then
-run in descending order of rejections per second, as the branches of one CASE.
+Each rule's cost and selectivity are estimated on a bounded sample, in one job:
+the cost from the sample's characters, words and lines and what a feature costs
+for each of them, the selectivity from which rules reject which documents. The
+next rule is always the one with most rejections per cost among the documents
+that the rules before it leave; equal ones keep their declared order. The rules
+then run in this order, as the branches of one CASE.
 A document's words are found once, before the CASE, and each feature where the
 first rule that needs it is reached, so a document that a cheap rule rejects
 never meets a dear one. The order changes cost only: a document is kept exactly
@@ -16,7 +20,6 @@ untouched, and the columns added are renamed if they would clash.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -104,6 +107,13 @@ FEATURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_bullets": lambda text, w: lines_like(text, r"^[\x20\x09]*[-*•]"),
     "n_ellipses": lambda text, w: lines_like(text, r"(\.\.\.|…)[\x20\x09]*\z"),
 }
+#: What a feature costs, in nanoseconds for each character, word and line; only their relations matter. Words are found before any rule.
+COSTS: dict[str, tuple[float, float, float]] = {
+    "n_words": (0, 0, 0), "word_chars": (8, 0, 0), "n_symbols": (8, 0, 0), "n_lines": (6, 0, 150), "n_dup_lines": (6, 0, 250),
+    "n_repeat_words": (0, 400, 0), "n_alpha": (0, 120, 0), "n_bullets": (6, 0, 300), "n_ellipses": (8, 0, 400),
+}
+#: A comparison's cost, and that of a feature which states none.
+LEAST_COST, OTHER_COST = 20.0, (20.0, 100.0, 100.0)
 #: What the report shows.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -129,30 +139,48 @@ RULES = (
 )
 
 
+def features_of(rule: Rule) -> list[str]:
+    """The features that a rule asks for."""
+    asked: list[str] = []
+    rule.rejects(lambda name: asked.append(name) or F.lit(0))
+    return list(dict.fromkeys(asked))
+
+
+def by_rejections_per_cost(rules: tuple[Rule, ...], seen: list[tuple[str, int, int, int, int]]) -> list[Rule]:
+    """seen: which rules reject ("0110..."), in how many documents, and these documents' characters, words and lines."""
+    left, out = list(enumerate(rules)), []
+    while left:
+
+        def worth(at: tuple[int, Rule]) -> tuple[float, float]:
+            n, sizes = max(1, sum(x[1] for x in seen)), [sum(x[k] for x in seen) for k in (2, 3, 4)]  # noqa: B023
+            unit = [sum(COSTS.get(f, OTHER_COST)[k] for f in features_of(at[1])) for k in range(3)]
+            cost = LEAST_COST + sum(u * x for u, x in zip(unit, sizes, strict=True)) / n
+            return sum(x[1] for x in seen if x[0][at[0]] == "1") / cost, -cost  # noqa: B023
+
+        best = max(left, key=worth)  # the first of equal ones
+        left.remove(best)
+        out.append(best[1])
+        seen = [x for x in seen if x[0][best[0]] == "0"] or seen
+    return out
+
+
 def measured_order(
     df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7
 ) -> list[Rule]:
-    """Rules by rejections per second on a sample of at most sample_rows documents."""
+    """The rules in the order of the cascade, from a sample of at most sample_rows documents."""
     total = df.count()
-    if not total:
+    if not total or not rules:
         return list(rules)
-    sample = df.select(F.col(text).alias("text")).sample(min(1.0, 1.2 * sample_rows / total), seed).limit(sample_rows).persist()
-
-    def run(reject: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        got = sample.agg(F.avg(reject.cast("double")).alias("rate")).first()["rate"]
-        return time.perf_counter() - began, got or 0.0
-
-    try:
-        run(F.lit(False))  # fills the cache
-        idle = min(run(F.size(words(F.col("text"))) < 0)[0] for _ in range(2))  # words are found before any rule
-        rank = {}
-        for rule in rules:
-            took, rate = run(verdict(F.col("text"), [rule]).isNotNull())
-            rank[rule.name] = rate / max(took - idle, 1e-3)
-    finally:
-        sample.unpersist()
-    return sorted(rules, key=lambda r: (-rank[r.name], r.name))
+    sample = df.select(F.col(text).alias("text")).sample(min(1.0, 1.2 * sample_rows / total), seed).limit(sample_rows)
+    t = F.col("text")
+
+    def judged(w: Column) -> Column:
+        bits = [rule.rejects(lambda name: FEATURES[name](t, w)).cast("int").cast("string") for rule in rules]
+        sizes = F.coalesce(F.length(t), F.lit(0)).cast("long").alias("chars"), F.size(w).cast("long").alias("words"), n_lines(t).alias("lines")
+        return F.struct(F.concat(*bits).alias("bits"), *sizes)
+
+    rows = sample.select(let(words(t), judged).alias("x")).groupBy("x.bits").agg(F.count("*").alias("n"), *[F.sum(f"x.{c}").alias(c) for c in ("chars", "words", "lines")])
+    return by_rejections_per_cost(rules, sorted((r["bits"], r["n"], r["chars"], r["words"], r["lines"]) for r in rows.collect()))  # at most a row for each sampled document
 
 
 def cascade(order: list[Rule], get: Callable[[str], Column]) -> Column:

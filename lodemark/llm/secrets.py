@@ -231,7 +231,7 @@ class Formats:
 
 
 def _free(text: str, base: list) -> Iterator[tuple[int, int, str]]:
-    """Candidates that no base finding overlaps, as (start, end, token)."""
+    """Candidates that no base finding overlaps, as (start, end, token): the ordinary tokens to learn from."""
     taken, k, reach = sorted((s, e) for s, e, _, _ in base), 0, 0
     for m in _CANDIDATE.finditer(text):
         while k < len(taken) and taken[k][0] < m.end():
@@ -246,7 +246,11 @@ def _spans_of(text: str | None, formats: Formats, known: dict[str, bool]) -> tup
         return [], []
     base = base_findings(text)
     found = list(base)
-    for start, end, token in _free(text, base):
+    named = {(s, e) for s, e, _, _ in base}
+    for m in _CANDIDATE.finditer(text):
+        start, end, token = m.start(), m.end(), m[0]
+        if (start, end) in named:
+            continue
         hit = known.get(token)
         if hit is None:
             hit = formats.match(token)

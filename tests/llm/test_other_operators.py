@@ -295,6 +295,16 @@ def test_secrets_formats_are_inferred(spark, sf_dir, documents):
     assert all(int(s.split(":")[2]) - int(s.split(":")[1]) in (800, 40_000) for s in long.spans.split(",") if s)  # whole tokens or none
     assert secrets.scan_secrets(documents, formats).count() == documents.count()
     assert secrets.redact(spark.createDataFrame(train, "doc_id long, text string"), formats).filter("text like '%AKIA%' or text like '%ghq_%'").count() == 0
+    # a base finding inside a longer key: the key is scored whole, stands beside it, and nothing of it is left in the clear
+    inner = [k[:12] + makers[2]()[:16] + k[28:] for k in held[:30]]
+    cut = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(inner)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan_secrets(cut, formats).collect()}
+    base = [secrets.base_findings(t)[0] for t in inner]
+    assert all(f"hex:{4 + s}:{4 + e}" in rows[i].spans for i, (s, e, _, _) in enumerate(base))
+    taken = [i for i, t in enumerate(inner) if formats.match(t)]
+    assert len(taken) >= 15 and all(rows[i].spans.startswith("format:4:44,") and rows[i].n_format == 1 for i in taken)
+    clean = {r.doc_id: r.text for r in secrets.redact(cut, formats).collect()}
+    assert all(clean[i] == "see [secret] here" for i in taken)
     few = secrets.Formats([("hex", makers[2]()) for _ in range(5)] + [("assign", makers[0]())])
     assert set(few.automata) == {"rare"}
 

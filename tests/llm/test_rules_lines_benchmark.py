@@ -59,6 +59,17 @@ def test_quality_puts_cheap_strict_rules_first(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(300)], "doc_id long, text string")
     order = R.measured_order(docs)
     assert order[0].name == "too_short" and sorted(r.name for r in order) == sorted(r.name for r in R.RULES)
+    assert [r.name for r in R.measured_order(docs.repartition(5))] == [r.name for r in order]
+
+
+def test_order_follows_what_earlier_rules_leave():
+    """Rule 1 rejects more than rule 2, but nearly all of that is gone after rule 0."""
+    rule = lambda name, *features: R.Rule(name, lambda f: [f(x) for x in features])
+    rules = (rule("a", "n_words"), rule("b", "n_symbols"), rule("c", "n_symbols"), rule("d", "n_symbols"), rule("never", "n_words"))
+    seen = [("11000", 90, 9000, 900, 9), ("01000", 1, 100, 10, 1), ("00100", 20, 2000, 200, 2), ("00010", 20, 2000, 200, 2), ("00000", 50, 5000, 500, 5)]
+    assert [r.name for r in R.by_rejections_per_cost(rules, seen)] == ["a", "c", "d", "b", "never"]
+    assert R.features_of(R.RULES[4]) == ["word_chars", "n_words"] and R.by_rejections_per_cost((), seen) == []
+    assert [r.name for r in R.by_rejections_per_cost(rules, [("11111", 5, 500, 50, 5)])] == ["a", "never", "b", "c", "d"]  # dearer ones after, equal ones as declared
 
 
 def test_quality_filter_keeps_columns(documents, no_documents):
