@@ -1,6 +1,6 @@
 """Registered queries over the derived views; importing a module registers its queries."""
 
-from . import discovery, files, gates, joins, market, performance, records, recurrent, research, robustness, strategies, streams
+from . import discovery, files, gates, joins, market, performance, records, recurrent, research, robustness, strategies, streams, walkforward
 from .registry import COVERS, QUERIES, SQL
 
 
@@ -12,4 +12,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-__all__ = ["COVERS", "discovery", "files", "gates", "joins", "market", "oracle_sql", "performance", "queries", "records", "recurrent", "research", "robustness", "strategies", "streams"]
+__all__ = ["COVERS", "discovery", "files", "gates", "joins", "market", "oracle_sql", "performance", "queries", "records", "recurrent", "research", "robustness", "strategies", "streams", "walkforward"]

@@ -248,10 +248,3 @@ def chronological_split(spark, sf_dir):
     from ..operators import splits
 
     return splits.sealed(splits.chronological(T.bars_1h(spark, sf_dir), "symbol", ["ts"], (0.6, 0.2)), "symbol", "ts", "ts")
-
-
-@query(310, 309, 311, sql="SELECT s AS start, s + 300 AS train_end, s + 300 AS test_start, s + 400 AS test_end FROM (SELECT unnest(range(0, 1000 - 300 - 100, 50))::INT AS s)")
-def walk_forward_bounds(spark, sf_dir):
-    from ..operators import splits
-
-    return splits.walk_forward(spark, 1000, 300, 100, 50)
