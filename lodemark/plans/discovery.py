@@ -202,7 +202,7 @@ def hypothesis_emission(spark, sf_dir):
     return h.select("symbol", "k", F.round("evc", 6).alias("evc"), status.alias("status"), F.round(F.abs("t") * F.least("evc", F.lit(3.0)) / F.col("k"), 6).alias("priority"))
 
 
-@query(126, 433, sql=f"""WITH {DAYS}, x AS (SELECT symbol, date, close, close / lag(close, 5) OVER o - 1 AS prior, lead(close, 1) OVER o / close - 1 AS nx FROM days WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+@query(126, sql=f"""WITH {DAYS}, x AS (SELECT symbol, date, close, close / lag(close, 5) OVER o - 1 AS prior, lead(close, 1) OVER o / close - 1 AS nx FROM days WINDOW o AS (PARTITION BY symbol ORDER BY date)),
 j AS (SELECT a.symbol, b.symbol AS other, a.nx, b.prior FROM x a JOIN x b ON a.date = b.date AND a.symbol <> b.symbol WHERE a.nx IS NOT NULL AND b.prior IS NOT NULL)
 SELECT symbol, other, prior > 0 AS other_rose, count(*) AS n, round(avg(nx), 6) AS mean, (count(*) >= 10 AND avg(nx) > 0) AS passes FROM j GROUP BY 1, 2, 3""")
 def conditional_split(spark, sf_dir):

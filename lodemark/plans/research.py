@@ -98,7 +98,7 @@ def search_accounting(spark, sf_dir):
     )
 
 
-@query(201, 202, 204, 262, 263, 265, 429, 432, sql="""WITH s AS (SELECT p_partkey AS id, p_brand AS family, p_size, p_retailprice, round(100 * (0.5 * p_size / 50 + 0.3 * (p_partkey % 17) / 17.0 + 0.2 / (1 + p_partkey % 5)), 6) AS score FROM part),
+@query(201, 202, 204, 262, 263, 265, 432, sql="""WITH s AS (SELECT p_partkey AS id, p_brand AS family, p_size, p_retailprice, round(100 * (0.5 * p_size / 50 + 0.3 * (p_partkey % 17) / 17.0 + 0.2 / (1 + p_partkey % 5)), 6) AS score FROM part),
 c AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, id) AS k FROM s)
 SELECT id, family, score, k, CASE WHEN p_retailprice / 1000 >= 1 THEN 'VIABLE' WHEN p_retailprice / 1000 >= 0.25 THEN 'MARGINAL' ELSE 'REJECTED' END AS tier FROM c WHERE k <= 3""")
 def idea_ranking(spark, sf_dir):

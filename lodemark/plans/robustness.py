@@ -64,7 +64,7 @@ _LOOK, _HOLD, _LEVEL, _MULT, _DELAY = (1, 2, 4, 8, 12), (2, 4, 8), (0.0, 0.1, 0.
 _list = lambda v: "[" + ", ".join(map(str, v)) + "]"
 
 
-@query(316, 317, 318, sql=f"""WITH {_RET}, l AS (SELECT symbol, close, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS later, list(close) OVER (PARTITION BY symbol ORDER BY ts DESC ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS before FROM r),
+@query(317, 318, sql=f"""WITH {_RET}, l AS (SELECT symbol, close, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS later, list(close) OVER (PARTITION BY symbol ORDER BY ts DESC ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS before FROM r),
 f AS (SELECT symbol, look, delay, hold, close / before[1 + look] - 1 AS mom, later[1 + delay + hold] / later[1 + delay] - 1 AS fwd FROM l CROSS JOIN (SELECT unnest({_list(_LOOK)}) AS look)
   CROSS JOIN (SELECT unnest({_list(_DELAY)}) AS delay) CROSS JOIN (SELECT unnest({_list(_HOLD)}) AS hold) WHERE len(before) > look AND len(later) > delay + hold),
 p AS (SELECT symbol, look, delay, hold, level, mult, avg(sign(mom) * fwd - mult * {COST}) AS mean, count(*) AS n FROM f CROSS JOIN (SELECT unnest({_list(_LEVEL)}) AS level) v CROSS JOIN (SELECT unnest({_list(_MULT)}) AS mult) c WHERE abs(mom) > level GROUP BY ALL)
@@ -134,7 +134,7 @@ def _resampled(slots: DataFrame, v: DataFrame) -> DataFrame:
     return slots.join(v.select("strategy", "i", "x"), ["strategy", "i"])
 
 
-@query(328, 325, 394, sql=f"""WITH {_DAILY}, s AS (SELECT v.strategy, it, {_DRAWN.format("iid", "strategy || ':' || it || ':' || i")} % n AS i FROM v CROSS JOIN it),
+@query(328, 325, sql=f"""WITH {_DAILY}, s AS (SELECT v.strategy, it, {_DRAWN.format("iid", "strategy || ':' || it || ':' || i")} % n AS i FROM v CROSS JOIN it),
 m AS (SELECT s.strategy, it, avg(x) AS mean FROM s JOIN v ON v.strategy = s.strategy AND v.i = s.i GROUP BY 1, 2)
 SELECT strategy, count(*) AS resamples, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high, round(avg((mean > 0)::INT), 6) AS positive, avg((mean > 0)::INT) >= 0.95 AS survives FROM m GROUP BY strategy""")
 def iid_bootstrap(spark, sf_dir):

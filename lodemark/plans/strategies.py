@@ -94,7 +94,7 @@ def strategy_recurrent_signals(spark, sf_dir):
     return G.recurrent_signals(T.bars_1h(spark, sf_dir)).select("symbol", "ts", *_NAMES, F.round("line", 6).alias("line"))
 
 
-@query(370, 348, sql=f"""{_INDICATORS}, f AS (SELECT *, CASE WHEN r <= 30 THEN 0 ELSE keltner END AS signal, macd + adx + supertrend + rsi AS total FROM signals)
+@query(370, sql=f"""{_INDICATORS}, f AS (SELECT *, CASE WHEN r <= 30 THEN 0 ELSE keltner END AS signal, macd + adx + supertrend + rsi AS total FROM signals)
 SELECT symbol, ts, signal, round(0.35 + 0.6 * coalesce(least(greatest((abs(close - ema_20) / nullif(2 * atr_20, 0) - 0.5) / 2, 0), 1), 0.5), 6) AS confidence,
   CASE WHEN signal <> 0 THEN round(close - 2 * signal * atr, 6) END AS sl, CASE WHEN signal <> 0 THEN round(close + 3 * signal * atr, 6) END AS tp,
   CASE WHEN total >= 2 THEN 1 WHEN total <= -2 THEN -1 ELSE 0 END AS vote FROM f""")
