@@ -22,3 +22,15 @@ SELECT symbol, start, start + INTERVAL 2 HOUR AS end, {_OHLC} FROM s GROUP BY 1,
 def streaming_sliding_bars(spark, sf_dir):
     """Two-hour bars that begin every hour."""
     return SB.finished(spark, SB.windowed(SB.ticks(spark, sf_dir), F.window("ts", "2 hours", "1 hour")))
+
+
+#: Bars that the store of closed bars keeps of a symbol.
+KEPT = 48
+
+
+@query(36, 385, sql=f"""WITH {TICKS}, b AS (SELECT symbol, date_trunc('hour', ts) AS start, {_OHLC} FROM ticks GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM ticks),
+c AS (SELECT b.*, row_number() OVER (PARTITION BY symbol ORDER BY start DESC) AS k FROM b, m WHERE start + INTERVAL 1 HOUR <= mark)
+SELECT symbol, count(*) OVER (PARTITION BY symbol) AS held, start AS ts, open, high, low, close, n FROM c WHERE k <= {KEPT}""")
+def closed_bar_store(spark, sf_dir):
+    """Keyed state of fixed length: what it holds of each symbol once the stream has seen all files."""
+    return SB.closed_bars(spark, sf_dir, KEPT)
