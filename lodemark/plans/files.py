@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import normalise
 from ..operators.chains import cut_lineage
-from ..sources import files
+from ..sources import files, registries
 from ..sources import tables as T
 from .base import BARS, TICKS
 from .registry import query
@@ -61,15 +61,90 @@ def month_folders(spark, sf_dir):
     return _once(spark, path, files.read_months(spark, path, "click", "2024-01-20", "2024-02-03").select("symbol", "ts", "close"))
 
 
-@query(11, sql=f"WITH {BARS} SELECT symbol, count(*) AS bars, max(high) AS high FROM bars WHERE symbol IN ('click', 'view') GROUP BY 1")
+@query(1, 28, sql=f"""WITH {BARS}, c AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars WHERE ts <= TIMESTAMP '2024-01-20')
+SELECT symbol, ts, close, true AS same_digest FROM c WHERE k <= 100""")
+def csv_tail(spark, sf_dir):
+    """The last hundred bars up to a time from an ordered export, whose digest is the same when it is written again."""
+    bars, paths = cut_lineage(T.bars_1h(spark, sf_dir)), [files.new_folder(spark, "bars-export") for _ in range(2)]
+    digests = [files.export_csv(spark, bars, p) for p in paths]
+    files.delete(spark, paths[1])
+    back = normalise(files.read_raw_csv(spark, paths[0]).withColumn("seq", F.lit(0)))
+    got = files.tail(back, F.lit("2024-01-20").cast("timestamp_ntz"), 100)
+    return _once(spark, paths[0], got.select("symbol", "ts", "close", F.lit(digests[0] == digests[1]).alias("same_digest")))
+
+
+@query(11, sql=f"""WITH {BARS} SELECT symbol, count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts, max(high) AS high, round(sum(close), 6) AS closes FROM bars GROUP BY 1""")
 def asset_files(spark, sf_dir):
-    """One folder per asset, read as one table with the asset's name from the path."""
+    """A vendor's export of every asset: five hours behind UTC, numbers as text, a second header among the rows, and each last bar twice, the
+    second time right; cleaned and read as one table with the asset's name from the path."""
     path = files.new_folder(spark, "assets")
     bars = T.bars_1h(spark, sf_dir)
-    for s in ("click", "view"):
-        bars.filter(F.col("symbol") == s).drop("symbol").write.parquet(f"{path}/{s}")
-    got = files.read_assets(spark, [f"{path}/click", f"{path}/view"])
-    return _once(spark, path, got.groupBy("symbol").agg(F.count("*").alias("bars"), F.max("high").alias("high")))
+    text = lambda c: F.col(c).cast("string")
+    stamp = F.date_format(F.col("ts") - F.expr(f"INTERVAL {files.EST_HOURS} HOUR"), "yyyy-MM-dd HH:mm:ss").alias("Price")
+    rows = bars.select("symbol", "ts", F.lit(1).alias("k"), stamp, *[text(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+    ends = rows.groupBy("symbol").agg(F.max_by(F.struct("ts", "Price"), "ts").alias("e")).select("symbol", "e.*")
+    wrong = ends.select("symbol", "ts", F.lit(0).alias("k"), "Price", *[F.lit("0.5").alias(c) for c in ("Open", "High", "Low", "Close", "Volume")])
+    header = ends.select("symbol", F.lit("1970-01-01").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("k"), *[F.lit(c).alias(c) for c in ("Price", "Open", "High", "Low", "Close", "Volume")])
+    every = rows.unionByName(wrong).unionByName(header).repartition("symbol").sortWithinPartitions("symbol", "ts", "k")
+    every.drop("ts", "k").write.partitionBy("symbol").parquet(path)
+    symbols = [r[0] for r in bars.select("symbol").distinct().collect()]  # one a folder
+    moved = [(f"{path}/symbol={s}", s) for s in sorted(symbols)]
+    got = files.read_assets(spark, [m[0] for m in moved]).withColumn("symbol", F.regexp_replace("symbol", "^symbol=", ""))
+    return _once(spark, path, got.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("high").alias("high"), F.round(F.sum("close"), 6).alias("closes")))
+
+
+@query(12, 117, 414, sql=f"""WITH {TICKS}, l AS (SELECT CASE WHEN symbol = 'error' THEN 'short' WHEN symbol <> 'click' THEN 'other_symbol' WHEN user_id < 3 THEN 'unreadable' WHEN round(price - 5, 2) <= 0 THEN 'not_positive' WHEN volume + 1 > price + 10 THEN 'inconsistent' ELSE 'whole' END AS kind FROM ticks)
+SELECT kind, count(*) AS lines FROM l GROUP BY 1""")
+def vendor_scan(spark, sf_dir):
+    """A vendor's file in which short lines, other symbols, odd stamps, prices of 0 and closes outside the bar stand among the whole lines: how many of each."""
+    t = T.ticks(spark, sf_dir)
+    stamp = F.when(F.col("user_id") < 3, F.lit("2024-01-01")).otherwise(F.date_format("ts", "yyyyMMddHHmm"))
+    p = F.col("price")
+    prices = [x.cast("string") for x in (p, p + 10, F.round(p - 5, 2), F.col("volume") + 1)]
+    close = F.when(F.col("volume") + 1 < F.round(p - 5, 2), prices[0]).otherwise(prices[3])  # only above the high, not below the low
+    line = F.when(F.col("symbol") == "error", F.concat_ws(",", "symbol", stamp, prices[0])).otherwise(F.concat_ws(",", "symbol", stamp, *prices[:3], close, F.lit("1")))
+    path = files.new_folder(spark, "vendor")
+    t.select(line.alias("line")).write.text(path)
+    rows = files.scan_vendor_minutes(spark, path, "click")
+    return _once(spark, path, rows.groupBy(F.coalesce("skipped", F.lit("whole")).alias("kind")).agg(F.count("*").alias("lines")))
+
+
+_RECORD = """'{"a":[1,null,true],"id":' || s_suppkey || ',"nested":{"balance":"' || s_name || '","nation":' || s_nationkey || '}}'"""
+
+
+@query(20, 22, 23, 224, sql=f"SELECT s_suppkey AS id, record, sha256(record) AS sha256 FROM (SELECT s_suppkey, {_RECORD} AS record FROM supplier)")
+def registry_documents(spark, sf_dir):
+    """Suppliers as documents of a nation: lists in some files and envelopes in others, keys in another order and spaced; in canonical form."""
+    s = T.table(spark, sf_dir, "supplier")
+    record = F.concat(F.lit('{ "nested": {"nation":'), "s_nationkey", F.lit(', "balance": "'), "s_name", F.lit('"}, "id" : '), "s_suppkey", F.lit(', "a":[1.0, null,true ] }'))
+    docs = s.select("s_nationkey", record.alias("r")).groupBy("s_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("list"))
+    form = F.when(F.col("s_nationkey") < 12, F.col("list")).otherwise(F.concat(F.lit('{"records":'), "list", F.lit(', "version": 3}')))
+    path = files.new_folder(spark, "documents")
+    registries.write_documents(docs.select(form.alias("document")), path)
+    got = registries.read_documents(spark, path)
+    return _once(spark, path, got.select(F.get_json_object("record", "$.id").cast("long").alias("id"), "record", "sha256"))
+
+
+@query(22, 31, sql="SELECT n_nationkey AS id, n_name AS name, sha256('{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}') AS sha256 FROM nation")
+def sealed_documents(spark, sf_dir):
+    """Documents that carry the digest of their payload, verified when they are read."""
+    n = T.table(spark, sf_dir, "nation")
+    payload = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")))
+    path = files.new_folder(spark, "sealed-registry")
+    registries.write_documents(n.select(registries.sealed(payload).alias("document")), path)
+    got = registries.read_sealed(spark, path)
+    return _once(spark, path, got.select(F.get_json_object("payload", "$.id").cast("int").alias("id"), F.get_json_object("payload", "$.name").alias("name"), F.sha2("payload", 256).alias("sha256")))
+
+
+@query(212, 224, sql="""WITH e AS (SELECT DISTINCT p_size AS size, p_type AS type FROM part), s AS (SELECT DISTINCT p_size AS size, p_type AS type FROM part WHERE p_brand < 'Brand#15')
+SELECT e.size, e.type FROM e ANTI JOIN s ON e.size = s.size AND e.type = s.type""")
+def new_parameter_sets(spark, sf_dir):
+    """Parameter sets of all parts less those that the lower brands have, by canonical form: written in two orders and with numbers in two forms."""
+    p = T.table(spark, sf_dir, "part")
+    one = F.concat(F.lit('{"type":"'), "p_type", F.lit('", "at":{"size":'), "p_size", F.lit("}}")).alias("json")
+    two = F.concat(F.lit('{"at":{"size":'), "p_size", F.lit('.0},"type":"'), "p_type", F.lit('"}')).alias("json")
+    got = registries.new_parameters(p.select(one).unionByName(p.select(two)), p.filter("p_brand < 'Brand#15'").select(two), "json")
+    return got.select(F.get_json_object("json", "$.at.size").cast("double").cast("int").alias("size"), F.get_json_object("json", "$.type").alias("type"))
 
 
 @query(16, sql=f"""WITH {TICKS} SELECT seq::VARCHAR AS event_id, date_trunc('second', ts) AS ts, CASE WHEN price >= 50 THEN 'HIGH' ELSE 'LOW' END AS impact, price AS actual, volume AS forecast, price - volume AS surprise

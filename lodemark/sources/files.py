@@ -7,9 +7,11 @@ Spark's binary source, and only the list of names that differ comes back.
 
 from __future__ import annotations
 
+import posixpath
 import uuid
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.chains import shared_top
@@ -32,10 +34,12 @@ class DataError(ValueError):
     """Files that fail a gate."""
 
 
-def guarded(path: str) -> str:
-    """The path, unless a part of it is sealed."""
-    if any(bad in part.lower() for part in path.split("/") for bad in SEALED):
-        raise SealedPathError(f"{path} is sealed evaluation data")
+def allowed(path: str) -> str:
+    """The path, if nothing sealed lies on the way to it. Escapes and ".." are resolved first, so neither hides a folder or makes one up."""
+    way = posixpath.normpath(unquote(urlsplit(path).path)).casefold()
+    found = sorted({name for name in way.split("/") for mark in SEALED if mark in name})
+    if found:
+        raise SealedPathError(f"{', '.join(found)} on the way to {path}: kept for the final evaluation")
     return path
 
 
@@ -52,17 +56,17 @@ def delete(spark: SparkSession, path: str) -> None:
 def write_bars_csv(bars: DataFrame, path: str) -> None:
     """CSV with a header; times as text in UTC, so that no reader guesses a zone."""
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
-    bars.select("symbol", text, "open", "high", "low", "close", "volume").write.option("header", True).csv(guarded(path))
+    bars.select("symbol", text, "open", "high", "low", "close", "volume").write.option("header", True).csv(allowed(path))
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every line as text, nothing cleaned, dropped or parsed."""
-    return spark.read.schema(BAR_COLUMNS).option("header", True).option("mode", "PERMISSIVE").csv(guarded(path))
+    return spark.read.schema(BAR_COLUMNS).option("header", True).option("mode", "PERMISSIVE").csv(allowed(path))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(name, sha256) of the files below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(guarded(path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(allowed(path))
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256")).filter("name not like '\\\\_%'")
 
 
@@ -76,21 +80,40 @@ def verified(spark: SparkSession, path: str, registered: DataFrame) -> str:
     return path
 
 
-def read_vendor_minutes(spark: SparkSession, path: str, offset_hours: int = 0) -> DataFrame:
-    """symbol, ts, prices and volume of `SYMBOL,YYYYMMDDHHmm,open,high,low,close,volume` lines without a header; invalid lines are
-    skipped: fields missing, no time or number, a price not above 0, a high or low inside the bar. offset_hours makes times UTC."""
+#: Why a vendor line is skipped, in the order of the checks.
+SKIPS = ("short", "other_symbol", "unreadable", "not_positive", "inconsistent")
+
+
+def scan_vendor_minutes(spark: SparkSession, path: str, symbol: str | None = None, offset_hours: int = 0) -> DataFrame:
+    """Every `SYMBOL,YYYYMMDDHHmm,open,high,low,close,volume` line without a header, with why it is to be skipped (null: it is whole):
+    fields missing, another symbol than the one asked for, no time or number, a price not above 0, a high or low inside the bar.
+    offset_hours makes times UTC."""
     names = ("open", "high", "low", "close")
-    raw = spark.read.schema("symbol string, stamp string, open string, high string, low string, close string, volume string").csv(guarded(path))
-    when = F.when(F.col("stamp").rlike("^[0-9]{12}$"), F.expr("cast(try_to_timestamp(stamp, 'yyyyMMddHHmm') AS timestamp_ntz)"))
-    got = raw.select("symbol", (when + F.expr(f"INTERVAL {offset_hours} HOUR")).alias("ts"), *[F.expr(f"try_cast({c} AS double)").alias(c) for c in (*names, "volume")])
-    whole = F.col("ts").isNotNull() & (F.least(*names) > 0) & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close"))
-    return got.filter(whole & F.col("volume").isNotNull() & F.greatest(*[F.col(c).isNull() for c in names]).eqNullSafe(F.lit(False)))
+    raw = spark.read.text(allowed(path)).select(F.split("value", ",").alias("f"))
+    when = F.when(F.col("f")[1].rlike("^[0-9]{12}$"), F.expr("cast(try_to_timestamp(f[1], 'yyyyMMddHHmm') AS timestamp_ntz)"))
+    number = lambda i: F.expr(f"try_cast(get(f, {i}) AS double)")
+    got = raw.select(
+        F.size("f").alias("_n"), F.get("f", F.lit(0)).alias("symbol"), F.when(F.size("f") > 1, when + F.expr(f"INTERVAL {offset_hours} HOUR")).alias("ts"),
+        *[number(i).alias(c) for i, c in enumerate((*names, "volume"), 2)],
+    )
+    unread = F.greatest(*[F.col(c).isNull() for c in ("ts", *names, "volume")])
+    why = F.when(F.col("_n") < 7, SKIPS[0])
+    if symbol is not None:
+        why = why.when(F.col("symbol") != symbol, SKIPS[1])
+    why = why.when(unread, SKIPS[2]).when(F.least(*names) <= 0, SKIPS[3])
+    why = why.when((F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")), SKIPS[4])
+    return got.withColumn("skipped", why).drop("_n")
+
+
+def read_vendor_minutes(spark: SparkSession, path: str, offset_hours: int = 0, symbol: str | None = None) -> DataFrame:
+    """symbol, ts, prices and volume of the whole lines."""
+    return scan_vendor_minutes(spark, path, symbol, offset_hours).filter(F.col("skipped").isNull()).drop("skipped")
 
 
 def write_months(bars: DataFrame, path: str) -> None:
     """Folders by symbol, year and month."""
     parts = {"year": F.year("ts"), "month": F.month("ts")}
-    bars.withColumns(parts).repartition("symbol", "year", "month").write.partitionBy("symbol", "year", "month").parquet(guarded(path))
+    bars.withColumns(parts).repartition("symbol", "year", "month").write.partitionBy("symbol", "year", "month").parquet(allowed(path))
 
 
 def read_months(spark: SparkSession, path: str, symbol: str, since: str, until: str) -> DataFrame:
@@ -98,19 +121,53 @@ def read_months(spark: SparkSession, path: str, symbol: str, since: str, until:
     lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (since, until))
     month = F.col("year") * 12 + F.col("month")
     inside = (month >= F.year(lo) * 12 + F.month(lo)) & (month <= F.year(hi) * 12 + F.month(hi))
-    return spark.read.parquet(guarded(path)).filter((F.col("symbol") == symbol) & inside & (F.col("ts") >= lo) & (F.col("ts") < hi)).drop("year", "month")
+    return spark.read.parquet(allowed(path)).filter((F.col("symbol") == symbol) & inside & (F.col("ts") >= lo) & (F.col("ts") < hi)).drop("year", "month")
+
+
+#: Hours from a vendor's clock (EST) to UTC, and what its columns are called here.
+EST_HOURS = 5
+ASSET_COLUMNS = {"Price": "ts", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
 
 
 def read_assets(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several series' files as one table; the symbol is the name of a file's folder."""
-    files = spark.read.parquet(*map(guarded, paths))
-    return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("symbol"), "*")
+    """Files of several assets as exported by a vendor, cleaned: the symbol is the name of a file's folder, which two paths must not share;
+    rows whose time is none (such as a second header) are dropped, prices and volumes made numbers, times UTC, and of the rows of one
+    time the one of the last file row is kept."""
+    folders = [p.rstrip("/").rpartition("/")[2] for p in paths]
+    twice = sorted({f for f in folders if folders.count(f) > 1})
+    if twice:
+        raise DataError(f"two assets would have one name: {twice}")
+    raw = spark.read.parquet(*map(allowed, paths))
+    names = {k: v for k, v in ASSET_COLUMNS.items() if k in raw.columns}
+    missing = sorted(set(ASSET_COLUMNS) - set(names))
+    if missing:
+        raise DataError(f"missing columns: {missing}")
+    number = [F.expr(f"try_cast(`{k}` AS double)").alias(v) for k, v in names.items() if v != "ts"]
+    time = (F.expr("try_cast(Price AS timestamp_ntz)") + F.expr(f"INTERVAL {EST_HOURS} HOUR")).alias("ts")
+    rows = raw.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("symbol"), F.struct("_metadata.file_path", F.monotonically_increasing_id()).alias("_at"), time, *number)
+    rest = [v for v in names.values() if v != "ts"]
+    return rows.filter(F.col("ts").isNotNull()).groupBy("symbol", "ts").agg(F.max_by(F.struct(*rest), "_at").alias("v")).select("symbol", "ts", "v.*")
+
+
+def tail(bars: DataFrame, until: Column | None = None, last: int | None = None) -> DataFrame:
+    """Bars up to a time, and of each symbol the last so many."""
+    got = bars if until is None else bars.filter(F.col("ts") <= until)
+    if last is None:
+        return got
+    return got.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).filter(F.col("_k") <= last).drop("_k")
+
+
+def export_csv(spark: SparkSession, bars: DataFrame, path: str) -> str:
+    """Write bars in order of symbol and time, and give the digest of what was written: of the files' digests in their order."""
+    write_bars_csv(bars.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts"), path)
+    parts = checksums(spark, path).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: x["sha256"]), ",").alias("all"))
+    return parts.select(F.sha2("all", 256)).first()[0]
 
 
 def read_calendar(spark: SparkSession, path: str, until: str | None = None) -> DataFrame:
     """An event calendar that passes its gates: all columns there, every time parsed, impacts known, ids unique. Events from `until` on are
     not shown. A failed gate raises with the number of rows that fail it."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(guarded(path))
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(allowed(path))
     missing = [c for c in CALENDAR if c not in raw.columns]
     if missing:
         raise DataError(f"missing columns: {missing}")
@@ -128,14 +185,14 @@ def read_calendar(spark: SparkSession, path: str, until: str | None = None) -> D
 
 def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that are no records are left out."""
-    got = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(guarded(path))
+    got = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(allowed(path))
     return got.filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def append(spark: SparkSession, path: str, new: DataFrame, key: str, content: str) -> int:
     """Append records to a store of Parquet files, whose committer shows all of a write or nothing. Known records are left out; one whose
     content changed refuses the whole batch. Gives the number appended."""
-    plan = append_plan(spark.read.parquet(guarded(path)), new, key, content)
+    plan = append_plan(spark.read.parquet(allowed(path)), new, key, content)
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}  # three actions
     if counts.get("conflict"):
         raise DataError(f"{counts['conflict']} records have other content than the store's")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodemark.sources import files
+from lodemark.sources import files, registries
 
 
 def folder(tmp_path, name):
@@ -14,7 +14,7 @@ def test_sealed_paths_are_refused(spark, tmp_path):
     for path in (f"{tmp_path}/HOLDOUT/x.csv", f"{tmp_path}/my_holdout_2/y"):
         with pytest.raises(files.SealedPathError):
             files.read_raw_csv(spark, path)
-    assert files.guarded(f"{tmp_path}/held/x") == f"{tmp_path}/held/x"
+    assert files.allowed(f"{tmp_path}/held/x") == f"{tmp_path}/held/x"
 
 
 def test_changed_missing_and_new_files_are_refused(spark, tmp_path):
@@ -70,3 +70,70 @@ def test_append_refuses_changed_records(spark, tmp_path):
     with pytest.raises(files.DataError):
         files.append(spark, path, spark.createDataFrame([(4, "d"), (1, "other")], "id long, h string"), "id", "h")
     assert spark.read.parquet(path).count() == 3
+
+
+def text_files(spark, path, docs):
+    spark.createDataFrame([(d,) for d in docs], "document string").transform(lambda d: registries.write_documents(d, path) or d)
+
+
+def test_documents_in_any_order_have_one_digest(spark, tmp_path):
+    """Nested, reordered, spaced, with numbers in other forms; as record, list and envelope."""
+    path = folder(tmp_path, "docs")
+    text_files(spark, path, ['{"b":1.50,"a":{"z":[1,{"y":null,"x":"é"}],"k":true}}', ' [ {"a":{"k":true,"z":[1.0,{"x":"\\u00e9","y":null}]},\n"b":1.5} ]', '{"v":2,"records":[{"b":15e-1,"a":{"k":true,"z":[1,{"y":null,"x":"é"}]}}]}'])
+    rows = registries.read_documents(spark, path).collect()
+    assert {r.record for r in rows} == {'{"a":{"k":true,"z":[1,{"x":"é","y":null}]},"b":1.5}'} and len(rows) == 3 and len({r.sha256 for r in rows}) == 1
+    assert len({r.file for r in rows}) == 3
+
+
+def test_lists_of_several_records_and_conflicting_ids(spark, tmp_path):
+    path = folder(tmp_path, "docs")
+    text_files(spark, path, ['[{"id":1,"x":1},{"x":1,"id":2},{"id":1,"x":1.0}]', '{"records":[{"id":2,"x":2}]}', "[]"])
+    got = registries.read_documents(spark, path)
+    assert sorted(r.record for r in got.filter("record is not null").collect()) == ['{"id":1,"x":1}', '{"id":1,"x":1}', '{"id":2,"x":1}', '{"id":2,"x":2}']
+    assert [tuple(r) for r in registries.conflicts(got.filter("record is not null"), "$.id").collect()] == [("2", 2)]
+
+
+def test_what_is_no_json_or_was_changed_is_refused(spark, tmp_path):
+    for name, doc in (("cut", '[{"a":1}'), ("twice", '{"a":1,"a":2}')):
+        text_files(spark, folder(tmp_path, name), [doc])
+        with pytest.raises(files.DataError):
+            registries.read_documents(spark, folder(tmp_path, name))
+    doc = spark.createDataFrame([('{"b":[1,2],"a":"x"}',)], "p string").select(registries.sealed(F.col("p")).alias("document"))
+    registries.write_documents(doc, folder(tmp_path, "right"))
+    assert [r.payload for r in registries.read_sealed(spark, folder(tmp_path, "right")).collect()] == ['{"a":"x","b":[1,2]}']
+    registries.write_documents(doc.select(F.replace("document", F.lit("[1,2]"), F.lit("[1,3]")).alias("document")), folder(tmp_path, "wrong"))
+    with pytest.raises(files.DataError):
+        registries.read_sealed(spark, folder(tmp_path, "wrong"))
+
+
+def test_parameters_seen_before_are_left_out(spark):
+    made = spark.createDataFrame([(1, '{"a":1,"b":[2.0]}'), (2, '{"b":[2],"a":1.0}'), (3, '{"a":2}'), (4, '{"a":3}')], "k long, json string")
+    got = registries.new_parameters(made, made.filter("k = 3"), "json")
+    assert sorted(r.k for r in got.collect()) == [1, 4] and got.columns == made.columns
+
+
+def test_vendor_lines_have_a_reason(spark, tmp_path):
+    path = folder(tmp_path, "vendor")
+    lines = {"E,202401010005,1.1,1.2,1.0,1.15,7": None, "E,202401010005,1,1": "short", "F,202401010005,1,1,1,1,1": "other_symbol", "E,202413010005,1,1,1,1,1": "unreadable", "E,202401010005,1,x,1,1,1": "unreadable",
+             "E,202401010005,0,1,0,1,1": "not_positive", "E,202401010005,1,0.9,0.5,1,1": "inconsistent", "": "short"}
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    got = sorted(str(r.skipped) for r in files.scan_vendor_minutes(spark, path, "E").collect())
+    assert got == sorted(map(str, lines.values()))
+
+
+def test_assets_are_cleaned(spark, tmp_path):
+    schema = "Price string, Open string, High string, Low string, Close string, Volume string"
+    rows = [("Ticker", "A", "A", "A", "A", "A"), ("2024-01-01 20:00:00", "1", "2", "0.5", "1.5", "x"), ("2024-01-01 20:00:00", "3", "4", "2", "3", "9"), ("2023-12-31 19:00:00", "1", "1", "1", "1", "1")]
+    for name in ("gold", "oil"):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder(tmp_path, name))
+    got = files.read_assets(spark, [folder(tmp_path, "gold"), folder(tmp_path, "oil")]).filter("symbol = 'gold'").orderBy("ts").collect()
+    assert [(r.ts.isoformat(), r.open, r.volume) for r in got] == [("2024-01-01T00:00:00", 1.0, 1.0), ("2024-01-02T01:00:00", 3.0, 9.0)]
+    with pytest.raises(files.DataError):
+        files.read_assets(spark, [folder(tmp_path, "gold"), f"{tmp_path}/other/gold"])
+
+
+def test_sealed_folders_behind_escapes_and_dots(tmp_path):
+    for path in ("/a/HoldOut/b", "/a/%68oldout/b", "file:///a/x/../my_holdout/b", "s3://b/holdout"):
+        with pytest.raises(files.SealedPathError):
+            files.allowed(path)
+    assert files.allowed("/a/holdout/../x") == "/a/holdout/../x"
