@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import quantiles as Q
 from ..operators import stats as S
 from ..sources import tables as T
 from .base import BARS, TRADES
@@ -41,14 +42,19 @@ SELECT strategy, round(CASE WHEN stddev_samp(pnl) > 1e-12 THEN avg(pnl) / stddev
   min(pnl) AS low, round(median(pnl), 6) AS mid, max(pnl) AS high, round(quantile_cont(pnl, 0.25), 6) AS p25, round(quantile_cont(pnl, 0.75), 6) AS p75, round(quantile_cont(pnl, 0.9), 6) AS p90
 FROM trades JOIN v USING (strategy) GROUP BY strategy""")
 def risk_and_distribution(spark, sf_dir):
-    t, x = T.trades(spark, sf_dir), F.col("pnl")
-    q = t.groupBy("strategy").agg(F.percentile("pnl", 0.05).alias("q"))
+    """Quantiles by distributed selection, everything else from one pass over the trades."""
+    t, x = T.trades(spark, sf_dir).select("strategy", "pnl"), F.col("pnl")
+    q = F.broadcast(Q.exact_quantiles(t, ["strategy"], "pnl", [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]))  # a row a strategy
     r = lambda c, name: F.round(c, 6).alias(name)
-    return t.join(q, "strategy").groupBy("strategy").agg(
-        r(S.sharpe(x, 252.0), "sharpe"), r(S.sortino(x, 252.0), "sortino"), r(S.tail_ratio(x), "tail_ratio"), r(S.value_at_risk(x), "var_95"),
-        r(F.avg(F.when(x <= F.col("q"), x)), "cvar_95"), r(S.skewness(x), "skew"), r(S.kurtosis(x), "kurt"), F.min(x).alias("low"), r(F.percentile(x, 0.5), "mid"),
-        F.max(x).alias("high"), r(F.percentile(x, 0.25), "p25"), r(F.percentile(x, 0.75), "p75"), r(F.percentile(x, 0.9), "p90"),
+    p = dict(zip(("p5", "p25", "mid", "p75", "p90", "p95"), (F.col("quantiles")[i] for i in range(6)), strict=True))
+    first = [F.first(c).alias(k) for k, c in p.items()]
+    got = t.join(q, "strategy").groupBy("strategy").agg(
+        r(S.sharpe(x, 252.0), "sharpe"), r(S.sortino(x, 252.0), "sortino"), r(F.avg(F.when(x <= p["p5"], x)), "cvar_95"), r(S.skewness(x), "skew"), r(S.kurtosis(x), "kurt"),
+        F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"), *first,
     )
+    tail = F.when(F.col("n") >= 20, F.try_divide("p95", F.abs("p5")))
+    var = F.when(F.col("n") >= 5, F.abs(F.least("p5", F.lit(0.0))))
+    return got.select("strategy", "sharpe", "sortino", r(tail, "tail_ratio"), r(var, "var_95"), "cvar_95", "skew", "kurt", "low", r(F.col("mid"), "mid"), "high", *[r(F.col(c), c) for c in ("p25", "p75", "p90")])
 
 
 _CURVE = f"""{TRADES}, d AS (SELECT strategy, exit_ts, sum(pnl) AS pnl FROM trades GROUP BY 1, 2),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import ledger as L
 from ..sources import tables as T
 from .base import BARS, DAYS
 from .registry import query
+from .scalars_sql import normal_cdf_sql, ppf_sql, two_sided_p_sql
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 
@@ -176,15 +179,35 @@ def dna_tags(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), TX.tag_signature(text).alias("signature"), F.size(F.flatten(F.map_values(TX.tags(text)))).alias("n"))
 
 
-@query(17, 18, 19, 235, 236, 237, 238, 234, sql="""SELECT * FROM (VALUES ('202K', 202000.0, 1.5, 'EUR', false), ('-3.5%', -3.5, NULL, 'XAUUSDX', true), ('1,204.5', 1204.5, 2.0, 'GBP', true), ('-', NULL, NULL, 'USD', true), ('1.2B', 1200000000.0, NULL, 'AUD', false)) v(raw, number, atr, base, is_vague)""")
+@query(17, 18, 19, 235, 236, 237, 238, 234, sql=f"""WITH e AS (SELECT event_id, event_type, ts, value, user_id, regexp_extract(props, '"k": (-?[0-9]+)', 1)::INT AS k FROM events)
+SELECT event_id, date_trunc('minute', ts) + INTERVAL 5 HOUR AS ts, CASE WHEN event_type = 'view' THEN NULL ELSE round(value, 1) * CASE WHEN event_type = 'click' THEN 1000 WHEN event_type = 'purchase' THEN 1e6 ELSE 1 END END AS number,
+  CASE WHEN event_type <> 'error' THEN k / 10.0 END AS atr, upper(substr(event_type, 1, 3)) AS base, user_id < 10 OR event_type = 'error' AS is_vague FROM e""")
 def text_parsers(spark, sf_dir):
-    """Vendor numbers, ATR multiples, vague answers and base currencies, on a table of literals."""
-    rows = [("202K", "1.5xATR", "EURUSD", "stop at low"), ("-3.5%", "none", "XAUUSDX", "N/A"), ("1,204.5", "2 x atr", "GBP/JPY", "tbd"), ("-", "", "USD", " "), ("1.2B", "x", "audnzd", "ok")]
-    d = spark.createDataFrame(rows, "raw string, rule string, symbol string, answer string")
-    return d.select("raw", TX.suffixed_number(F.col("raw")).alias("number"), TX.atr_multiple(F.col("rule")).alias("atr"), TX.base_currency(F.col("symbol")).alias("base"), TX.vague(F.col("answer")).alias("is_vague"))
+    """Scraped rows made of events, parsed back: local times, numbers with suffixes and signs, exit rules in ATR, base currencies, vague answers."""
+    k = F.regexp_extract("props", r'"k": (-?[0-9]+)', 1).cast("int")
+    e = T.table(spark, sf_dir, "events").withColumn("k", k)
+    kind, v = F.col("event_type"), F.round("value", 1)
+    number = F.when(kind == "click", F.concat(v.cast("string"), F.lit("K"))).when(kind == "purchase", F.concat(v.cast("string"), F.lit("M"))).when(kind == "view", F.lit("-")).otherwise(F.concat(v.cast("string"), F.lit("%")))
+    rule = F.when(kind == "error", F.lit("at the close")).otherwise(F.concat((F.col("k") / 10).cast("decimal(9,1)").cast("string"), F.lit("x ATR from the entry")))
+    answer = F.when(F.col("user_id") < 10, F.lit(" TBD ")).when(kind == "error", F.lit("n/a")).otherwise(F.concat(F.lit("close above "), v.cast("string")))
+    raw = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("local"), number.alias("raw"), rule.alias("rule"), F.concat(F.upper(F.substring(kind, 1, 3)), F.lit("USD")).alias("pair"), answer.alias("answer"))
+    stamp = F.to_timestamp_ntz("local", F.lit("yyyy-MM-dd HH:mm")) + F.expr("INTERVAL 5 HOUR")  # a clock without daylight time, five hours behind
+    return raw.select("event_id", stamp.alias("ts"), TX.suffixed_number(F.col("raw")).alias("number"), TX.atr_multiple(F.col("rule")).alias("atr"), TX.base_currency(F.col("pair")).alias("base"), TX.vague(F.col("answer")).alias("is_vague"))
+
+
+_PPF = ppf_sql("p")
+_BEST = f"(0.05 * ({1 - X.EULER_GAMMA!r} * {ppf_sql('(1 - 1 / 50.0::DOUBLE)')} + {X.EULER_GAMMA!r} * {ppf_sql(f'(1 - 1 / (50 * {math.e!r}::DOUBLE))')}))"
 
 
-@query(256, 257, 258, 331, 332, 101, 259, 260, 261, 255, 254, 253, 240, 239, 241, 440)
+def _grid_sql(lots: str, step: float, least: float, most: float) -> str:
+    on = f"(floor({lots} / {step} + 1e-9) * {step})"
+    return f"CASE WHEN {on} < {least} THEN 0 ELSE round(least({on}, {most}), 2) END"
+
+
+@query(256, 257, 258, 331, 332, 101, 259, 260, 261, 255, 254, 253, 240, 239, 241, 440, sql=f"""WITH x AS (SELECT p_partkey, (p_partkey % 997 + 1) / 999.0::DOUBLE AS p, p_retailprice AS x, p_size / 10.0::DOUBLE AS s FROM part)
+SELECT p_partkey, p, {_PPF} AS ppf, {normal_cdf_sql(_PPF)} AS back, {two_sided_p_sql("s")} AS two_sided, {normal_cdf_sql(f"((p / 10 - {_BEST}) * sqrt(249) / sqrt(1 + (3.0 - 1) / 4 * (p / 10) * (p / 10)))")} AS dsr,
+  greatest(p - (1 - p), 0) AS kelly, 0.35 + 0.6 * least(greatest(p, 0), 1) AS confidence, floor(x / 0.25 + 1e-9) * 0.25 AS stepped, {_grid_sql("(p * 2)", 0.01, 0.05, 1.5)} AS lots, {_grid_sql("(x * 0.01 / 50)", 0.01, 0.01, 100.0)} AS risk_lots,
+  252.0 * 1440 / 60 AS per_year, round_even(least(greatest(x, 950), 1500), 0) AS clipped FROM x""")
 def scalar_functions(spark, sf_dir):
     """Normal distribution, sizing and grid functions; held against Python's statistics in tests."""
     p = T.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") % 997 + 1) / 999.0).alias("p"), F.col("p_retailprice").alias("x"), (F.col("p_size") / 10.0).alias("s"))
@@ -211,16 +234,20 @@ def calendar_signals(spark, sf_dir):
     )
 
 
-@query(245, sql="""WITH m AS (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2024-12-01', INTERVAL 1 MONTH))::DATE AS d), f AS (SELECT d, (d + ((5 - isodow(d) + 7) % 7)::INT)::DATE AS friday FROM m),
-b AS (SELECT friday, year(friday) AS y FROM f), s AS (SELECT *, make_date(y, 3, 1) + ((7 - isodow(make_date(y, 3, 1))) % 7 + 7)::INT AS spring, make_date(y, 11, 1) + ((7 - isodow(make_date(y, 11, 1))) % 7)::INT AS autumn FROM b)
-SELECT friday, friday + CASE WHEN friday >= spring AND friday < autumn THEN INTERVAL '12 hours 30 minutes' ELSE INTERVAL '13 hours 30 minutes' END AS release_utc FROM s""")
+@query(245, sql="""WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS d FROM orders), f AS (SELECT d, (d + ((5 - isodow(d) + 7) % 7)::INT)::DATE AS friday FROM m),
+b AS (SELECT friday, year(friday) AS y FROM f), s AS (SELECT *, CASE WHEN y < 2007 THEN make_date(y, 4, 1) + ((7 - isodow(make_date(y, 4, 1))) % 7)::INT ELSE make_date(y, 3, 1) + ((7 - isodow(make_date(y, 3, 1))) % 7 + 7)::INT END AS spring,
+  CASE WHEN y < 2007 THEN make_date(y, 10, 31) - (isodow(make_date(y, 10, 31)) % 7)::INT ELSE make_date(y, 11, 1) + ((7 - isodow(make_date(y, 11, 1))) % 7)::INT END AS autumn FROM b),
+r AS (SELECT friday, friday + CASE WHEN friday >= spring AND friday < autumn THEN INTERVAL '12 hours 30 minutes' ELSE INTERVAL '13 hours 30 minutes' END AS release_utc FROM s)
+SELECT friday, release_utc, count(o_orderkey) AS orders, coalesce(round(sum(o_totalprice), 2), 0) AS volume FROM r LEFT JOIN orders ON o_orderdate = friday GROUP BY 1, 2""")
 def nfp_calendar(spark, sf_dir):
-    """First Friday of a month, 08:30 in New York, as UTC: an hour earlier in daylight time."""
-    m = spark.sql("SELECT explode(sequence(DATE'2020-01-01', DATE'2024-12-01', INTERVAL 1 MONTH)) AS d")
+    """The first Friday of every month that has orders, 08:30 in New York as UTC (an hour earlier in daylight time), and that day's orders."""
+    o = T.table(spark, sf_dir, "orders")
+    months = o.select(F.trunc("o_orderdate", "month").alias("d")).distinct()
     friday = F.next_day(F.date_sub("d", 1), "Fri")
-    m = m.select(friday.alias("friday"))
-    local = F.to_timestamp_ntz(F.concat(F.col("friday").cast("string"), F.lit(" 08:30:00")))
-    return m.select("friday", F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), local).alias("release_utc"))
+    local = F.to_timestamp_ntz(F.concat(friday.cast("string"), F.lit(" 08:30:00")))
+    m = months.select(friday.alias("friday"), F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), local).alias("release_utc"))
+    days = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("volume"))
+    return m.join(days, F.col("friday") == F.col("day"), "left").select("friday", "release_utc", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce(F.round("volume", 2), F.lit(0.0)).alias("volume"))
 
 
 @query(344, 345, 342, sql="""WITH x AS (SELECT s_suppkey AS id, s_nationkey AS g, greatest(s_acctbal, 1) AS vol FROM supplier), w AS (SELECT *, (1 / vol) / sum(1 / vol) OVER (PARTITION BY g) AS w FROM x)
