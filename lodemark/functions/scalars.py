@@ -134,3 +134,11 @@ def timeframe_floor(ts: Column, seconds: int) -> Column:
 def round_digits(x: Column, digits: Column) -> Column:
     """round() wants a literal scale; this one takes the row's own."""
     return F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
+
+
+def round_trip_cost(symbol: Column, costs: dict[str, float]) -> Column:
+    """The symbol's cost of costs; one that is not listed raises when its row is read."""
+    out = F
+    for name, cost in costs.items():
+        out = out.when(symbol == name, cost)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no cost is registered for "), symbol)).cast("double"))
