@@ -29,6 +29,8 @@ from .common import checkpoint, fresh
 HASH_BITS = 60
 #: Bits by which cells are finer than an even split would need, and by which too large cells grow.
 SLACK_BITS = 5
+#: Most cells of a look-up that is broadcast (a row of some 60 bytes each).
+MOST_CELLS = 500_000
 SHARD_BYTES = 1 << 20
 
 
@@ -41,8 +43,9 @@ def address(key: Column, text: Column) -> Column:
     return _bits(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))).cast("binary")))
 
 
-def directory(rows: DataFrame, limit: int, total: int, count: int) -> DataFrame:
-    """(cell, bits, shard_bytes): for each counted prefix, how many of its bits name its shard. rows has address and bytes."""
+def directory(rows: DataFrame, limit: int, total: int, count: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """The shards (prefix, bits, shard_bytes, shard_rows), and for each depth at which prefixes were counted a look-up from a cell of that
+    depth to its shard; a cell that was split on has none and is found at the next depth. rows has address and bytes."""
     spark = rows.sparkSession
     depth, done = max(1, (max(1, total // limit) - 1).bit_length() + SLACK_BITS), []
     longest = 2 * HASH_BITS
@@ -50,7 +53,7 @@ def directory(rows: DataFrame, limit: int, total: int, count: int) -> DataFrame:
     while True:
         depth = min(depth, longest)
         cells = checkpoint(pending.groupBy(F.substring("address", 1, depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")))
-        done.append(cells)
+        done.append((depth, cells))
         large = cells.filter((F.col("bytes") > limit) & (F.col("n") > 1)).select("cell")
         if depth == longest or large.isEmpty():
             break
@@ -58,7 +61,7 @@ def directory(rows: DataFrame, limit: int, total: int, count: int) -> DataFrame:
         depth += 2 * SLACK_BITS
     # sizes of all prefixes: of the first cells down to the root, of later ones down to the cell they refine
     sized, base = None, 0
-    for cells in done:
+    for _, cells in done:
         upper = F.explode(F.sequence(F.lit(base), F.length("cell"))).alias("bits")
         part = cells.select("bytes", "n", upper, "cell").groupBy(F.expr("substring(cell, 1, bits)").alias("prefix"), "bits").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
         part = part if base == 0 else part.filter(F.col("bits") > base)
@@ -68,7 +71,13 @@ def directory(rows: DataFrame, limit: int, total: int, count: int) -> DataFrame:
     parent_large = fits.filter(~F.col("fits")).select(F.col("prefix").alias("_p"), (F.col("bits") + 1).alias("_b"))
     leaf = fits.filter("fits").alias("f").join(parent_large, (F.expr("substring(prefix, 1, bits - 1)") == F.col("_p")) & (F.col("bits") == F.col("_b")), "left_semi")
     root = fits.filter((F.col("bits") == 0) & F.col("fits"))
-    return spark.createDataFrame([], fits.schema).unionByName(leaf).unionByName(root).select("prefix", "bits", F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"))
+    shards = spark.createDataFrame([], fits.schema).unionByName(leaf).unionByName(root)
+    shards = checkpoint(shards.select("prefix", "bits", F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows")))
+    looked_up = []
+    for at, cells in done:  # a cell tries its own prefixes, so rows need not
+        tries = cells.select("cell", F.explode(F.sequence(F.lit(0), F.length("cell"))).alias("bits")).withColumn("prefix", F.expr("substring(cell, 1, bits)"))
+        looked_up.append((at, checkpoint(tries.join(shards, ["prefix", "bits"]))))
+    return shards, looked_up
 
 
 def _addressed(rows: DataFrame, addr: str, size: str, text: str, key: str) -> DataFrame:
@@ -84,13 +93,14 @@ def _placed(rows: DataFrame, addr: str, size: str, limit: int) -> tuple[DataFram
     sized = rows.select(F.col(addr).alias("address"), F.col(size).alias("bytes"))
     got = sized.agg(F.sum("bytes").alias("total"), F.count("*").alias("count")).first()
     names = fresh(rows, "prefix", "bits", "shard_bytes", "shard_rows")
-    leaves = checkpoint(directory(sized, limit, got["total"] or 0, got["count"]).toDF(*names))
-    prefix, bits = names[:2]
-    span = sorted(r[0] for r in leaves.select(bits).distinct().collect())  # at most 2 * HASH_BITS + 1 values
-    # every row's prefix at each depth in use; exactly one of them is a shard
-    tries = rows.withColumn(bits, F.explode(F.array(*[F.lit(b) for b in span]) if span else F.array().cast("array<int>")))
-    tries = tries.withColumn(prefix, F.substring(F.col(addr), F.lit(1), F.col(bits)))
-    return tries.join(leaves, [prefix, bits]), names
+    _, looked_up = directory(sized, limit, got["total"] or 0, got["count"])
+    for i, (depth, cells) in enumerate(looked_up):  # one depth, unless shards were split beyond it
+        cell, *found = fresh(rows, "cell", *[f"found_{n}" for n in names])
+        cells = cells.select(F.col("cell").alias(cell), *[F.col(c).alias(f) for c, f in zip(("prefix", "bits", "shard_bytes", "shard_rows"), found, strict=True)])
+        side = F.broadcast(cells) if cells.count() <= MOST_CELLS else cells.hint("merge")  # addresses are hashes: no cell is hot
+        rows = rows.join(side, F.substring(addr, 1, depth) == F.col(cell), "left")
+        rows = rows.withColumns({n: F.coalesce(n, f) if i else F.col(f) for n, f in zip(names, found, strict=True)}).drop(cell, *found)
+    return rows, names
 
 
 def assign_shards(documents: DataFrame, limit: int = SHARD_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
