@@ -187,3 +187,39 @@ def monte_carlo_var(spark, sf_dir):
     whole = p.agg(F.sum("notional").alias("whole"))
     loss = z.agg(F.percentile("pnl", 1 - VAR_CONFIDENCE).alias("q"), F.count("*").alias("paths"))  # over the paths, whose number is stated
     return loss.join(F.broadcast(whole), F.lit(True)).select(F.round(F.abs(F.least("q", F.lit(0.0))) / F.col("whole"), 9).alias("var"), "paths")
+
+
+#: Units of notional that a unit of margin carries, and the money an account begins with.
+LEVERAGE, CAPITAL = 30, 1_000_000
+
+
+@query(131, sql=f"""WITH {TRADES}, p AS (SELECT o_custkey AS account, sum(notional) / {LEVERAGE} AS margin, sum(pnl) AS profit, count(*) AS positions FROM trades JOIN orders ON o_orderkey = orderkey GROUP BY 1)
+SELECT c_custkey AS account, coalesce(positions, 0) AS positions, round(coalesce(margin, 0), 3) AS margin, round(coalesce(profit, 0), 4) AS profit, round(c_acctbal * 100 + coalesce(profit, 0), 4) AS equity, round(c_acctbal * 100 + coalesce(profit, 0) - coalesce(margin, 0), 4) AS free_margin,
+  CASE WHEN margin > 0 THEN round(100 * (c_acctbal * 100 + profit) / margin, 4) END AS level FROM customer LEFT JOIN p ON account = c_custkey""")
+def account_snapshot(spark, sf_dir):
+    """Balance, margin, profit, equity and margin level of every account, also of those without a position."""
+    o = T.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("account"))
+    t = T.trades(spark, sf_dir).select("orderkey", "notional", "pnl")
+    p = t.join(o, F.col("orderkey") == F.col("o_orderkey")).groupBy("account").agg((F.sum("notional") / LEVERAGE).alias("margin"), F.sum("pnl").alias("profit"), F.count("*").alias("positions"))
+    c = T.table(spark, sf_dir, "customer").join(p, F.col("c_custkey") == F.col("account"), "left")
+    profit, margin = F.coalesce("profit", F.lit(0.0)), F.coalesce("margin", F.lit(0.0))
+    equity = F.col("c_acctbal") * 100 + profit
+    return c.select(
+        F.col("c_custkey").alias("account"), F.coalesce("positions", F.lit(0)).alias("positions"), F.round(margin, 3).alias("margin"), F.round(profit, 4).alias("profit"), F.round(equity, 4).alias("equity"),
+        F.round(equity - margin, 4).alias("free_margin"), F.round(F.when(margin > 0, 100 * equity / margin), 4).alias("level"),
+    )
+
+
+@query(128, sql=f"""WITH {TRADES}, g AS (SELECT strategy, sum(notional) AS notional FROM trades GROUP BY 1), d AS (SELECT exit_ts, sum(pnl) AS pnl FROM trades GROUP BY 1), e AS (SELECT exit_ts, pnl, {CAPITAL} + sum(pnl) OVER (ORDER BY exit_ts) AS equity FROM d),
+p AS (SELECT *, greatest(max(equity) OVER (ORDER BY exit_ts), {CAPITAL}) AS peak FROM e)
+SELECT round((SELECT sum(notional) FROM g), 2) AS gross, (SELECT map_from_entries(list((strategy, round(notional, 2)) ORDER BY strategy)) FROM g) AS by_symbol, round(max((peak - equity) / peak), 6) AS drawdown, round(abs(least(quantile_cont(pnl, 0.05), 0)), 2) AS var_95 FROM p""")
+def portfolio_exposure(spark, sf_dir):
+    """Gross notional and its map by symbol, the deepest fall of the daily equity, and the daily loss that one day in twenty exceeds."""
+    t = T.trades(spark, sf_dir)
+    g = t.groupBy("strategy").agg(F.sum("notional").alias("notional")).agg(F.round(F.sum("notional"), 2).alias("gross"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", F.round("notional", 2))))).alias("by_symbol"))
+    d = t.groupBy("exit_ts").agg(F.sum("pnl").alias("pnl"))  # days
+    w = Window.orderBy("exit_ts").rowsBetween(Window.unboundedPreceding, 0)
+    e = d.withColumn("equity", CAPITAL + F.sum("pnl").over(w))
+    e = e.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(CAPITAL)))
+    r = e.agg(F.round(F.max((F.col("peak") - F.col("equity")) / F.col("peak")), 6).alias("drawdown"), F.round(F.abs(F.least(F.percentile("pnl", 0.05), F.lit(0.0))), 2).alias("var_95"))
+    return g.join(F.broadcast(r), F.lit(True))  # a row each

@@ -67,7 +67,7 @@ def queue_next(spark, sf_dir):
     return latest.filter("o_orderstatus = 'O'").select("entity", "record", "priority").orderBy(F.desc("priority"), "record").limit(100)
 
 
-@query(23, 30, 31, 128, sql="""WITH i AS (SELECT o_orderkey AS id, md5(o_custkey::VARCHAR || ':' || o_orderstatus) AS h FROM orders), s AS (SELECT o_orderkey AS id, md5(o_custkey::VARCHAR || ':' || CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+@query(23, 30, 31, sql="""WITH i AS (SELECT o_orderkey AS id, md5(o_custkey::VARCHAR || ':' || o_orderstatus) AS h FROM orders), s AS (SELECT o_orderkey AS id, md5(o_custkey::VARCHAR || ':' || CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
 n AS (SELECT * FROM i)
 SELECT count(*) FILTER (s.id IS NULL) AS appended, count(*) FILTER (s.h = n.h) AS no_ops, count(*) FILTER (s.h <> n.h) AS conflicts FROM n LEFT JOIN s USING (id)""")
 def idempotent_append(spark, sf_dir):
