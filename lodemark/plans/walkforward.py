@@ -79,7 +79,9 @@ def model_rows(bars):
 def oos_predictions(spark, sf_dir):
     """A forest for each window of all series, trained on what lies before its test slice; features need 24 bars before they are valid."""
     rows = model_rows(T.bars_1h(spark, sf_dir))
-    longest = rows.agg(F.max("pos")).first()[0] or 0
-    bounds = [(s, s + 300, s + 400) for s in range(0, longest + 1 - 400 + 1, 100)]
+    longest = (rows.agg(F.max("pos")).first()[0] or 0) + 1
+    whole = 400 if longest >= 500 else max(longest // 3, 60)  # short histories have shorter windows, of the same shares
+    train, test = whole - whole // 4, whole // 4
+    bounds = [(s, s + train, s + whole) for s in range(0, longest - whole + 1, test)]
     got = M.oos_probabilities(rows, ["ret", "momentum_6", "momentum_24", "volatility", "span"], "label", "pos", bounds, warm_up=24)
     return got.select("symbol", "ts", "window", "label", F.round("probability", 9).alias("probability"))
