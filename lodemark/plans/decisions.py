@@ -67,7 +67,7 @@ def lifecycle_states(spark, sf_dir):
     v = F.col("value")
     ratio = F.coalesce(F.round(F.avg(v) / F.nullif(F.stddev_samp(v), F.lit(0.0)) - 0.6, 6), F.lit(0.0))
     e = e.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("trades"), ratio.alias("sharpe"), (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("dd"), F.lit(0).alias("seq"))
-    return D.lifecycle(e, "user_id", "day", D.Policy(trades=2, retire=6))
+    return D.lifecycle(e, "user_id", "day", D.Policy(trades=2, retire=6), length=16)
 
 
 # The net share of weight for a clear majority, the least weight, and votes of an ensemble.
