@@ -3,7 +3,8 @@
 A draw is the image of its number under a keyed permutation (a Feistel network
 of four rounds over hashes) of the least power of four that holds the space;
 numbers whose image lies outside are no draws, of which there are at most three
-in four. The image is read as a number of mixed radix, one digit a dimension.
+in four. The image is read as a number of mixed radix, one digit a dimension,
+by long division over limbs where it would not fit a long.
 A draw depends on nothing but the seed and its number, so any partitioning, and
 any range of numbers, gives the same candidates.
 """
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 ROUNDS = 4
 
 
-def hashed(*parts: Column) -> Column:
-    """A number below 2^32 from the md5 of the parts joined by colons."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+def hashed(*parts: Column, digits: int = 8) -> Column:
+    """A number of that many hexadecimal digits (below 2^32 by default) from the md5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, digits), 16, 10).cast("long")
 
 
 def half_bits(size: int) -> int:
@@ -29,33 +30,52 @@ def half_bits(size: int) -> int:
     return max(1, math.ceil((size - 1).bit_length() / 2))
 
 
-def permuted(i: Column, size: int, seed: str) -> Column:
-    """The image of i, below the power of four that holds size."""
-    half = 1 << half_bits(size)
-    start = F.struct(F.floor(i / half).cast("long").alias("l"), F.pmod(i, F.lit(half)).cast("long").alias("r"))
-    turn = lambda p, n: F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.pmod(hashed(F.lit(seed), n, p["r"]), F.lit(half))).alias("r"))
-    pair = F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, turn)
-    return pair["l"] * half + pair["r"]
+def _div(x: Column, y: int) -> Column:
+    """The whole quotient of longs; a double's would be wrong beyond 2^53."""
+    return F.call_function("div", x, F.lit(y).cast("long"))
 
 
-def digits(number: Column, sizes: list[int]) -> list[Column]:
-    """One digit a dimension, the last varying fastest."""
-    out = []
-    for size in reversed(sizes):
-        out.append(F.pmod(number, F.lit(size)))
-        number = F.floor(number / size)
-    return out[::-1]
+def permuted(i: Column, size: int, seed: str) -> Column:
+    """The image of i, below the power of four that holds size, as a struct of its upper and lower half."""
+    half = 1 << half_bits(size)
+    start = F.struct(_div(i, half).alias("l"), F.pmod(i, F.lit(half)).cast("long").alias("r"))
+    wide = 8 if half <= 1 << 32 else 15  # hexadecimal digits that fill a half
+    turn = lambda p, n: F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.pmod(hashed(F.lit(seed), n, p["r"], digits=wide), F.lit(half))).alias("r"))
+    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, turn)
 
 
 def draws(spark: SparkSession, sizes: list[int], first: int, last: int, seed: str) -> DataFrame:
-    """(i, d0, d1, ...): the draws of the numbers in [first, last); distinct, as long as last is no more than the space."""
+    """(i, d0, d1, ...): the draws of the numbers in [first, last); distinct, as long as last is no more than the space. A space of
+    more than 2^53 points needs dimensions below 2^30, as its numbers are divided limb by limb."""
     size = reduce(lambda a, b: a * b, sizes, 1)
-    if size >= 1 << 53:
-        raise ValueError("the space has more than 2^53 points")
+    names = [f"d{j}" for j in range(len(sizes))]
+    if size >= 1 << 120 or (size >= 1 << 53 and max(sizes) >= 1 << 30):
+        raise ValueError("the space has more than 2^120 points, or more than 2^53 and a dimension of 2^30 values or more")
     if not size:
-        return spark.range(0).select(F.col("id").alias("i"), *[F.lit(0).cast("long").alias(f"d{j}") for j in range(len(sizes))])
-    got = spark.range(first, last).select(F.col("id").alias("i"), permuted(F.col("id"), size, seed).alias("_v")).filter(F.col("_v") < size)
-    return got.select("i", *[d.cast("long").alias(f"d{j}") for j, d in enumerate(digits(F.col("_v"), sizes))])
+        return spark.range(0).select(F.col("id").alias("i"), *[F.lit(0).cast("long").alias(d) for d in names])
+    bits, image = half_bits(size), F.col("_p")
+    if size < 1 << 53:
+        limbs, widths = [image["l"] * (1 << bits) + image["r"]], [2 * bits]
+    elif bits <= 32:
+        limbs, widths = [image["l"], image["r"]], [bits, bits]
+    else:
+        low = bits // 2  # a remainder and the next limb fit a long
+        limbs, widths = [x for h in ("l", "r") for x in (_div(image[h], 1 << low), F.pmod(image[h], F.lit(1 << low)))], [bits - low, low] * 2
+    at = [f"_q{k}" for k in range(len(limbs))]
+    got = spark.range(first, last).select(F.col("id").alias("i"), permuted(F.col("id"), size, seed).alias("_p")).select("i", *[x.cast("long").alias(q) for x, q in zip(limbs, at, strict=True)])
+    below, rest = F.lit(False), size
+    for q, width in zip(reversed(at), reversed(widths), strict=True):  # from the lowest limb: the higher one decides unless equal
+        rest, part = divmod(rest, 1 << width) if q != at[0] else (0, rest)
+        below = (F.col(q) < part) | ((F.col(q) == part) & below)
+    got = got.filter(below)
+    for d, n in reversed(list(zip(names, sizes, strict=True))):  # long division, a projection a dimension
+        left, quotients = F.lit(0).cast("long"), []
+        for q, width in zip(at, widths, strict=True):
+            over = F.col(q) if q == at[0] else left * (1 << width) + F.col(q)
+            quotients.append(_div(over, n).alias(q))
+            left = F.pmod(over, F.lit(n).cast("long"))
+        got = got.select("i", *[c for c in got.columns if c in names], left.alias(d), *quotients)
+    return got.select("i", *names)
 
 
 def next_population(scored: DataFrame, fresh: DataFrame, sizes: list[int], generation: int, seed: str, elites: int = 20, children: int = 3) -> DataFrame:

@@ -1,5 +1,7 @@
 """Draws, resamples and containment against plain versions."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -34,6 +36,26 @@ def test_draws_of_a_huge_space_repeat_on_any_partitioning(spark):
         D.draws(spark, [2**30, 2**30], 0, 1, "a")
 
 
+def plain_draw(i, sizes, seed):
+    """The digits of one draw in whole numbers of any length, none if its image lies outside."""
+    size, out = math.prod(sizes), []
+    half = 1 << D.half_bits(size)
+    left, right = divmod(i, half)
+    for k in range(D.ROUNDS):
+        left, right = right, left ^ int(hashlib.md5(f"{seed}:{k}:{right}".encode()).hexdigest()[: 8 if half <= 1 << 32 else 15], 16) % half
+    v = left * half + right
+    for n in reversed(sizes):
+        v, d = divmod(v, n)
+        out.append(d)
+    return None if v else tuple(out[::-1])
+
+
+@pytest.mark.parametrize("sizes", [[1_200_000, 60_000, 900_000], [7_200_000, 360_000, 5_400_000], [2**29 + 1, 2**29 + 3, 2**29 + 5], [2**29 - 1] * 4, [2**40, 3], [20_000, 1_000, 15_000]])
+def test_draws_of_spaces_beyond_a_long(spark, sizes):
+    want = {i: plain_draw(i, sizes, "7") for i in range(500)}
+    assert {r[0]: tuple(r)[1:] for r in D.draws(spark, sizes, 0, 500, "7").collect()} == {i: d for i, d in want.items() if d}
+
+
 def test_population_keeps_elites_and_moves_one_dimension(spark):
     sizes = [50, 1, 9]
     scored = D.draws(spark, sizes, 0, 200, "p").withColumn("fitness", F.col("d0") % 7)
