@@ -83,10 +83,10 @@ def next_population(scored: DataFrame, fresh: DataFrame, sizes: list[int], gener
     dimension set anew, both chosen by hash, and all of fresh (i, d0, ...)."""
     names = [f"d{j}" for j in range(len(sizes))]
     best = scored.orderBy(F.desc("fitness"), "i").limit(elites).select("i", *names)
-    kids = best.withColumn("child", F.explode(F.sequence(F.lit(1), F.lit(children))))
+    born = best.withColumn("child", F.explode(F.sequence(F.lit(0), F.lit(children))))  # the elite itself is 0, so scored is ranked once
     pick = lambda what: hashed(F.lit(seed), F.lit(what), F.lit(generation), F.col("i"), F.col("child"))
-    at = F.pmod(pick("dimension"), F.lit(len(sizes)))
+    at = F.when(F.col("child") > 0, F.pmod(pick("dimension"), F.lit(len(sizes))))
     # one of the other values: a step of at least one and less than the dimension
     moved = [F.when(at == j, F.pmod(F.col(n) + 1 + F.pmod(pick("value"), F.lit(max(1, s - 1))), F.lit(s))).otherwise(F.col(n)).alias(n) for j, (n, s) in enumerate(zip(names, sizes, strict=True))]
-    rows = best.select(F.lit("elite").alias("origin"), "i", F.lit(0).alias("child"), *names).unionByName(kids.select(F.lit("child").alias("origin"), "i", "child", *moved))
+    rows = born.select(F.when(F.col("child") > 0, "child").otherwise("elite").alias("origin"), "i", "child", *moved)
     return rows.unionByName(fresh.select(F.lit("random").alias("origin"), "i", F.lit(0).alias("child"), *names))

@@ -111,3 +111,23 @@ def test_a_symbol_without_a_cost_is_an_error(spark):
     assert df.filter("s = 'a'").select(X.round_trip_cost(F.col("s"), {"a": 0.5})).first()[0] == 0.5
     with pytest.raises(Exception, match="no cost is registered"):
         df.select(X.round_trip_cost(F.col("s"), {"a": 0.5})).collect()
+
+
+def test_population_step_beyond_2_to_the_53(spark):
+    """Elites and children of a space as large as the engine's 1 GB tables make it; scored is read once."""
+    sizes, read = [1_200_000, 60_000, 900_000], spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    drawn = D.draws(spark, sizes, 0, 2000, "p").withColumn("fitness", F.col("d1").cast("double"))
+    scored = drawn.mapInArrow(tally, drawn.schema)
+    got = D.next_population(scored, D.draws(spark, sizes, 2000, 2010, "p"), sizes, 2, "p", elites=5).collect()
+    want = sorted(((-d[1], i, *d) for i in range(2000) if (d := plain_draw(i, sizes, "p"))))
+    assert read.value == len(want)
+    assert sorted(tuple(r)[1:] for r in got if r.origin == "elite") == sorted((i, 0, *d) for _, i, *d in want[:5])
+    kids = [r for r in got if r.origin == "child"]
+    best = {i: d for _, i, *d in want[:5]}
+    assert len(kids) == 15 and all(sum(a != b for a, b in zip(tuple(r)[3:], best[r.i], strict=True)) == 1 for r in kids)
