@@ -102,14 +102,16 @@ def triple_evidence(spark, sf_dir):
     status = F.when(price < 905, "UNKNOWN").when(price < 930, "UNDERPOWERED").when(price < 960, "TESTED").when(price < 990, "SURVIVED").otherwise("REFUTED")
     rank = F.coalesce(*[F.when(status == k, v) for k, v in RANKS.items()])
     told = F.upper(F.when(kind == "PROMO", F.split(name, " ")[1]).otherwise(F.concat_ws(" ", name, kind)))
-    records = p.filter("p_size > 25").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("record"), told.alias("told"), rank.alias("rank"))
+    # copies of a text are one row with their number, so pairs of texts are joined and no pairs of records
+    records = p.filter("p_size > 25").groupBy(F.col("p_brand").alias("brand"), told.alias("told")).agg(F.count("*").alias("records"), F.max(rank).alias("rank"))
     asked = F.upper(F.when(kind == "SMALL", name).otherwise(F.concat_ws(" ", name, F.lit("drive"))))
     proposals = p.filter("p_size <= 25").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), asked.alias("asked"))
-    cols = ["id", "record", "rank"]
-    both = C.contained(records, proposals, "told", "asked", ["brand"]).select(*cols).unionByName(C.contained(proposals, records, "asked", "told", ["brand"]).select(*cols)).distinct()
-    best = both.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("records"), F.max("rank").alias("rank"))
+    asking = proposals.select("brand", "asked").distinct()
+    cols = ["brand", "asked", "told", "records", "rank"]
+    both = C.contained(records, asking, "told", "asked", ["brand"]).select(*cols).unionByName(C.contained(asking, records, "asked", "told", ["brand"]).select(*cols)).distinct()
+    best = both.groupBy("brand", "asked").agg(F.sum("records").alias("records"), F.max("rank").alias("rank"))
     word = F.coalesce(*[F.when(F.col("rank") == v, k) for k, v in RANKS.items()], F.lit("UNEXPLORED"))
-    return proposals.join(best, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("records", F.lit(0)).alias("records"), word.alias("status"))
+    return proposals.join(best, ["brand", "asked"], "left").select("id", F.coalesce("records", F.lit(0)).alias("records"), word.alias("status"))
 
 
 @query(40, 41, 42, 43, sql="""WITH e AS (SELECT o_custkey AS account, o_orderkey AS record, o_orderdate AS created, o_orderstatus AS state, o_totalprice AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 
+import comparison
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodemark import plans
 from lodemark.functions import scalars as X
 from lodemark.operators import containment as C
 from lodemark.operators import draws as D
@@ -131,3 +133,16 @@ def test_population_step_beyond_2_to_the_53(spark):
     kids = [r for r in got if r.origin == "child"]
     best = {i: d for _, i, *d in want[:5]}
     assert len(kids) == 15 and all(sum(a != b for a, b in zip(tuple(r)[3:], best[r.i], strict=True)) == 1 for r in kids)
+
+
+def test_evidence_joins_texts_not_copies(spark, sf_dir, tmp_path, monkeypatch):
+    """Thirty copies of every part: as many texts are compared as without copies, and the answer is the SQL's."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").limit(60)
+    copies = part.withColumn("p_partkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.col("p_partkey") + k * 1_000_000)))
+    copies.write.parquet(str(tmp_path / "parts"))
+    spark.read.parquet(str(tmp_path / "parts")).toPandas().to_parquet(tmp_path / "part.parquet", index=False)
+    seen, whole = [], C.contained
+    monkeypatch.setattr(C, "contained", lambda a, b, *rest: seen.append(a.count() + b.count()) or whole(a, b, *rest))
+    got = plans.queries()["triple_evidence"](spark, str(tmp_path))
+    assert seen and max(seen) <= 60
+    assert comparison.differences(got, plans.oracle_sql()["triple_evidence"], str(tmp_path)) == ""
