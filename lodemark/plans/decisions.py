@@ -214,9 +214,12 @@ def account_snapshot(spark, sf_dir):
 p AS (SELECT *, greatest(max(equity) OVER (ORDER BY exit_ts), {CAPITAL}) AS peak FROM e)
 SELECT round((SELECT sum(notional) FROM g), 2) AS gross, (SELECT map_from_entries(list((strategy, round(notional, 2)) ORDER BY strategy)) FROM g) AS by_symbol, round(max((peak - equity) / peak), 6) AS drawdown, round(abs(least(quantile_cont(pnl, 0.05), 0)), 2) AS var_95 FROM p""")
 def portfolio_exposure(spark, sf_dir):
-    """Gross notional and its map by symbol, the deepest fall of the daily equity, and the daily loss that one day in twenty exceeds."""
+    """Gross notional and its map by symbol, the deepest fall of the daily equity, and the daily loss that one day in twenty exceeds.
+    Notional is added up in decimals: its cents do not depend on the order of rows, as those of a sum of doubles do."""
     t = T.trades(spark, sf_dir)
-    g = t.groupBy("strategy").agg(F.sum("notional").alias("notional")).agg(F.round(F.sum("notional"), 2).alias("gross"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", F.round("notional", 2))))).alias("by_symbol"))
+    whole = lambda x: F.round(F.sum(x).cast("double"), 2)
+    g = t.groupBy("strategy").agg(F.sum(F.col("notional").cast("decimal(28,10)")).alias("notional"))
+    g = g.agg(whole("notional").alias("gross"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", F.round(F.col("notional").cast("double"), 2))))).alias("by_symbol"))
     d = t.groupBy("exit_ts").agg(F.sum("pnl").alias("pnl"))  # days
     w = Window.orderBy("exit_ts").rowsBetween(Window.unboundedPreceding, 0)
     e = d.withColumn("equity", CAPITAL + F.sum("pnl").over(w))
