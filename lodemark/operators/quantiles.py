@@ -32,7 +32,7 @@ def _part():
 
 def exact_quantiles(df: DataFrame, by: list[str], x: str, shares: list[float]) -> DataFrame:
     """(by, n, quantiles): for each share of [0, 1] the interpolated quantile of x, which holds no NaN; null values do not count, and a
-    group without any has no row. Group keys may be null."""
+    group without any has no row. Group keys may be null. Every round reads df anew, so cut the lineage of one that shuffles."""
     names = [f"_g{i}" for i in range(len(by))]
     rows = df.select(*[F.col(b).alias(g) for b, g in zip(by, names, strict=True)], F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     sizes = cut_lineage(rows.groupBy(*names).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quantiles as Q
 from ..operators import stats as S
+from ..operators.chains import cut_lineage
 from ..sources import tables as T
 from .base import BARS, TRADES
 from .registry import query
@@ -42,8 +43,8 @@ SELECT strategy, round(CASE WHEN stddev_samp(pnl) > 1e-12 THEN avg(pnl) / stddev
   min(pnl) AS low, round(median(pnl), 6) AS mid, max(pnl) AS high, round(quantile_cont(pnl, 0.25), 6) AS p25, round(quantile_cont(pnl, 0.75), 6) AS p75, round(quantile_cont(pnl, 0.9), 6) AS p90
 FROM trades JOIN v USING (strategy) GROUP BY strategy""")
 def risk_and_distribution(spark, sf_dir):
-    """Quantiles by distributed selection, everything else from one pass over the trades."""
-    t, x = T.trades(spark, sf_dir).select("strategy", "pnl"), F.col("pnl")
+    """Quantiles by distributed selection, everything else from one pass over the trades, which are joined once for all passes."""
+    t, x = cut_lineage(T.trades(spark, sf_dir).select("strategy", "pnl")), F.col("pnl")
     q = F.broadcast(Q.exact_quantiles(t, ["strategy"], "pnl", [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]))  # a row a strategy
     r = lambda c, name: F.round(c, 6).alias(name)
     p = dict(zip(("p5", "p25", "mid", "p75", "p90", "p95"), (F.col("quantiles")[i] for i in range(6)), strict=True))

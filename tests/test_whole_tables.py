@@ -2,9 +2,11 @@
 
 from decimal import Decimal
 
+import comparison
 from pyspark.sql import functions as F
 
 from lodemark import plans
+from lodemark.operators import quantiles as Q
 
 
 def test_exposure_is_exact_to_the_cent(spark, sf_dir, tmp_path):
@@ -20,3 +22,12 @@ def test_exposure_is_exact_to_the_cent(spark, sf_dir, tmp_path):
     for r in rows:
         want[r[0]] = want.get(r[0], Decimal(0)) + Decimal(repr(r[1]))
     assert got.by_symbol == {k: float(v) for k, v in want.items()} and got.gross == float(sum(want.values()))
+
+
+def test_quantiles_read_joined_trades(spark, sf_dir, monkeypatch):
+    """The trades are joined once: what the rounds of the selection read holds no join."""
+    read, whole = [], Q.exact_quantiles
+    monkeypatch.setattr(Q, "exact_quantiles", lambda df, *rest: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, *rest))
+    got = plans.queries()["risk_and_distribution"](spark, sf_dir)
+    assert len(read) == 1 and "Join" not in read[0]
+    assert comparison.differences(got, plans.oracle_sql()["risk_and_distribution"], sf_dir) == ""
