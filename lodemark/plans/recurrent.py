@@ -117,27 +117,15 @@ def publish_throttle(spark, sf_dir):
     return rows.join(sent.withColumn("sent", F.lit(True)), ["symbol", "seq"], "left").select("symbol", "seq", "ts", F.coalesce("sent", F.lit(False)).alias("sent"))
 
 
-def f_unit(frame) -> float:
-    """Integer ticks of a frame's time column in a second."""
-    return {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[str(frame["ts"].dtype).split("[")[1].rstrip("]").split(",")[0]]
-
-
 @query(55, sql=f"""WITH RECURSIVE {TICKS}, x AS (SELECT user_id, seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS r FROM ticks),
 t AS (SELECT user_id, r, [ts] AS log, true AS accepted FROM x WHERE r = 1
   UNION ALL SELECT x.user_id, x.r, CASE WHEN len(list_filter(t.log, lambda a: a > x.ts - INTERVAL 6 HOUR)) < 3 THEN list_append(list_filter(t.log, lambda a: a > x.ts - INTERVAL 6 HOUR), x.ts) ELSE t.log END,
     len(list_filter(t.log, lambda a: a > x.ts - INTERVAL 6 HOUR)) < 3 FROM t JOIN x ON x.user_id = t.user_id AND x.r = t.r + 1)
 SELECT user_id, seq, ts, accepted FROM x JOIN t USING (user_id, r)""")
 def sliding_rate_limit(spark, sf_dir):
-    """At most 3 accepted hits of a user in 6 hours; rejected hits are not recorded, which a plain range count would get wrong. A pause
-    of the span forgets everything, so a group is one user's hits between pauses."""
-    w = Window.partitionBy("user_id").orderBy("ts", "seq")
-    rows = T.ticks(spark, sf_dir).select("user_id", "ts", "seq").withColumn("_before", F.lag("ts").over(w))
-    pause = F.when(F.col("_before") + F.expr("INTERVAL 6 HOUR") > F.col("ts"), 0).otherwise(1)
-    rows = rows.withColumn("burst", F.sum(pause).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before")
-    rows = rows.withColumn("hits", F.count("*").over(Window.partitionBy("user_id", "burst")))
-    few = rows.filter("hits <= 3").select("user_id", "seq", "ts", F.lit(True).alias("accepted"))
-    got = K.per_symbol(rows.filter("hits > 3"), lambda f: {"accepted": K.sliding_limit(f["ts"].astype("int64").to_numpy() / f_unit(f), 3, 6 * 3600)}, {"accepted": "boolean"}, by=("user_id", "burst"), order=("ts", "seq"))
-    return few.unionByName(got.select("user_id", "seq", "ts", "accepted"))
+    """At most 3 accepted hits of a user in 6 hours; rejected hits are not recorded, which a plain range count would get wrong. Users are
+    streamed one after another, with three times kept."""
+    return K.sliding_limits(T.ticks(spark, sf_dir).select("user_id", "seq", "ts"), "user_id", 3, 6 * 3600, ("ts", "seq"))
 
 
 _EV = f"""WITH RECURSIVE {BARS}, b AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len, lag(close) OVER o AS p FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)),

@@ -1,12 +1,15 @@
 """Queries whose figures or work must not depend on the order or the number of the rows."""
 
+import random
 from decimal import Decimal
 
 import comparison
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodemark import plans
 from lodemark.operators import quantiles as Q
+from lodemark.operators import recurrence as K
 
 
 def test_exposure_is_exact_to_the_cent(spark, sf_dir, tmp_path):
@@ -31,3 +34,21 @@ def test_quantiles_read_joined_trades(spark, sf_dir, monkeypatch):
     got = plans.queries()["risk_and_distribution"](spark, sf_dir)
     assert len(read) == 1 and "Join" not in read[0]
     assert comparison.differences(got, plans.oracle_sql()["risk_and_distribution"], sf_dir) == ""
+
+
+def test_rate_limit_streams_users(spark, sf_dir):
+    """No group a user reaches Python, and a log outlives the batches it is cut into."""
+    assert "FlatMapGroupsInPandas" not in plans.queries()["sliding_rate_limit"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 2, 3, None]), r.randrange(4000), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "u long, s long, i long").select("u", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "s", "i").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {x.i: x.accepted for x in K.sliding_limits(df, "u", 3, 60, ("ts", "i")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for u in (1, 2, 3, None):
+        hits = sorted((s, i) for v, s, i in rows if v == u)
+        want |= dict(zip([i for _, i in hits], K.sliding_limit(np.array([s for s, _ in hits]), 3, 60).tolist(), strict=True))
+    assert got == want
