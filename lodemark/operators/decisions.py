@@ -11,10 +11,11 @@ the next one is the first that fits the state left by those before it, so there
 are as many rounds as decisions that one period accepts. The reason of every
 other decision follows from what was accepted before it.
 
-Lifecycle: an evaluation maps a state (phase, good runs, days in the phase) to
-a state. A bucket of evaluations is such a map, worked out for all states at
-once, and maps of neighbouring buckets are composed by doubling; so an entity
-with any number of evaluations is spread over its buckets.
+Lifecycle: entities of up to MANY evaluations are streamed one after another. Of
+others, an evaluation maps a state (phase, good runs, days in the phase) to a
+state. A bucket of evaluations is such a map, worked out for all states at once,
+and maps of neighbouring buckets are composed by doubling; so an entity with any
+number of evaluations is spread over its buckets.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .chains import cut_lineage
+from .recurrence import in_turn
 
 SMALL = 100_000
 
@@ -162,19 +167,64 @@ def _then(x: Column, y: Column) -> Column:
     return F.struct(y["to"].alias("to"), F.coalesce(y["since"], x["since"]).alias("since"), (x["g0"] | y["g0"]).alias("g0"), add("g0", "g"), (x["b0"] | y["b0"]).alias("b0"), add("b0", "b"), (x["moves"] + y["moves"]).alias("moves"))
 
 
-def lifecycle(evaluations: DataFrame, by: str, day: str, policy: Policy = Policy(), length: int = 7) -> DataFrame:
+#: Most evaluations of an entity that one task takes in turn.
+MANY = 10_000
+
+
+def lifecycle(evaluations: DataFrame, by: str, day: str, policy: Policy = Policy(), length: int = 7, many: int = MANY) -> DataFrame:
     """Of each entity its phase, the day since when, runs, changes, evaluations and best Sharpe after all its evaluations.
-    evaluations: by, day (int), seq (order within a day), sharpe, trades, dd, none null; length: days of a bucket."""
-    origin, last = evaluations.agg(F.min(day), F.max(day)).first()
-    if origin is None:
-        origin = last = 0
+    evaluations: by, day (int), seq (order within a day), sharpe, trades, dd, none null; length: days of a bucket; many: evaluations
+    beyond which an entity is spread over buckets."""
+    rows = evaluations.select(F.col(by).alias("_by"), F.col(day).cast("int").alias("day"), "seq", F.col("sharpe").cast("double"), F.col("trades").cast("long"), F.col("dd").cast("double"))
+    rows = cut_lineage(rows.filter(F.col("_by").isNotNull()))
+    sums = cut_lineage(rows.groupBy("_by").agg(F.count("*").alias("evaluations"), F.max("sharpe").alias("best_sharpe")))
+    long_ = sums.filter(F.col("evaluations") > many).select("_by")
+    if long_.isEmpty():
+        got = _in_turn(rows, policy)
+    else:
+        got = _in_turn(rows.join(long_, "_by", "left_anti"), policy).unionByName(_by_buckets(rows.join(long_, "_by", "left_semi"), policy, length))
+    return got.join(sums, "_by").withColumnRenamed("_by", by)
+
+
+def _in_turn(rows: DataFrame, policy: Policy) -> DataFrame:
+    """The last state of each entity by the sequential pass."""
+    fields = rows.select("_by", F.lit("").alias("phase"), F.col("day").alias("since"), *[F.lit(0).cast("long").alias(c) for c in ("good_runs", "bad_runs", "moves")]).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+    def run(batches):
+        key, state, moves = None, None, 0
+        for batch in batches:
+            done = []
+            columns = [batch.column(c).to_pylist() for c in ("_by", "day", "sharpe", "trades", "dd")]
+            for k, *event in zip(*columns, strict=True):
+                if k != key:
+                    if state:
+                        done.append((key, *state, moves))
+                    key, state, moves = k, ("ACTIVE", event[0], 0, 0), 0
+                new = advance(*state, *event, policy)
+                moves += new[0] != state[0]
+                state = new
+            yield table(done)
+        if state:
+            yield table([(key, *state, moves)])
+
+    arrow = to_arrow_schema(schema)
+
+    def table(done):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return in_turn(rows, "_by", ("day", "seq"), run, schema)
+
+
+def _by_buckets(rows: DataFrame, policy: Policy, length: int) -> DataFrame:
+    """The last state of each entity from maps of its buckets."""
+    origin, last = rows.agg(F.min("day"), F.max("day")).first()
     n = policy.ages
     one = F.row_number().over(Window.partitionBy("_by", "_k").orderBy("day", "seq"))
-    rows = evaluations.select(F.col(by).alias("_by"), F.col(day).cast("int").alias("day"), "seq", F.col("sharpe").cast("double"), F.col("trades").cast("long"), F.col("dd").cast("double"))
     rows = rows.withColumn("_k", F.floor((F.col("day") - origin) / length).cast("int"))
     begun = rows.groupBy("_by").agg(F.min(F.struct("day", "seq")).alias("_first"))
     rows = rows.join(begun, "_by").withColumn("first", F.struct("day", "seq") == F.col("_first")).withColumn("_i", one)
-    kind = evaluations.schema[by].dataType.simpleString()
+    kind = rows.schema["_by"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_i")
@@ -190,32 +240,35 @@ def lifecycle(evaluations: DataFrame, by: str, day: str, policy: Policy = Policy
         pair = pair.select("_by", "_k", F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
         maps = cut_lineage(pair.select("_by", "_k", F.transform("a", lambda x: _then(x, F.get(F.col("b"), x["to"]))).cast(_MAP).alias("map")))
         span *= 2
-    sums = rows.groupBy("_by").agg(F.count("*").alias("evaluations"), F.max("sharpe").alias("best_sharpe"))
     end = F.get("map", F.lit(0))  # any state will do: the first evaluation sets it
     phase = F.get(F.array(*map(F.lit, PHASES)), F.floor(end["to"] / (3 * n)).cast("int"))
-    got = maps.select("_by", phase.alias("phase"), end["since"].alias("since"), end["g"].alias("good_runs"), end["b"].alias("bad_runs"), end["moves"].alias("moves"))
-    return got.join(sums, "_by").withColumnRenamed("_by", by)
+    return maps.select("_by", phase.alias("phase"), end["since"].alias("since"), end["g"].alias("good_runs"), end["b"].alias("bad_runs"), end["moves"].alias("moves"))
+
+
+def advance(phase: str, since: int, good: int, bad: int, day: int, sharpe: float, trades: int, dd: float, policy: Policy) -> tuple[str, int, int, int]:
+    """One evaluation of the sequential pass."""
+    if phase == "RETIRED" or (phase == "ACTIVE" and trades < policy.trades):
+        return phase, since, good, bad
+    if sharpe >= policy.recovery:
+        good, bad = good + 1, 0
+    elif sharpe < policy.degraded:
+        good, bad = 0, bad + 1
+    back = sharpe >= policy.recovery and good >= 2
+    target = phase
+    if phase != "PAUSED" and (sharpe < policy.paused or dd >= policy.drawdown):
+        target = "PAUSED"
+    elif phase == "ACTIVE" and sharpe < policy.degraded:
+        target = "DEGRADED"
+    elif phase == "DEGRADED" and back:
+        target = "ACTIVE"
+    elif phase == "PAUSED":
+        target = "DEGRADED" if back else "RETIRED" if day - since >= policy.retire else "PAUSED"
+    return (target, day, 0, 0) if target != phase and day - since >= policy.dwell else (phase, since, good, bad)
 
 
 def replay(events: list[tuple[int, float, int, float]], policy: Policy) -> Iterator[tuple[str, int, int, int]]:
     """The plain sequential pass over one entity's (day, sharpe, trades, dd): (phase, since, good, bad) after each."""
-    phase, since, good, bad = ACTIVE, events[0][0] if events else 0, 0, 0
-    for day, sharpe, trades, dd in events:
-        if phase != RETIRED and not (phase == ACTIVE and trades < policy.trades):
-            if sharpe >= policy.recovery:
-                good, bad = good + 1, 0
-            elif sharpe < policy.degraded:
-                good, bad = 0, bad + 1
-            back = sharpe >= policy.recovery and good >= 2
-            target = phase
-            if phase in (ACTIVE, DEGRADED) and (sharpe < policy.paused or dd >= policy.drawdown):
-                target = PAUSED
-            elif phase == ACTIVE and sharpe < policy.degraded:
-                target = DEGRADED
-            elif phase == DEGRADED and back:
-                target = ACTIVE
-            elif phase == PAUSED:
-                target = DEGRADED if back else RETIRED if day - since >= policy.retire else PAUSED
-            if target != phase and day - since >= policy.dwell:
-                phase, since, good, bad = target, day, 0, 0
-        yield PHASES[phase], since, good, bad
+    phase, since, good, bad = "ACTIVE", events[0][0] if events else 0, 0, 0
+    for event in events:
+        phase, since, good, bad = advance(phase, since, good, bad, *event, policy)
+        yield phase, since, good, bad

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodemark import plans
+from lodemark.operators import decisions as D
 from lodemark.operators import quantiles as Q
 from lodemark.operators import recurrence as K
 
@@ -52,3 +53,16 @@ def test_rate_limit_streams_users(spark, sf_dir):
         hits = sorted((s, i) for v, s, i in rows if v == u)
         want |= dict(zip([i for _, i in hits], K.sliding_limit(np.array([s for s, _ in hits]), 3, 60).tolist(), strict=True))
     assert got == want
+
+
+def test_lifecycle_streams_short_entities_and_spreads_long_ones(spark, monkeypatch):
+    """Entities of up to `many` evaluations make no group each; both ways give the pass's states."""
+    r, policy, groups = random.Random(9), D.Policy(trades=0, retire=9), []
+    lists = {f"e{k}": [(d, round(r.uniform(-0.4, 1.2), 3), 9, 0.1) for d in sorted(r.randrange(90) for _ in range(n))] for k, n in enumerate([1, 3, 40, 50, 51, 120])}
+    df = spark.createDataFrame([(k, *e, i) for k, v in lists.items() for i, e in enumerate(v)], "who string, day int, sharpe double, trades int, dd double, seq int").repartition(4)
+    want = {k: list(D.replay(v, policy))[-1] for k, v in lists.items()}
+    whole = D._by_buckets
+    monkeypatch.setattr(D, "_by_buckets", lambda rows, *rest: groups.append(sorted(x[0] for x in rows.select("_by").distinct().collect())) or whole(rows, *rest))
+    for many in (10_000, 50, 0):
+        assert {x.who: (x.phase, x.since, x.good_runs, x.bad_runs) for x in D.lifecycle(df, "who", "day", policy, 8, many).collect()} == want
+    assert groups == [["e4", "e5"], sorted(lists)]
