@@ -17,15 +17,30 @@ def _epoch(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def forward_tolerance(probes: DataFrame, bars: DataFrame, seconds: int, values: list[str], by: str = "symbol", at: str = "probe_ts", key: str = "probe_id") -> DataFrame:
-    """probes plus match_ts and the values of the first bar in [probe, probe + seconds], null if there is none. key is unique."""
-    size = seconds * 1_000_000
-    left = probes.select(F.col(key).alias("_id"), F.col(by).alias("_by"), _epoch(F.col(at)).alias("_t"))
-    left = left.withColumn("_bucket", F.explode(F.array(F.floor(F.col("_t") / size), F.floor(F.col("_t") / size) + 1)))
+def _nearest(asks: DataFrame, bars: DataFrame, size: int, values: list[str], by: str) -> DataFrame:
+    """(_id, _m) of the first bar at most size microseconds after each of asks (_id, _by, _t) that has one."""
+    left = asks.withColumn("_bucket", F.explode(F.array(F.floor(F.col("_t") / size), F.floor(F.col("_t") / size) + 1)))
     right = bars.select(F.col(by).alias("_by"), F.floor(_epoch(F.col("ts")) / size).alias("_bucket"), _epoch(F.col("ts")).alias("_u"), F.struct(F.col("ts").alias("match_ts"), *values).alias("_m"))
     hits = left.join(right, ["_by", "_bucket"]).filter((F.col("_u") >= F.col("_t")) & (F.col("_u") <= F.col("_t") + size))
-    best = hits.groupBy("_id").agg(F.min_by("_m", "_u").alias("_m"))
-    return probes.join(best, F.col(key) == F.col("_id"), "left").select(*probes.columns, "_m.*")
+    return hits.groupBy("_id").agg(F.min_by("_m", "_u").alias("_m"))
+
+
+def forward_tolerance(probes: DataFrame, bars: DataFrame, seconds: int, values: list[str], by: str = "symbol", at: str = "probe_ts", key: str = "probe_id", hourly: bool = False) -> DataFrame:
+    """probes plus match_ts and the values of the first bar in [probe, probe + seconds], null if there is none. key is unique.
+    hourly: bars begin on whole hours, so all probes inside an hour have the same first bar; it is looked up once for an hour, and the
+    probes themselves are neither shuffled nor grouped (key is not used then)."""
+    size = seconds * 1_000_000
+    if not hourly:
+        best = _nearest(probes.select(F.col(key).alias("_id"), F.col(by).alias("_by"), _epoch(F.col(at)).alias("_t")), bars, size, values, by)
+        return probes.join(best, F.col(key) == F.col("_id"), "left").select(*probes.columns, "_m.*")
+    hour = F.date_trunc("hour", F.col(at)).cast(probes.schema[at].dataType)
+    cell = F.struct(F.col(by).alias("by"), hour.alias("hour"), (F.col(at) == hour).alias("on"))
+    asks = probes.select(cell.alias("_id")).distinct()
+    asks = asks.select("_id", F.col("_id.by").alias("_by"), (_epoch(F.col("_id.hour")) + F.when(F.col("_id.on"), 0).otherwise(1)).alias("_t"))
+    best = F.broadcast(_nearest(asks, bars, size + 3_600_000_000, values, by))  # two rows an hour and series at most
+    got = probes.withColumn("_cell", cell).join(best, F.col("_cell") == F.col("_id"), "left")
+    near = F.when(_epoch(F.col("_m.match_ts")) <= _epoch(F.col(at)) + size, F.col("_m"))
+    return got.withColumn("_m", near).select(*probes.columns, "_m.*")
 
 
 def forward(probes: DataFrame, bars: DataFrame, values: list[str], by: str = "symbol", at: str = "probe_ts", seconds: int = 86_400) -> DataFrame:

@@ -32,8 +32,8 @@ SELECT event_id AS probe_id, m.ts AS probe_ts, CASE WHEN b.ts <= m.ts + INTERVAL
 FROM macro m ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'purchase') b ON b.ts >= m.ts""")
 def asof_forward_tolerance(spark, sf_dir):
     bars = T.bars_1h(spark, sf_dir).filter("symbol = 'purchase'")
-    near = asof.forward_tolerance(_probes(spark, sf_dir), bars, 1800, []).withColumnRenamed("match_ts", "match_30m")
-    return asof.forward_tolerance(near, bars, 6 * 3600, ["close"]).select("probe_id", "probe_ts", "match_30m", F.col("close").alias("close_6h"))
+    near = asof.forward_tolerance(_probes(spark, sf_dir), bars, 1800, [], hourly=True).withColumnRenamed("match_ts", "match_30m")
+    return asof.forward_tolerance(near, bars, 6 * 3600, ["close"], hourly=True).select("probe_id", "probe_ts", "match_30m", F.col("close").alias("close_6h"))
 
 
 _LEGS = [("entry", 0), ("impulse", 2), ("exit", 8)]
@@ -45,7 +45,7 @@ def event_legs(spark, sf_dir, symbols=("purchase", "click")) -> DataFrame:
     legs = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(n).alias("leg"), F.lit(h).alias("h")) for s in symbols for n, h in _LEGS])
     p = m.withColumn("l", F.explode(legs)).select("event_id", "name", "surprise", "ts", F.col("l.symbol").alias("symbol"), F.concat_ws("_", "l.symbol", "l.leg").alias("leg"), (F.col("ts") + F.make_dt_interval(hours=F.col("l.h"))).alias("probe_ts"))
     p = p.withColumn("probe_id", F.concat_ws(":", "event_id", "leg"))
-    got = asof.forward_tolerance(p, T.bars_1h(spark, sf_dir).filter(F.col("symbol").isin(*symbols)), 6 * 3600, ["close"])
+    got = asof.forward_tolerance(p, T.bars_1h(spark, sf_dir).filter(F.col("symbol").isin(*symbols)), 6 * 3600, ["close"], hourly=True)
     names = [f"{s}_{n}" for s in symbols for n, _ in _LEGS]
     return got.groupBy("event_id", "name", "surprise", "ts").pivot("leg", names).agg(F.first("close"))
 
@@ -252,18 +252,19 @@ c AS (SELECT a.*, CASE WHEN b.ts <= t1 + INTERVAL 6 HOUR THEN b.close END AS p1
 r AS (SELECT symbol, entry_h, exit_h, CASE WHEN pr < 0.8 THEN 'train' ELSE 'validation' END AS part, sign(surprise) * ln(p1 / p0) - 0.00085 AS net FROM c WHERE p0 IS NOT NULL AND p1 IS NOT NULL AND surprise <> 0)
 SELECT symbol, entry_h, exit_h, part, count(*) AS n, round(avg(net), 6) AS mean, round(avg(net) / (nullif(stddev_samp(net), 0) / sqrt(count(*))), 3) AS t, round(avg((net > 0)::INT), 4) AS win_rate FROM r GROUP BY ALL""")
 def event_sweep(spark, sf_dir):
-    """Windows x symbols as a parameter table, crossed with the events; one as-of pass for all probes; 80/20 by event time."""
+    """Windows x symbols as a parameter table, crossed with the events; entry and exit are looked up by hour; 80/20 by event time."""
+    from ..operators.chains import cut_lineage
     from ..operators.stats import t_stat, win_rate
 
-    m = position_share(macro_events(spark, sf_dir)).filter("surprise <> 0")
+    m = cut_lineage(position_share(macro_events(spark, sf_dir)).filter("surprise <> 0").select("ts", "surprise", "pr"))
+    bars = cut_lineage(T.bars_1h(spark, sf_dir).filter(F.col("symbol").isin("purchase", "click")).select("symbol", "ts", "close"))
     grid = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(a).alias("entry_h"), F.lit(b).alias("exit_h")) for s in ("purchase", "click") for a, b in ((0, 4), (0, 12), (1, 6), (2, 24))])
-    p = m.withColumn("g", F.explode(grid)).select("event_id", "surprise", "ts", "pr", "g.*").withColumn("leg", F.explode(F.array(F.lit("entry"), F.lit("exit"))))
-    hours = F.when(F.col("leg") == "entry", F.col("entry_h")).otherwise(F.col("exit_h"))
-    p = p.withColumn("probe_ts", F.col("ts") + F.make_dt_interval(hours=hours)).withColumn("probe_id", F.concat_ws(":", "event_id", "symbol", "entry_h", "exit_h", "leg"))
-    got = asof.forward_tolerance(p, T.bars_1h(spark, sf_dir), 6 * 3600, ["close"])
-    at = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("close")))
-    legs = got.groupBy("event_id", "surprise", "pr", "symbol", "entry_h", "exit_h").agg(at("entry").alias("p0"), at("exit").alias("p1")).dropna(subset=["p0", "p1"])
+    p = m.withColumn("g", F.explode(grid)).select("surprise", "ts", "pr", "g.*")
+    for leg, price in (("entry", "p0"), ("exit", "p1")):
+        p = p.withColumn("at", F.col("ts") + F.make_dt_interval(hours=F.col(f"{leg}_h")))
+        p = asof.forward_tolerance(p, bars, 6 * 3600, ["close"], at="at", hourly=True).withColumnRenamed("close", price).drop("match_ts", "at")
+    p = p.dropna(subset=["p0", "p1"])
     net = F.signum("surprise") * F.ln(F.col("p1") / F.col("p0")) - 0.00085
-    r = legs.select("symbol", "entry_h", "exit_h", F.when(F.col("pr") < 0.8, "train").otherwise("validation").alias("part"), net.alias("net"))
+    r = p.select("symbol", "entry_h", "exit_h", F.when(F.col("pr") < 0.8, "train").otherwise("validation").alias("part"), net.alias("net"))
     x = F.col("net")
     return r.groupBy("symbol", "entry_h", "exit_h", "part").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(t_stat(x), 3).alias("t"), F.round(win_rate(x), 4).alias("win_rate"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodemark import plans
+from lodemark.operators import asof
 from lodemark.operators import decisions as D
 from lodemark.operators import quantiles as Q
 from lodemark.operators import recurrence as K
@@ -66,3 +67,16 @@ def test_lifecycle_streams_short_entities_and_spreads_long_ones(spark, monkeypat
     for many in (10_000, 50, 0):
         assert {x.who: (x.phase, x.since, x.good_runs, x.bad_runs) for x in D.lifecycle(df, "who", "day", policy, 8, many).collect()} == want
     assert groups == [["e4", "e5"], sorted(lists)]
+
+
+def test_probes_of_hourly_bars_are_looked_up_by_hour(spark):
+    """Both ways agree, on the hour, a microsecond beside it, past gaps and for tolerances that are no whole hours; and no probe is shuffled."""
+    r = random.Random(3)
+    bars = spark.createDataFrame([(s, 3600 * h, float(h)) for s in "ab" for h in range(60) if r.random() < 0.4], "symbol string, s long, close double").select("symbol", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "close")
+    times = [3_600_000_000 * r.randrange(60) + r.choice([-1, 0, 1, r.randrange(3_600_000_000)]) for _ in range(300)]
+    probes = spark.createDataFrame([(i, r.choice(["a", "b", "z", None]), t) for i, t in enumerate(times)], "probe_id long, symbol string, t long").select("probe_id", "symbol", F.timestamp_micros("t").cast("timestamp_ntz").alias("probe_ts"))
+    for seconds in (1800, 5400, 6 * 3600):
+        one, two = (asof.forward_tolerance(probes, bars, seconds, ["close"], hourly=h) for h in (False, True))
+        assert sorted(one.collect(), key=str) == sorted(two.collect(), key=str) and two.filter("close IS NOT NULL").count() > 10
+        two.collect()
+        assert "probe_id" not in "".join(x for x in two._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
