@@ -122,7 +122,7 @@ def event_drivers(spark, sf_dir):
     legs = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(f"{s}_{n}").alias("leg"), F.lit(h).alias("h")) for s, n, h in _LEGS])
     p = macro_events(spark, sf_dir).withColumn("g", F.explode(legs)).select("event_id", "surprise", "ts", "g.*")
     p = p.withColumn("probe_ts", F.col("ts") + F.make_dt_interval(hours=F.col("h"))).withColumn("probe_id", F.concat_ws(":", "event_id", "leg"))
-    got = asof.forward_tolerance(p, T.bars_1h(spark, sf_dir), 6 * 3600, ["close"])
+    got = asof.forward_tolerance(p, T.bars_1h(spark, sf_dir), 6 * 3600, ["close"], hourly=True)
     e = got.groupBy("event_id", "surprise").pivot("leg", _NAMES).agg(F.first("close"))
     c = F.col
     sign = F.signum("surprise")
