@@ -16,8 +16,8 @@ than they do with each other). A second round takes HUBS hubs for the members
 that are not yet in their class. Hubs only save work: where a bucket still holds
 several classes, all pairs of different classes are compared, block of texts by
 block, so no bucket is left unfinished. Only buckets of more than WHOLE texts
-are banded anew with longer bands first, and those buckets go the same way, all
-of them to the end. Each comparison computes the exact weighted Jaccard
+are banded anew with longer bands first, which joins most of their classes; then
+they are finished like all others. Each comparison computes the exact weighted Jaccard
 similarity of whole texts; classes are the connected components of the pairs at
 or above THRESHOLD.
 
@@ -457,6 +457,10 @@ def _classes(documents: DataFrame, text: str, key: str) -> DataFrame:
             left = closer(anew, True)
             if not left.isEmpty():
                 links.append(_finished(left, verify, keep))
+            labels = components(reduce(DataFrame.unionByName, links), keep)
+            left = _open(many.drop("label"), labels, keep)  # the longer bands miss some pairs, so what is open yet is finished too
+            if not left.isEmpty():
+                links.append(_finished(left, verify, keep))
         labels = components(reduce(DataFrame.unionByName, links), keep)
         own = F.when(F.col("bands").isNotNull(), F.coalesce("label", "node"))
         return checkpoint(signed.join(labels, "node", "left").select(F.col("id").cast(documents.schema[key].dataType).alias("id"), "node", own.alias("label")))

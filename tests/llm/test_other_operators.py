@@ -92,6 +92,25 @@ def test_near_duplicates_finish_buckets_that_no_band_separates(spark, monkeypatc
     assert len(together) > 150 and [g for g in together if got[2 * g] != got[2 * g + 1]] == []
 
 
+def test_near_duplicates_finish_buckets_that_the_second_bands_miss(spark, monkeypatch):
+    """A bucket above WHOLE whose longer bands almost no two texts share: its close pairs must be found all the same."""
+    for name in ("BANDS", "ROWS", "BANDS_2", "ROWS_2"):
+        monkeypatch.setattr(minhash, name, 1)
+    monkeypatch.setattr(minhash, "ROWS_2", 64)
+    monkeypatch.setattr(minhash, "WHOLE", 20)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for g in range(200):
+        own = [*template, *[f"p{g}w{i}" for i in range(40)]]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = minhash.weights(docs)
+    h, counts, lengths = minhash.shingles(texts)
+    drawn = minhash.icws(h, by.of(h, counts), lengths, 1, 1, minhash.icws_tables())[:, 0]
+    together = [g for g in range(200) if drawn[2 * g] == drawn[2 * g + 1]]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert len(together) > 150 and [g for g in together if got[2 * g] != got[2 * g + 1]] == []
+
+
 def test_near_duplicates_edge_cases(documents, no_documents):
     got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(documents).collect() if r.doc_id is not None}
     assert got[4] == got[5] == got[6] == (4, 4) and got[0] == (0, 1) and got[1] == (1, 1)
