@@ -52,12 +52,39 @@ def load_pieces(path: str) -> dict:
     return {"key": zlib.crc32(repr(normal).encode()), "size": len(text), "normal": normal, "byte": byte}
 
 
-class Pieces:
+class Decoder:
+    """The bytes of all pieces. Those of a whole batch's ids are taken at once and cut at the texts' ends, so that no id
+    becomes a Python object."""
+
+    def __init__(self, model: dict):
+        text = [b""] * model["size"]
+        for piece, i, _ in model["normal"]:
+            text[i] = piece.replace(MARK, " ").encode()
+        for b, i in model["byte"].items():
+            text[i] = bytes([b])
+        self.text = pa.array(text, pa.binary())
+
+    def texts(self, ids: pa.Array, sizes: np.ndarray) -> pa.StringArray:
+        """The texts of consecutive runs of ids of these sizes. An id outside of the vocabulary or null raises."""
+        if ids.null_count:
+            raise ValueError("null among the ids of a text")
+        got = self.text.take(ids)
+        _, offsets, data = got.buffers()
+        ends = np.frombuffer(offsets, "<i4", len(ids) + 1, 4 * got.offset)[np.concatenate([[0], np.cumsum(sizes)])]
+        spaced = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")]).cast(pa.string())
+        return pc.if_else(pc.starts_with(spaced, " "), pc.utf8_slice_codeunits(spaced, 1), spaced)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.texts(pa.array(np.asarray(ids, dtype="i8")), np.array([len(ids)]))[0].as_py()
+
+
+class Pieces(Decoder):
     """Encoder and decoder of one worker."""
 
     def __init__(self, model: dict):
         import ahocorasick
 
+        super().__init__(model)
         self.automaton = ahocorasick.Automaton()
         for text, i, score in model["normal"]:
             self.automaton.add_word(text, (len(text), i, score))
@@ -65,11 +92,6 @@ class Pieces:
         self.single = {p for p, _, _ in model["normal"] if len(p) == 1}
         self.unknown = min(s for _, _, s in model["normal"]) - UNKNOWN_PENALTY
         self.byte = model["byte"]
-        self.text = [b""] * model["size"]
-        for text, i, _ in model["normal"]:
-            self.text[i] = text.replace(MARK, " ").encode()
-        for b, i in model["byte"].items():
-            self.text[i] = bytes([b])
         self.words = WordCache(self._words, CACHE_WORDS)
 
     def best(self, chunk: str) -> list[int]:
@@ -115,10 +137,6 @@ class Pieces:
                 got[i] = self.words.join(pa.array([_PIECES.findall(text)]))[0]
         return got
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.text.__getitem__, ids.tolist())).decode()
-        return text[1:] if text.startswith(" ") else text
-
 
 def _schema(source: DataFrame, *added: tuple[str, DataType]) -> StructType:
     """The columns that pass through and the added ones, renamed where they would clash."""
@@ -135,25 +153,31 @@ def _source(rows: DataFrame, keep: tuple[str, ...], last: str) -> DataFrame:
     return rows.select(*keep, F.col(last).alias(*fresh(kept, "value")))
 
 
-def encode_documents(documents: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_pieces, ids, ids_crc32 (little-endian 32-bit ids) and round_trip: whether decoding gives the text back.
+def encode_documents(
+    documents: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_decoded: bool = False
+) -> DataFrame:
+    """keep, n_pieces, ids, ids_crc32 (little-endian 32-bit ids) and round_trip: whether decoding gives the text back;
+    with_decoded also decoded: the text that the ids give. It costs no second pass: decode_documents after this would hold
+    a second Python worker a task, and workers change roles, so that each would come to hold the encoder and its cache.
     Kept columns pass through as they are; an added one whose name a kept one has gets an underscore before it."""
     spark = documents.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(load_pieces(model_path))  # as large as the vocabulary file
     source = _source(documents, keep, text)
-    schema = _schema(source, ("n_pieces", LongType()), ("ids", ArrayType(IntegerType())), ("ids_crc32", LongType()), ("round_trip", BooleanType()))
+    added = [("n_pieces", LongType()), ("ids", ArrayType(IntegerType())), ("ids_crc32", LongType()), ("round_trip", BooleanType())]
+    schema = _schema(source, *added, *[("decoded", StringType())] * with_decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _of(model)
+        pieces = _of(model, Pieces)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             raw = pieces.encode(texts)
-            ids = [np.frombuffer(x, dtype="<i4") for x in raw]
-            back = [pieces.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts.to_pylist(), strict=True)]
-            sizes = np.array([len(x) for x in ids], dtype="i8")
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids)))
-            added = [pa.array(sizes), flat, pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(back, pa.bool_())]
+            sizes = np.fromiter(map(len, raw), "i8", len(raw)) // 4
+            ids = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
+            decoded = pieces.texts(ids, sizes)
+            back = pc.equal(decoded, pc.replace_substring(pc.fill_null(texts, ""), MARK, " "))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), ids)
+            added = [pa.array(sizes), lists, pa.array([zlib.crc32(x) for x in raw], pa.int64()), back, *[decoded] * with_decoded]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -168,21 +192,21 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", keep
     schema = _schema(source, ("text", StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _of(model)
+        decoder = _of(model, Decoder)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            texts = [pieces.decode(np.asarray([] if x is None else x, dtype="i8")) for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], decoder.texts(column.flatten(), sizes)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-_BUILT: dict[int, Pieces] = {}
+_BUILT: dict[tuple[type, int], Decoder] = {}
 
 
-def _of(model) -> Pieces:
-    """One encoder per worker process and model, so that its cache outlives a task."""
+def _of(model, kind: type[Decoder]) -> Decoder:
+    """One encoder or decoder per worker process and model, so that its cache outlives a task; a decoder needs no automaton."""
     value = model.value
-    if value["key"] not in _BUILT:
-        _BUILT[value["key"]] = Pieces(value)
-    return _BUILT[value["key"]]
+    if (kind, value["key"]) not in _BUILT:
+        _BUILT[kind, value["key"]] = kind(value)
+    return _BUILT[kind, value["key"]]

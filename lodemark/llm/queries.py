@@ -17,7 +17,7 @@ from .decontaminate import contamination_report
 from .html_text import extract_text, fit, labelled_sample
 from .line_dedup import line_report
 from .minhash import near_duplicates
-from .pieces import decode_documents, encode_documents
+from .pieces import encode_documents
 from .quality import quality_report
 from .secrets import Formats, credential_sample, scan_secrets
 from .sharding import assign_shards
@@ -44,9 +44,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded, and the ids decoded again."""
-    encoded = encode_documents(table(spark, sf_dir, "documents"), PIECES)
-    decoded = decode_documents(encoded, PIECES, keep=("doc_id", "n_pieces", "ids", "ids_crc32", "round_trip"))
-    return decoded.select("doc_id", "n_pieces", "ids", "ids_crc32", "round_trip", F.crc32("text").alias("decoded_crc32"))
+    encoded = encode_documents(table(spark, sf_dir, "documents"), PIECES, with_decoded=True)
+    return encoded.select("doc_id", "n_pieces", "ids", "ids_crc32", "round_trip", F.crc32("decoded").alias("decoded_crc32"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

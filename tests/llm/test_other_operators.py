@@ -166,6 +166,38 @@ def test_pieces_keep_columns_as_they_are(spark):
     assert back.columns == ["doc_id", "text", "_text"] and back.filter("_text <> coalesce(text, '')").count() == 0
 
 
+def test_decoding_takes_whole_batches(spark):
+    """A batch is decoded without an object for each id, and an id that no piece has is an error, not the last piece."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    decoder = pieces.Decoder(pieces.load_pieces(MODEL))
+    ids = np.frombuffer(pieces.Pieces(pieces.load_pieces(MODEL)).encode(pa.array(["a long  text\n of é and ☃ " * 2000]))[0], dtype="<i4")
+    lists = pa.array([ids, None, [], ids[:9], *[ids] * 9], pa.list_(pa.int32())).slice(1)
+    want = ["", "", *[decoder.decode(x) for x in (ids[:9], *[ids] * 9)]]
+    tracemalloc.start()
+    got = decoder.texts(lists.flatten(), np.array([0, 0, 9, *[len(ids)] * 9]))
+    assert tracemalloc.get_traced_memory()[1] < len(lists.flatten())  # bytes
+    tracemalloc.stop()
+    assert got.to_pylist() == want and want[-1] == "a long  text\n of é and ☃ " * 2000
+    for bad in ([-1], [1 << 20], [None]):
+        with pytest.raises(Exception, match="(?i)index|bounds|null"):
+            pieces.decode_documents(spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>"), MODEL).collect()
+
+
+def test_encoding_decodes_in_the_same_pass(spark, documents, tmp_path):
+    """The query's texts are those of decode_documents, from one Python worker a task."""
+    from lodemark.llm.queries import op2_sentencepiece
+
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op2_sentencepiece(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    kept = ("doc_id", "n_pieces", "ids", "ids_crc32", "round_trip")
+    want = pieces.decode_documents(pieces.encode_documents(documents, MODEL), MODEL, keep=kept).select(*kept, F.crc32("text").alias("decoded_crc32"))
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def hot_rows(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(1 + id % 50 as int))").alias("text"))
     return docs.unionByName(spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("y" * 20).alias("text")))  # one hot address
