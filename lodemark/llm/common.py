@@ -112,6 +112,23 @@ def anti_join(left: DataFrame, right: DataFrame, keys: dict[str, str], most: int
     return left.join(F.broadcast(right) if right.count() <= most else right, on, "left_anti")
 
 
+def bitmap(listed: DataFrame, bits: int) -> DataFrame:
+    """One row: 2**bits bits as an array of longs; those at the hashes h are set."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = listed.groupBy(F.shiftright(slot, 6).cast("int").alias("i")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
+    )
+    zero = listed.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("bits"))
+    full = words.unionByName(zero).groupBy("i").agg(F.bit_or("bits").alias("bits"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+
+
+def bit_at(bits_of: Column, h: Column, bits: int) -> Column:
+    """Whether a bitmap's bit at a hash is set."""
+    slot = F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
+    return F.getbit(F.get(bits_of, slot), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def split_words(texts: pa.Array, mark: str) -> pa.ListArray:
     """Each text's words with the mark before them, and its line feeds."""
     cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), mark, "\0" + mark)

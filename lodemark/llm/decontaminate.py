@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import bit_at, checkpoint, fresh
+from .common import bitmap as _bits
 
 WINDOW = 13
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -63,17 +64,6 @@ def listed_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id
     return got.select(pick.alias("h"), "size", "gram", "items")
 
 
-def _bitmap(listed: DataFrame, bits: int) -> DataFrame:
-    """One row: 2**bits bits as an array of longs."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = listed.groupBy(F.shiftright(slot, 6).cast("int").alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
-    )
-    zero = listed.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("bits"))
-    full = words.unionByName(zero).groupBy("i").agg(F.bit_or("bits").alias("bits"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"]).alias("bitmap"))
-
-
 def contamination_report(
     documents: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), window: int = WINDOW
 ) -> DataFrame:
@@ -86,14 +76,12 @@ def contamination_report(
     rid, w, h, cand, hit, bitmap, n_words, items, _h, _size, _gram = fresh(documents, *names)
     docs = documents.select(key, *keep, F.monotonically_increasing_id().alias(rid), tokens(F.col(text)).alias(w))
     docs = docs.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-    docs = docs.withColumn(bitmap, _bitmap(listed, n_bits).scalar())
+    docs = docs.withColumn(bitmap, _bits(listed, n_bits).scalar())
 
     def candidates(n: int) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - n)
         hashed = F.transform(at, lambda i: F.struct(_hash(F.col(h), i, n).alias("h"), i.alias("i")))
-        slot = lambda x: F.shiftright(x["h"].bitwiseAND(F.lit((1 << n_bits) - 1)), 6).cast("int")
-        bit = lambda x: F.getbit(F.get(F.col(bitmap), slot(x)), x["h"].bitwiseAND(F.lit(63)).cast("int"))
-        passed = F.filter(hashed, lambda x: bit(x) == 1)
+        passed = F.filter(hashed, lambda x: bit_at(F.col(bitmap), x["h"], n_bits))
         rows = F.transform(passed, lambda x: F.struct(x["h"], F.lit(n).alias("size"), x["i"], F.slice(w, x["i"] + 1, n).alias("gram")))
         return F.when(F.size(w) >= n, rows)
 

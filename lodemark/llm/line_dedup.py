@@ -14,6 +14,12 @@ words outside the shared part are deleted. That loses no pair. Variant groups
 are reduced to their earliest line before anything is joined back, so no group
 is expanded into pairs; the pairs left are verified on the words themselves.
 
+Documents are read twice. The first time a line becomes one narrow row of its
+place, hash, length and part keys, written to the shared folder; copies, shared
+parts and the places to cut come from those rows. The second time only lines
+that share a part are read: a bitmap of their first places lets few others
+through, and an exact join drops those, so that no other text is shuffled.
+
 A line goes if an equal or a near line came before it, in the order of doc_id,
 text hash and line number. Every line that has a word is compared for equality,
 and lines of at least EDIT_WORDS words, of which an edit leaves four in five, for
@@ -33,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, fresh, let
+from .common import SPACES, WORD, Scratch, bit_at, bitmap, checkpoint, fresh, let
 
 EXACT_WORDS = 1
 EDIT_WORDS = 5
@@ -41,6 +47,8 @@ EDIT_WORDS = 5
 HOT = 2048
 #: So many rows of two longs are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Bits of the bitmap for each line that shares a part, and the bounds of their logarithm (8 MB at most).
+BITS_A_LINE, LEAST_BITS, MOST_BITS = 16, 18, 26
 _BLOCK = 256
 _ORDER = ("doc_id", "th", "line_no")
 
@@ -49,29 +57,46 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _occurrences(documents: DataFrame, text: str, key: str, exact: int) -> DataFrame:
-    """(doc_id, th, line_no, line, lh) of lines long enough; line has single spaces."""
+def _places(documents: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, th, line_no, raw) of all lines that have a word."""
     docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(_lines(F.col(text))).alias("line_no", "raw"))
+    return docs.filter(F.ltrim("raw", F.lit(SPACES)) != "")
+
+
+def _spaced(raw: Column) -> Column:
+    """A line's words with single spaces."""
     # most lines have single spaces already; a search for other white space is cheaper than a regular expression
-    odd = F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
+    odd = raw.startswith(" ") | raw.endswith(" ")
     for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
-        odd = odd | F.col("raw").contains(x)
-    single = F.array_join(F.regexp_extract_all("raw", F.lit(WORD), F.lit(0)), " ")
-    docs = docs.withColumn("line", F.when(odd, single).otherwise(F.col("raw"))).filter((F.size(F.split("line", " ", -1)) >= exact) & (F.col("line") != ""))
-    return docs.select(*_ORDER, "line", F.xxhash64("line").alias("lh"))
+        odd = odd | raw.contains(x)
+    return F.when(odd, F.array_join(F.regexp_extract_all(raw, F.lit(WORD), F.lit(0)), " ")).otherwise(raw)
 
 
-def _part_keys(w: Column, n: Column) -> Column:
-    """Keys of the shared first and last parts: (hk, part, size). Parts of two lines whose lengths
-    differ by at most one have the same size in one of the two classes that the longer one emits."""
+def _occurrences(documents: DataFrame, text: str, key: str, exact: int, near_from: int) -> DataFrame:
+    """(doc_id, th, line_no, lh, n, keys) of lines long enough; the keys of the shared parts of lines to compare for one edit."""
+    got = _places(documents, text, key).select(*_ORDER, _spaced(F.col("raw")).alias("line"))
+    got = got.select(*_ORDER, "line", F.xxhash64("line").alias("lh"), (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("n"))
+    keys = F.when(F.col("n") >= near_from, _part_keys(F.col("line"), F.col("n")))
+    return got.select(*_ORDER, "lh", "n", keys.alias("keys")).filter(F.col("n") >= exact)
 
-    def of(size: Column) -> Column:
-        one = lambda name, part: F.struct(F.xxhash64(F.lit(name), part).alias("hk"), F.lit(name).alias("part"), size.alias("size"))
-        return F.array(one("head", F.slice(w, F.lit(1), size)), one("tail", F.slice(w, n - size + 1, size)))
 
+def _part_sizes(n: Column) -> tuple[Column, Column]:
+    """Words of the shared parts in the length class of n, and in the one before it."""
     eighths = F.floor(n / 8).cast("int")
     size = lambda k: F.when(k > 0, k * 4).otherwise(F.lit(2))  # noqa: E731  lines of 4 to 7 words: 2
-    return F.when(n % 8 == 0, F.concat(of(size(eighths)), of(size(eighths - 1)))).otherwise(of(size(eighths)))
+    return size(eighths), size(eighths - 1)
+
+
+def _part_keys(line: Column, n: Column) -> Column:
+    """Keys of the shared first and last parts, by turns. Parts of two lines whose lengths
+    differ by at most one have the same size in one of the two classes that the longer one emits."""
+
+    def of(size: Column) -> Column:
+        part = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
+        return F.array(F.xxhash64(F.lit("head"), part(size)), F.xxhash64(F.lit("tail"), part(-size)))
+
+    size, before = _part_sizes(n)
+    return F.when(n % 8 == 0, F.concat(of(size), of(before))).otherwise(of(size))
 
 
 def _xor(a: Column) -> Column:
@@ -127,22 +152,40 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(by == 0, swapped).when(by == 1, added(a, b)).when(by == -1, added(b, a)).otherwise(F.lit(False))
 
 
+def _texts(near: DataFrame, documents: DataFrame, text: str, key: str) -> DataFrame:
+    """near (lh, o) with the line itself, read at its first place."""
+    place = F.xxhash64(*_ORDER)
+    near = near.withColumn("place", F.xxhash64(*[F.col(f"o.{c}") for c in _ORDER]))
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_LINE * near.count()).bit_length()))
+    listed = bitmap(near.select(F.col("place").alias("h")), bits)
+    got = _places(documents, text, key).filter(bit_at(listed.scalar(), place, bits))
+    got = got.select(place.alias("place"), _spaced(F.col("raw")).alias("line")).withColumn("lh", F.xxhash64("line"))
+    # copies of a document have the same places
+    return near.join(got.groupBy("place", "lh").agg(F.min("line").alias("line")), ["place", "lh"]).drop("place")
+
+
 def removed_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", exact: int = EXACT_WORDS, near_from: int = EDIT_WORDS) -> DataFrame:
     """(doc_id, th, line_no, kept_doc_id, kept_line_no): each removed line and the earliest line it repeats.
     Lines of `exact` words and more are compared for equality, of `near_from` (4 at least) and more for one edit."""
-    occ = _occurrences(documents, text, key, exact)
-    distinct = occ.groupBy("lh").agg(F.min(F.struct(*_ORDER, "line")).alias("first"), F.count("*").alias("copies"))
-    distinct = distinct.withColumn("w", F.split("first.line", " ", -1)).withColumn("n", F.size("w"))
+    with Scratch(documents.sparkSession, "lines") as keep:
+        return checkpoint(_removed(keep(_occurrences(documents, text, key, exact, near_from)), documents, text, key))
+
+
+def _removed(occ: DataFrame, documents: DataFrame, text: str, key: str) -> DataFrame:
+    distinct = occ.groupBy("lh").agg(F.min(F.struct(*_ORDER, "n", "keys")).alias("first"), F.count("*").alias("copies"))
     # naming copies keeps the aggregation as it is below, so that its exchange is reused
-    keys = distinct.filter((F.col("n") >= near_from) & (F.col("copies") > 0)).select("lh", "n", F.explode(_part_keys(F.col("w"), F.col("n"))).alias("k"))
-    keys = keys.select("lh", "n", "k.*")
+    keys = distinct.filter(F.col("first.keys").isNotNull() & (F.col("copies") > 0))
+    keys = keys.select("lh", F.col("first.n").alias("n"), F.posexplode("first.keys").alias("at", "hk"))
     shared = keys.groupBy("hk").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), (F.min("n") != F.max("n")).alias("mixed"))
     shared = shared.filter("a <> b").select("hk", "mixed")
-    flagged = keys.join(shared, "hk").groupBy("lh").agg(F.collect_list(F.struct("part", "size", "mixed")).alias("parts"))
-    lines = distinct.drop("w", "n").join(flagged, "lh", "left").filter(F.col("parts").isNotNull() | (F.col("copies") > 1))
-    lines = checkpoint(lines.select("lh", "copies", "parts", F.struct(*[F.col(f"first.{c}") for c in _ORDER]).alias("o"), F.col("first.line").alias("line")))
-
-    near = lines.filter(F.col("parts").isNotNull())
+    size, before = _part_sizes(F.col("n"))
+    part = F.when(F.col("at") % 2 == 0, "head").otherwise("tail").alias("part")
+    one = F.struct(part, F.when(F.col("at") < 2, size).otherwise(before).alias("size"), "mixed")
+    flagged = keys.join(shared, "hk").groupBy("lh").agg(F.collect_list(one).alias("parts"))
+    lines = distinct.join(flagged, "lh", "left").filter(F.col("parts").isNotNull() | (F.col("copies") > 1))
+    lines = checkpoint(lines.select("lh", "copies", "parts", F.struct(*[F.col(f"first.{c}") for c in _ORDER]).alias("o")))
+
+    near = checkpoint(_texts(lines.filter(F.col("parts").isNotNull()).drop("copies"), documents, text, key))
     variants = _variants(near.select("lh", "line", "parts"))
     met = variants.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a <> b").select("key")
     orders = near.select("lh", "o")

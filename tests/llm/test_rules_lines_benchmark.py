@@ -142,6 +142,23 @@ def test_short_lines_are_compared(spark):
         assert got[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get((d, t), []))
 
 
+def test_texts_of_lines_without_partners_stay_out_of_shuffles(spark):
+    """Words of random digits: no line shares a part but the last two, whose text alone is shuffled."""
+    line = "array_join(transform(sequence(1, 60), i -> sha2(concat({}, ':', i), 256)), ' ')"
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr(line.format("id")).alias("text"))
+    docs = docs.unionByName(spark.range(300, 301).select(F.col("id").alias("doc_id"), F.expr(f"concat({line.format(299)}, ' more')").alias("text")))
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    got = L.line_report(docs).filter("n_removed > 0").collect()
+    assert [(r.doc_id, r.removed) for r in got] == [(300, "0")]
+    assert written() - before < 301 * 60 * 32 / 4  # a quarter of what the digits hold
+
+
 def test_common_line_and_clashing_columns(spark, documents, no_documents):
     line = " ".join(f"k{i}" for i in range(12))
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\n"), F.concat_ws(" ", *[F.concat(F.lit(f"u{k}x"), "id") for k in range(12)])).alias("text"))
